@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,8 +14,44 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, (90, 100))
 
 
+def joined(spans: Column) -> Column:
+    """kind:start:end, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netlens.llm.secrets import secret_spans
+
+    found = secret_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"] != "guess")
+    return found.select(
+        "doc_id",
+        *(count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")),
+        F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
+
+
+def op9_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netlens.llm.avi import media_columns
+
+    found = media_columns(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    clip = lambda c: F.concat_ws("-", c["first"], c["last"])
+    return found.withColumn("feature", F.concat(F.lit("shots:"), F.array_join(F.transform("clips", clip), ","))).drop("clips")
+
+
+def op10_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netlens.llm.packing import pack
+
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_secret_scan": op4_secret_scan,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op9_avi_media": op9_avi_media,
+    "op10_hierarchical_packing": op10_hierarchical_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
