@@ -62,13 +62,16 @@ def chunks(texts: pa.Array, most: int = CHUNK) -> Iterator[tuple[int, np.ndarray
         lo = hi
 
 
-def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, end, row) of each word of a chunk."""
+def words(
+    data: np.ndarray, offs: np.ndarray, apart: np.ndarray = _WS, heads: tuple[int, ...] = ()
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end, row) of each word of a chunk. apart: the bytes between words. heads: for each of these
+    lengths, the hashes of the words' first bytes follow in the first array, word by word as before."""
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), z, z, z
-    ws = _WS[data]
+    ws = apart[data]
     edge = np.zeros(n + 1, bool)
     edge[offs] = True
     first, last = edge[:n].copy(), edge[1:].copy()
@@ -79,6 +82,10 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     c = np.zeros(n + 1, np.uint64)
     np.cumsum(_TAB[data] * pw, out=c[1:])
     h = mix((c[e] - c[s]) * inv[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    if heads:
+        cut = [np.minimum(s + k, e) for k in heads]
+        parts = [mix((c[x] - c[s]) * inv[s] + np.uint64(0xA0761D6478BD642F * k % 2**64)) for x, k in zip(cut, heads, strict=True)]
+        h = np.concatenate((h, *parts))
     return h, s, e, np.searchsorted(offs, s, "right") - 1
 
 

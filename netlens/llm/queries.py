@@ -8,6 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def op6_spherical_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netlens.llm.capfilter import near_duplicates
+
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from netlens.llm.ngram_join import ngram_components
 
@@ -19,6 +25,12 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def op3_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netlens.llm.warc import round_trip
+
+    return round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from netlens.llm.secrets import secret_spans
 
@@ -33,6 +45,13 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netlens.llm.toxicity import score, train
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op9_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from netlens.llm.avi import media_columns
 
@@ -48,8 +67,11 @@ def op10_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_warc_zstd": op3_warc_zstd,
     "op4_secret_scan": op4_secret_scan,
+    "op6_spherical_cap_filters": op6_spherical_cap_filters,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op8_ordinal_toxicity": op8_ordinal_toxicity,
     "op9_avi_media": op9_avi_media,
     "op10_hierarchical_packing": op10_hierarchical_packing,
 }
