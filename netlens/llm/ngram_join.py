@@ -58,7 +58,7 @@ def _rows(k: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lo = bands(1 << 16)
         for batch in batches:
-            ids, ns, nodes, keys = batch.column(0), [], [], []
+            ns, nodes, keys = [], [], []
             for _, x in shingle_sets(batch.column(1), k):
                 if len(x) >= lo[-2]:
                     lo = bands(2 * len(x))
@@ -68,8 +68,8 @@ def _rows(k: int, num: int, den: int):
             at = np.concatenate(([0], np.cumsum([len(x) for x in keys]))).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(at, pa.array(flat))],
-                ["doc_id", "n", "node", "keys"],
+                [batch.column(0), batch.column(2), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(at, pa.array(flat))],
+                ["doc_id", "text_hash", "n", "node", "keys"],
             )
 
     return run
@@ -188,13 +188,14 @@ def _multiply(num: int, den: int):
 
 
 def ngram_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100), scratch: Scratch | None = None) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of docs: component_id is the smallest doc_id reachable by
-    links of Jaccard similarity of k-word shingle sets at least threshold (a fraction)."""
+    """(doc_id, text_hash, n_shingles, component_id) for every row of docs: component_id is the smallest doc_id reachable
+    by links of Jaccard similarity of k-word shingle sets at least threshold (a fraction)."""
     num, den = threshold
     spark = docs.sparkSession
     s = scratch or Scratch(spark)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = s.cut(texts.mapInArrow(_rows(k, num, den), "doc_id long, n long, node long, keys array<long>"), "rows")
+    hashed = texts.withColumn("text_hash", F.xxhash64("text"))
+    rows = s.cut(hashed.mapInArrow(_rows(k, num, den), "doc_id long, text_hash long, n long, node long, keys array<long>"), "rows")
     some = rows.where("n > 0")
     reps = s.cut(some.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("keys").alias("keys")), "reps")
     posts = reps.select("node", F.explode("keys").alias("key"))
@@ -223,15 +224,20 @@ def ngram_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (
     comp = connected_components(links, s).join(reps.select("node", "doc_id"), "node")
     least = comp.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     linked = comp.join(least, "root").select("node", "component_id")
-    named = reps.select("node", F.col("doc_id").alias("own")).join(linked, "node", "left").select("node", F.coalesce("component_id", "own").alias("component_id"))
-    out = some.select("doc_id", "n", "node").join(named, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    out = out.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    named = reps.select("node", F.col("doc_id").alias("own")).join(linked, "node", "left")
+    named = s.cut(named.select("node", F.coalesce("component_id", "own").alias("component_id")), "named")
+    ids = ("doc_id", "text_hash", F.col("n").alias("n_shingles"))
+    out = some.select("doc_id", "text_hash", "n", "node").join(named, "node").select(*ids, "component_id")
+    out = out.unionByName(rows.where("n = 0").select(*ids, F.col("doc_id").alias("component_id")))
     return s.finish(out, "ngram")
 
 
 def keep_first(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
-    """The rows of docs, one of each component: that with the smallest doc_id (of rows that repeat it, one)."""
-    found = ngram_components(docs, k, threshold)
-    kept = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_keep")), "left_semi")
-    return out.dropDuplicates(["doc_id"]) if found.where("doc_id <=> component_id").groupBy("doc_id").count().where("count > 1").limit(1).count() else out
+    """The rows of docs, one of each component: that with the smallest doc_id. Of rows that repeat doc_id and text, one."""
+    found = ngram_components(docs, k, threshold).where("doc_id <=> component_id")
+    kept = found.groupBy("doc_id", "text_hash").count()
+    repeated = kept.where("count > 1").limit(1).count()
+    kept = kept.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"))
+    same = docs["doc_id"].eqNullSafe(F.col("_d")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("_t"))
+    out = docs.join(fit_broadcast(kept, kept.count()), same, "left_semi")
+    return out.dropDuplicates(["doc_id", "text"]) if repeated else out

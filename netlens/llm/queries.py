@@ -8,6 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netlens.llm.linededup import dedup_lines
+
+    rows = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return rows.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_gone").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op6_spherical_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from netlens.llm.capfilter import near_duplicates
 
@@ -17,7 +24,7 @@ def op6_spherical_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from netlens.llm.ngram_join import ngram_components
 
-    return ngram_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, (90, 100))
+    return ngram_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, (90, 100)).drop("text_hash")
 
 
 def joined(spans: Column) -> Column:
@@ -25,6 +32,27 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def op1_pii_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netlens.llm.pii import pii_spans
+
+    found = pii_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        *(count(k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")),
+        F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
+
+
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netlens.llm.mixing import mix
+
+    rows = mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
+    taken = F.col("_whole") * F.col("_size") + F.col("_part")
+    return rows.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), taken.alias("taken"))
+
+
 def op3_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     from netlens.llm.warc import round_trip
 
@@ -67,8 +95,11 @@ def op10_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii_sanitise": op1_pii_sanitise,
+    "op2_mix_sources": op2_mix_sources,
     "op3_warc_zstd": op3_warc_zstd,
     "op4_secret_scan": op4_secret_scan,
+    "op5_line_dedup": op5_line_dedup,
     "op6_spherical_cap_filters": op6_spherical_cap_filters,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_ordinal_toxicity": op8_ordinal_toxicity,
