@@ -1,10 +1,332 @@
-"""The registered queries over network databases and the SQL that recomputes them."""
+"""The registered queries over network databases and the SQL that recomputes them from the same tables.
+
+No table holds addresses, so each query builds a database from a dimension table (nations, parts, customers, suppliers,
+orders), publishes it in the shared folder, reads it back through the source and looks up addresses made of event keys.
+The SQL knows nothing of trees or encodings.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from netlens import writer as w
+from netlens.functions.paths import decode_path
+from netlens.operators.lookup import lookup_join, lookup_tree, networks_for_lookup, with_records
+from netlens.operators.verify import verify
+from netlens.plans.session import configure, register_functions
+from netlens.sources.files import publish
+from netlens.sources.netdb import _type, read
+
+COUNTRY = "country struct<geoname_id:long,iso_code:string>, region_id int"
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _geo(spark: SparkSession, sf_dir: str, version: int = 4, size: int = 24, shift: int = 0, **options: object) -> str:
+    """Nation k holds 10.k.0.0/16; every third one only the lower half."""
+    rows = sorted(_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").collect())
+    nets = [(f"10.{k}.0.0/{17 if k % 3 == 0 else 16}", {"country": {"geoname_id": w.u32(k + shift), "iso_code": name}, "region_id": w.u16(region)}) for k, name, region in rows]
+    return publish(spark, w.build(nets, version, size, database_type="Geo", build_epoch=1770245369, **options), "geo")
+
+
+def _address(prefix: str = "10.") -> Column:
+    return F.concat(F.lit(prefix), (F.col("user_id") % 32).cast("string"), F.lit("."), (F.col("event_id") % 256).cast("string"), F.lit(".0"))
+
+
+def _events(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    return _table(spark, sf_dir, "events").select("event_id", "user_id", *more)
+
+
+def _located(spark: SparkSession, sf_dir: str, *more: str, strategy: str = "equi", path: str | None = None, version: int = 4) -> DataFrame:
+    nets = networks_for_lookup(spark, path or _geo(spark, sf_dir, version), COUNTRY)
+    return lookup_join(_events(spark, sf_dir, *more).withColumn("ip", _address()), "ip", nets, strategy, version)
+
+
+def lookup_country(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = _located(spark, sf_dir)
+    return got.select("event_id", decode_path(F.col("record"), got.schema["record"].dataType, "country", "iso_code").alias("iso_code"))
+
+
+def lookup_v6_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nets = networks_for_lookup(spark, _geo(spark, sf_dir, 6, 28), COUNTRY)
+    hexed = lambda c: F.lower(F.hex(c))
+    ip = F.concat(F.lit("2002:"), hexed(2560 + F.col("user_id") % 32), F.lit(":"), hexed((F.col("event_id") % 256) * 256), F.lit("::1"))
+    got = lookup_join(_events(spark, sf_dir).withColumn("ip", ip), "ip", nets, "equi", 6)
+    return got.select("event_id", F.when(F.col("found"), F.col("network")).alias("network"), F.col("record.country.iso_code").alias("iso_code"))
+
+
+def lookup_v6_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nets = networks_for_lookup(spark, _geo(spark, sf_dir, 6, 32), COUNTRY)
+    got = lookup_join(_events(spark, sf_dir).withColumn("ip", _address("::ffff:10.")), "ip", nets, "equi", 6)
+    return got.select("event_id", F.when(F.col("found"), F.col("network")).alias("network"), F.col("record.country.geoname_id").alias("geoname_id"))
+
+
+def lookup_miss_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _located(spark, sf_dir).where(~F.col("found")).select("event_id", "network")
+
+
+def lookup_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hit = _located(spark, sf_dir).where("found").select("event_id")
+    return _events(spark, sf_dir).select("event_id").join(hit, "event_id", "left_semi")
+
+
+def lookup_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hit = _located(spark, sf_dir).where("found").select("event_id")
+    return _events(spark, sf_dir).select("event_id").join(hit, "event_id", "left_anti")
+
+
+def lookup_strategies_agree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that any strategy gives and another doesn't."""
+    path = _geo(spark, sf_dir)
+    cols = ["event_id", "found", "network", F.col("record.country.geoname_id").alias("geoname_id")]
+    first, *others = (_located(spark, sf_dir, strategy=s, path=path).select(*cols) for s in ("equi", "range", "asof"))
+    others.append(lookup_tree(_events(spark, sf_dir).withColumn("ip", _address()), "ip", path, f"struct<{COUNTRY}>").select(*cols))
+    diff = first.exceptAll(others[0])
+    for o in others:
+        diff = diff.unionAll(first.exceptAll(o)).unionAll(o.exceptAll(first))
+    return diff.agg(F.count("*").alias("differences"))
+
+
+def lookup_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses that are none, or of a family that the database doesn't hold."""
+    nets = networks_for_lookup(spark, _geo(spark, sf_dir), COUNTRY)
+    ip = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("10.300."), F.col("user_id").cast("string"))).when(F.col("event_id") % 3 == 1, F.lit("2001:db8::1"))
+    got = lookup_join(_events(spark, sf_dir).withColumn("ip", ip), "ip", nets, "equi", 4)
+    return got.select("event_id", "found", "error")
+
+
+def scan_networks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, _geo(spark, sf_dir)).select("network", F.col("prefix_len").cast("long").alias("prefix_len"), "v4_start", "v4_end")
+
+
+def scan_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Networks with their rank in address order."""
+    return read(spark, _geo(spark, sf_dir, 6)).select("network", F.row_number().over(Window.orderBy("net_start")).cast("long").alias("place"))
+
+
+def scan_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _geo(spark, sf_dir)
+    inside = read(spark, path, within="10.9.1.0/13").select(F.lit("range").alias("part"), "network")
+    return inside.unionByName(read(spark, path, within="10.4.5.0/24").select(F.lit("containing").alias("part"), "network"))
+
+
+def scan_within_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = [r[0] for r in _table(spark, sf_dir, "supplier").select("s_suppkey").collect()]
+    nets = [(f"30.{k >> 8}.{k & 255}.0/24", {"suppkey": w.u32(k)}) for k in keys]
+    path = publish(spark, w.build(nets, 4, 28), "suppliers")
+    return read(spark, path, within="30.0.0.0/17", recordSchema="suppkey long").select("network", F.col("record.suppkey").alias("suppkey"))
+
+
+def scan_include_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = read(spark, _geo(spark, sf_dir), within="10.0.0.0/11", includeEmpty=True)
+    return got.select("network", F.col("record_offset").isNotNull().alias("has_data"))
+
+
+def scan_aliased(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, _geo(spark, sf_dir, 6), includeAliased=True).select("network")
+
+
+def scan_pushed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
+    return read(spark, _geo(spark, sf_dir), pushdown=True).where((F.col("v4_start") >= 168296448) & (F.col("v4_end") <= 168689663)).select("network")
+
+
+def scan_udtf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register_functions(spark)
+    return spark.sql(f"SELECT network, CAST(prefix_len AS BIGINT) AS prefix_len FROM networks_within('{_geo(spark, sf_dir)}', '10.8.0.0/13')")
+
+
+def _customers(spark: SparkSession, sf_dir: str) -> str:
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment").collect()
+    nets = [(f"{20 + (k >> 16)}.{k >> 8 & 255}.{k & 255}.0/24", {} if bal < 0 else {"segment": seg}) for k, bal, seg in rows]
+    return publish(spark, w.build(nets, 4, 28), "customers")
+
+
+def scan_skip_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, _customers(spark, sf_dir), skipEmptyValues=True, recordSchema="segment string").select("network", F.col("record.segment").alias("segment"))
+
+
+def records_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nets = read(spark, _customers(spark, sf_dir))
+    return nets.agg(F.count("*").alias("networks"), F.countDistinct("record_offset").alias("records"))
+
+
+def offset_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _customers(spark, sf_dir)
+    both = with_records(read(spark, path).select("network", "record_offset"), read(spark, path, "records", recordSchema="segment string"))
+    return both.groupBy(F.coalesce("record.segment", F.lit("none")).alias("segment")).agg(F.count("*").alias("networks"))
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> str:
+    rows = _table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_retailprice").collect()
+    nets = []
+    for k, name, size, price in rows:
+        record = {
+            "key": w.u64(k << 40), "name": name, "size": w.u16(size), "price": price, "raw": name.encode()[:4], "odd": k % 2 == 1, "neg": w.i32(-k),
+            "half": w.f32(k / 2), "big": w.u128(k << 100), "tags": [w.u32(k), w.u32(k + 1), w.u32(k + 2)][: 1 + k % 3], "deep": {"list": [{"v": name}]},
+        }
+        nets.append((f"40.{k >> 16}.{k >> 8 & 255}.{k & 255}/32", record))
+    return publish(spark, w.build(nets, 4, 32, pointers=True), "parts")
+
+
+PART = "key decimal(20,0), name string, size int, price double, raw binary, odd boolean, neg int, half float, big binary, tags array<long>, deep struct<list:array<struct<v:string>>>"
+
+
+def decode_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = read(spark, _parts(spark, sf_dir), recordSchema=PART).select("record.*")
+    return r.select(
+        (-F.col("neg")).cast("long").alias("partkey"), F.col("key").cast("string").alias("u64"), "name", F.col("size").cast("long").alias("size"), "price",
+        F.decode("raw", "utf-8").alias("raw"), F.col("odd").cast("long").alias("odd"), F.col("half").cast("double").alias("half"), F.hex("big").alias("u128"),
+    )
+
+
+def decode_path_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = read(spark, _parts(spark, sf_dir), recordSchema=PART)
+    at = lambda *p: decode_path(F.col("record"), df.schema["record"].dataType, *p)
+    return df.select((-at("neg")).cast("long").alias("partkey"), at("tags", 0).alias("first"), at("tags", 2).alias("third"), at("tags", -1).alias("last"), at("tags", -3).alias("minus3"), at("deep", "list", 0, "v").alias("v"), at("nothing", 1).cast("string").alias("absent"))
+
+
+def decode_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = read(spark, _parts(spark, sf_dir), recordAs="variant")
+    at = lambda *p: decode_path(F.col("record"), _type("variant"), *p, strict=False)
+    return df.select((-at("neg").cast("long")).alias("partkey"), at("tags", -1).cast("long").alias("last"), at("deep", "list", 0, "v").cast("string").alias("v"), at("name", 1).cast("string").alias("absent"))
+
+
+def kinds_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = read(spark, _parts(spark, sf_dir), recordSchema="tags array<long>, odd boolean")
+    return df.groupBy(F.size("record.tags").cast("long").alias("tags"), F.col("record.odd").cast("long").alias("odd")).agg(F.count("*").alias("n"))
+
+
+def decode_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """64- and 128-bit numbers, whole."""
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey").collect()
+    nets = [(f"50.{k >> 16 & 255}.{k >> 8 & 255}.{k & 255}/32", {"a": w.u64(k * 4294967296 + 7), "b": w.u128(k * 18446744073709551616 + k)}) for (k,) in rows]
+    r = read(spark, publish(spark, w.build(nets, 4, 32), "orders"), recordSchema="a decimal(20,0), b decimal(38,0)").select("record.*")
+    return r.select(F.col("a").cast("string").alias("u64"), F.col("b").cast("string").alias("u128"))
+
+
+def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = read(spark, _geo(spark, sf_dir), "metadata")
+    return m.select(
+        "database_type", F.col("ip_version").cast("long").alias("ip_version"), F.col("record_size").cast("long").alias("record_size"), F.col("build_epoch").cast("long").alias("build_epoch"),
+        F.date_format("build_time", "yyyy-MM-dd HH:mm:ss").alias("build_time"), F.col("description")["en"].alias("description"), F.element_at("languages", 1).alias("language"),
+        (F.col("search_tree_bytes") - F.col("node_count") * 6).alias("rest"),
+    )
+
+
+def verify_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify(spark, _geo(spark, sf_dir, 6, 28)).agg(F.count("*").alias("findings"))
+
+
+def verify_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A database without description, with a byte in the separator and a value that nothing points to."""
+    data = bytearray(w.build([("1.0.0.0/8", {"a": "b"}), ("2.0.0.0/8", {"a": "c"})], 4, 24, description={}))
+    from netlens.codec import Database
+
+    tree = Database(bytes(data)).tree_bytes
+    data[tree] = 1
+    at = data.rfind(b"\xab\xcd\xef")
+    broken = bytes(data[:at]) + w.encode("stray") + bytes(data[at:])
+    return verify(spark, publish(spark, broken, "broken")).select(F.col("rank").cast("long").alias("rank"), "name", "message")
+
+
+def agg_by_country(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = _located(spark, sf_dir, "value").where("found")
+    return got.groupBy(F.col("record.country.iso_code").alias("iso_code")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.max("value").alias("most"))
+
+
+def cube_country_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = _located(spark, sf_dir, "event_type").where("found").select(F.col("record.region_id").cast("long").alias("region_id"), "event_type")
+    return got.cube("region_id", "event_type").agg(F.count("*").alias("n"))
+
+
+def topk_country(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = _located(spark, sf_dir).where("found").groupBy(F.col("record.country.iso_code").alias("iso_code")).agg(F.count("*").alias("n"))
+    return got.orderBy(F.desc("n"), "iso_code").limit(5)
+
+
+def gap_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.orderBy("v4_start")  # one row per network of a small table
+    nets = read(spark, _geo(spark, sf_dir)).select("v4_end", F.lead("v4_start").over(order).alias("next"))
+    return nets.where("next > v4_end + 1").select((F.col("v4_end") + 1).alias("gap_start"), (F.col("next") - 1).alias("gap_end"))
+
+
+def db_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Networks whose record differs between two builds, both ways."""
+    old = read(spark, _geo(spark, sf_dir), recordSchema=COUNTRY).select("network", F.col("record.country.geoname_id").alias("geoname_id"))
+    new = read(spark, _geo(spark, sf_dir, shift=100), recordSchema=COUNTRY).select("network", F.col("record.country.geoname_id").alias("geoname_id"))
+    gone = old.exceptAll(new).withColumn("change", F.lit("removed"))
+    return gone.unionByName(new.exceptAll(old).withColumn("change", F.lit("added")))
+
+
+def stream_enrich_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream, located by walking the file, counted by hour and country."""
+    from netlens.sources.files import shared_folder
+    from netlens.streaming.enrich import enrich, windowed_counts
+
+    import uuid
+
+    place = f"{shared_folder(spark)}/netlens-stream-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(_table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")
+    got = enrich(stream.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("ip", _address()), "ip", _geo(spark, sf_dir), f"struct<{COUNTRY}>").where("found")
+    counts = windowed_counts(got.withColumn("iso_code", F.col("record.country.iso_code")), "ts", ["iso_code"], "1 hour", "10 minutes")
+    flat = counts.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "iso_code", "n")
+    sink = lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{place}/out")
+    flat.writeStream.outputMode("complete").foreachBatch(sink).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("hour string, iso_code string, n long").parquet(f"{place}/out")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        lookup_country, lookup_v6_alias, lookup_v6_mapped, lookup_miss_network, lookup_semi, lookup_anti, lookup_strategies_agree, lookup_errors, scan_networks, scan_ordered,
+        scan_within, scan_within_suppliers, scan_include_empty, scan_aliased, scan_pushed, scan_udtf, scan_skip_empty, records_dedup, offset_join, decode_types, decode_path_array,
+        decode_variant, kinds_histogram, decode_orders, metadata, verify_clean, verify_findings, agg_by_country, cube_country_type, topk_country, gap_detection, db_diff, stream_enrich_window,
+    )
+}
+
+_ON = "n.n_nationkey = e.user_id % 32 AND (n.n_nationkey % 3 <> 0 OR e.event_id % 256 < 128)"
+_HALF = "n_nationkey % 3 = 0"
+_NETS = f"SELECT n_nationkey AS k, '10.' || n_nationkey || '.0.0/' || CASE WHEN {_HALF} THEN 17 ELSE 16 END AS network FROM nation"
+_IP = "(10 * 16777216 + n_nationkey * 65536)"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "lookup_country": f"SELECT e.event_id, n.n_name AS iso_code FROM events e LEFT JOIN nation n ON {_ON}",
+    "lookup_v6_alias": f"SELECT e.event_id, printf('2002:%x::/%d', 2560 + n.n_nationkey, CASE WHEN {_HALF} THEN 33 ELSE 32 END) AS network, n.n_name AS iso_code FROM events e LEFT JOIN nation n ON {_ON}",
+    "lookup_v6_mapped": f"SELECT e.event_id, '::ffff:10.' || n.n_nationkey || '.0.0/' || CASE WHEN {_HALF} THEN 113 ELSE 112 END AS network, CAST(n.n_nationkey AS BIGINT) AS geoname_id FROM events e LEFT JOIN nation n ON {_ON}",
+    "lookup_miss_network": f"SELECT e.event_id, CASE WHEN user_id % 32 >= 28 THEN '10.28.0.0/14' WHEN user_id % 32 >= 26 THEN '10.26.0.0/15' WHEN user_id % 32 = 25 THEN '10.25.0.0/16' ELSE '10.' || (user_id % 32) || '.128.0/17' END AS network FROM events e LEFT JOIN nation n ON {_ON} WHERE n.n_nationkey IS NULL",
+    "lookup_semi": f"SELECT e.event_id FROM events e WHERE EXISTS (SELECT 1 FROM nation n WHERE {_ON})",
+    "lookup_anti": f"SELECT e.event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM nation n WHERE {_ON})",
+    "lookup_strategies_agree": "SELECT CAST(0 AS BIGINT) AS differences",
+    "lookup_errors": "SELECT event_id, false AS found, CASE WHEN event_id % 3 = 1 THEN 'error looking up ''2001:db8::1'': you attempted to look up an IPv6 address in an IPv4-only database' ELSE 'invalid IP address' END AS error FROM events",
+    "scan_networks": f"SELECT network, CAST(CASE WHEN k % 3 = 0 THEN 17 ELSE 16 END AS BIGINT) AS prefix_len, CAST(167772160 + k * 65536 AS BIGINT) AS v4_start, CAST(167772160 + k * 65536 + CASE WHEN k % 3 = 0 THEN 32767 ELSE 65535 END AS BIGINT) AS v4_end FROM ({_NETS})",
+    "scan_ordered": f"SELECT network, CAST(row_number() OVER (ORDER BY k) AS BIGINT) AS place FROM ({_NETS})",
+    "scan_within": f"SELECT 'range' AS part, network FROM ({_NETS}) WHERE k BETWEEN 8 AND 15 UNION ALL SELECT 'containing', network FROM ({_NETS}) WHERE k = 4",
+    "scan_within_suppliers": "SELECT '30.' || (s_suppkey // 256) || '.' || (s_suppkey % 256) || '.0/24' AS network, s_suppkey AS suppkey FROM supplier WHERE s_suppkey < 128",
+    "scan_include_empty": f"SELECT network, true AS has_data FROM ({_NETS}) UNION ALL SELECT '10.' || n_nationkey || '.128.0/17', false FROM nation WHERE {_HALF} UNION ALL SELECT x, false FROM (VALUES ('10.25.0.0/16'), ('10.26.0.0/15'), ('10.28.0.0/14')) t(x)",
+    "scan_aliased": f"SELECT network FROM ({_NETS}) UNION ALL SELECT '::ffff:10.' || n_nationkey || '.0.0/' || CASE WHEN {_HALF} THEN 113 ELSE 112 END FROM nation UNION ALL SELECT printf('2001:0:%x::/%d', 2560 + n_nationkey, CASE WHEN {_HALF} THEN 49 ELSE 48 END) FROM nation UNION ALL SELECT printf('2002:%x::/%d', 2560 + n_nationkey, CASE WHEN {_HALF} THEN 33 ELSE 32 END) FROM nation",
+    "scan_pushed": f"SELECT network FROM ({_NETS}) WHERE 167772160 + k * 65536 >= 168296448 AND 167772160 + k * 65536 + CASE WHEN k % 3 = 0 THEN 32767 ELSE 65535 END <= 168689663",
+    "scan_udtf": f"SELECT network, CAST(CASE WHEN k % 3 = 0 THEN 17 ELSE 16 END AS BIGINT) AS prefix_len FROM ({_NETS}) WHERE k BETWEEN 8 AND 15",
+    "scan_skip_empty": "SELECT (20 + c_custkey // 65536) || '.' || (c_custkey // 256 % 256) || '.' || (c_custkey % 256) || '.0/24' AS network, c_mktsegment AS segment FROM customer WHERE c_acctbal >= 0",
+    "records_dedup": "SELECT count(*) AS networks, count(DISTINCT CASE WHEN c_acctbal < 0 THEN '' ELSE c_mktsegment END) AS records FROM customer",
+    "offset_join": "SELECT CASE WHEN c_acctbal < 0 THEN 'none' ELSE c_mktsegment END AS segment, count(*) AS networks FROM customer GROUP BY 1",
+    "decode_types": "SELECT p_partkey AS partkey, CAST(CAST(p_partkey AS HUGEINT) * 1099511627776 AS VARCHAR) AS u64, p_name AS name, CAST(p_size AS BIGINT) AS size, p_retailprice AS price, p_name[:4] AS raw, p_partkey % 2 AS odd, CAST(CAST(p_partkey AS FLOAT) / 2 AS DOUBLE) AS half, upper(lpad(printf('%x', p_partkey * 16), 8, '0')) || repeat('0', 24) AS u128 FROM part",
+    "decode_path_array": "SELECT p_partkey AS partkey, p_partkey AS \"first\", CASE WHEN p_partkey % 3 = 2 THEN p_partkey + 2 END AS third, p_partkey + p_partkey % 3 AS \"last\", CASE WHEN p_partkey % 3 = 2 THEN p_partkey END AS minus3, p_name AS v, CAST(NULL AS VARCHAR) AS absent FROM part",
+    "decode_variant": "SELECT p_partkey AS partkey, p_partkey + p_partkey % 3 AS \"last\", p_name AS v, CAST(NULL AS VARCHAR) AS absent FROM part",
+    "kinds_histogram": "SELECT 1 + p_partkey % 3 AS tags, p_partkey % 2 AS odd, count(*) AS n FROM part GROUP BY 1, 2",
+    "decode_orders": "SELECT CAST(CAST(o_orderkey AS HUGEINT) * 4294967296 + 7 AS VARCHAR) AS u64, CAST(CAST(o_orderkey AS HUGEINT) * 18446744073709551616 + o_orderkey AS VARCHAR) AS u128 FROM orders",
+    "metadata": "SELECT 'Geo' AS database_type, CAST(4 AS BIGINT) AS ip_version, CAST(24 AS BIGINT) AS record_size, CAST(1770245369 AS BIGINT) AS build_epoch, '2026-02-04 22:49:29' AS build_time, 'Test Database' AS description, 'en' AS language, CAST(0 AS BIGINT) AS rest",
+    "verify_clean": "SELECT CAST(0 AS BIGINT) AS findings",
+    "verify_findings": "SELECT CAST(r AS BIGINT) AS rank, n AS name, m AS message FROM (VALUES (6, 'metadata', 'description - Expected: non-empty map Actual: map[]'), (200, 'separator', 'unexpected byte in data separator: [1, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0]'), (301, 'data', 'found data at 10 that the search tree does not point to')) t(r, n, m)",
+    "agg_by_country": f"SELECT n.n_name AS iso_code, count(*) AS n, count(DISTINCT user_id) AS users, max(value) AS most FROM events e JOIN nation n ON {_ON} GROUP BY 1",
+    "cube_country_type": f"SELECT CAST(n_regionkey AS BIGINT) AS region_id, event_type, count(*) AS n FROM events e JOIN nation n ON {_ON} GROUP BY CUBE (CAST(n_regionkey AS BIGINT), event_type)",
+    "topk_country": f"SELECT n.n_name AS iso_code, count(*) AS n FROM events e JOIN nation n ON {_ON} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5",
+    "gap_detection": "SELECT CAST(167772160 + n_nationkey * 65536 + 32768 AS BIGINT) AS gap_start, CAST(167772160 + n_nationkey * 65536 + 65535 AS BIGINT) AS gap_end FROM nation WHERE n_nationkey % 3 = 0 AND n_nationkey < (SELECT max(n_nationkey) FROM nation)",
+    "db_diff": f"SELECT network, CAST(k AS BIGINT) AS geoname_id, 'removed' AS change FROM ({_NETS}) UNION ALL SELECT network, CAST(k + 100 AS BIGINT), 'added' FROM ({_NETS})",
+    "stream_enrich_window": f"SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, n.n_name AS iso_code, count(*) AS n FROM events e JOIN nation n ON {_ON} GROUP BY 1, 2",
+}
