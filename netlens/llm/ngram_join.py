@@ -3,9 +3,10 @@
 Rows are distinct shingle sets, columns are shingle hashes. Columns are cut into blocks by hash range and
 rows into bands by set size. A pair whose overlap meets the bound that its sizes give differs in at most
 (1-t)/(1+t) * (n1+n2) columns, so, cut into one block more than that, the two rows agree on a whole block;
-rows that agree on no block are discarded without being multiplied. Rows that hang together by equal blocks
-form candidate groups; each group's rows are multiplied block by block of columns, overlap counts add up, and
-pairs below the bound are discarded. Large groups are dealt out as pairs of row blocks of bounded size.
+rows that agree on no block are discarded without being multiplied. Of rows that agree on one, those whose column
+parities differ in more places than the bound allows are told apart too. Rows that still hang together form candidate
+groups; each group's rows are multiplied block by block of columns, overlap counts add up, and pairs below the bound
+are discarded. Large groups are dealt out as pairs of row blocks of bounded size.
 The result is exact up to collisions of 64-bit hashes; a linked pair is never missed.
 
 Defined cases: a null or empty text has the empty set and links with nothing; a text of fewer words than a
@@ -16,6 +17,7 @@ doc_id takes part and is larger than all others; other columns of the input are
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +28,11 @@ from netlens.llm.common import Scratch, connected_components, fit_broadcast
 from netlens.llm.kernel import mix, shingle_sets
 
 #: Shingle hashes that one block of rows of a large group holds.
-BLOCK = 500_000
+BLOCK = 1_000_000
 #: Columns that are multiplied at once.
 COLUMNS = 4096
+#: Rows that agree on a block beyond this number are grouped without a look at their parities.
+MEET = 20_000
 
 
 def bands(most: int) -> np.ndarray:
@@ -39,17 +43,34 @@ def bands(most: int) -> np.ndarray:
     return np.array(lo, np.int64)
 
 
+@lru_cache(maxsize=4096)
+def plan(lo: int, hi: int, num: int, den: int) -> tuple[int, int]:
+    """(column blocks, empty blocks allowed) for rows of lo to hi columns. Linked rows differ in at most `most` columns
+    and so agree on all blocks but that many; the blocks beyond are more than a row usually has empty ones, so that
+    they agree on one that isn't empty."""
+    most = (den - num) * 2 * hi // (den + num)
+    for spare in range(most + 16):
+        k = most + 1 + spare
+        none = np.exp(-lo / k)
+        if k * none + 3 * np.sqrt(k * none * (1 - (1 + lo / k) * none)) <= spare + 0.5:
+            break
+    return k, spare
+
+
 def block_keys(x: np.ndarray, num: int, den: int, lo: np.ndarray) -> np.ndarray:
-    """One key for each column block of the row x, in its own band and in larger ones that it can have partners in."""
+    """One key for each column block of the row x, in its own band and in larger ones that it can have partners in.
+    Empty blocks count only in a row that has more of them than its band allows; two such rows meet there."""
     n, out = len(x), []
     band = int(np.searchsorted(lo, n, "right")) - 1
     high, values = x >> np.uint64(32), mix(x)
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values)))
     while band + 1 < len(lo) and (lo[band] <= n or n * den >= num * lo[band]):
-        k = (den - num) * 2 * int(lo[band + 1] - 1) // (den + num) + 1
+        k, spare = plan(-(-int(lo[band]) * num // den), int(lo[band + 1] - 1), num, den)
         cut = np.searchsorted(high * np.uint64(k) >> np.uint64(32), np.arange(k + 1, dtype=np.uint64))
         part = total[cut[1:]] - total[cut[:-1]]
-        out.append(mix(part + mix(np.arange(k, dtype=np.uint64) + np.uint64(band << 32))))
+        keys = mix(part + mix(np.arange(k, dtype=np.uint64) + np.uint64(band << 32)))
+        full = cut[1:] > cut[:-1]
+        out.append(keys if k - int(full.sum()) > spare else keys[full])
         band += 1
     return np.concatenate(out)
 
@@ -58,23 +79,83 @@ def _rows(k: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lo = bands(1 << 16)
         for batch in batches:
-            ns, nodes, keys = [], [], []
+            ns, nodes, keys, marks = [], [], [], []
             for _, x in shingle_sets(batch.column(1), k):
                 if len(x) >= lo[-2]:
                     lo = bands(2 * len(x))
                 ns.append(len(x))
                 nodes.append(mix(np.array([np.add.reduce(mix(x)) + np.uint64(len(x))], np.uint64)).view(np.int64)[0])
                 keys.append(block_keys(x, num, den, lo).view(np.int64) if len(x) else np.zeros(0, np.int64))
+                marks.append(parity(x))
             at = np.concatenate(([0], np.cumsum([len(x) for x in keys]))).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(at, pa.array(flat))],
-                ["doc_id", "text_hash", "n", "node", "keys"],
+                [batch.column(0), batch.column(2), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(at, pa.array(flat)), pa.array(marks, pa.binary())],
+                ["doc_id", "text_hash", "n", "node", "keys", "marks"],
             )
 
     return run
 
 
+def parity(x: np.ndarray) -> bytes:
+    """Parities of the counts of columns by their low bits, about as many places as there are columns."""
+    size = 1 << max(8, (len(x) - 1).bit_length())
+    return np.packbits(np.bincount((x & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1, bitorder="little").tobytes()
+
+
+def _meet(num: int, den: int):
+    """Rows (list, node, n, marks) sorted by list to edges (a, b) that join the rows of a list which can be linked: a
+    pair's parities differ in no more places than its columns do."""
+
+    def solve(nodes: list[int], ns: list[int], marks: list[bytes]) -> tuple[list[int], list[int]]:
+        words = [np.frombuffer(m, np.uint64) for m in marks]
+        least = min(map(len, words))
+        table = np.stack([np.bitwise_xor.reduce(m.reshape(-1, least), axis=0) for m in words])
+        n, left, a, b = np.array(ns, np.int64), np.arange(len(nodes)), [], []
+        while len(left):
+            queue, left = [int(left[0])], left[1:]
+            while queue and len(left):
+                i = queue.pop()
+                apart = np.bitwise_count(table[left] ^ table[i]).sum(1)
+                near = apart <= (den - num) * (n[left] + n[i]) // (den + num)
+                got = left[near].tolist()
+                a += [nodes[i]] * len(got)
+                b += [nodes[j] for j in got]
+                queue += got
+                left = left[~near]
+        return a, b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, a, b = None, ([], [], []), [], []
+        for batch in batches:
+            for name, *row in zip(*(batch.column(c).to_pylist() for c in ("list", "node", "n", "marks")), strict=True):
+                if name != at:
+                    if len(held[0]) > 1:
+                        for to, v in zip((a, b), solve(*held), strict=True):
+                            to += v
+                    at, held = name, ([], [], [])
+                for to, v in zip(held, row, strict=True):
+                    to.append(v)
+        if len(held[0]) > 1:
+            for to, v in zip((a, b), solve(*held), strict=True):
+                to += v
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def candidate_edges(some: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): edges whose components are the candidate groups."""
+    posts = some.groupBy("node").agg(F.first("keys").alias("keys")).select("node", F.explode("keys").alias("key"))
+    own = Window.partitionBy("key")
+    posts = posts.select("node", F.count("*").over(own).alias("m"), F.bit_xor(F.xxhash64("node")).over(own).alias("sum"), F.min("node").over(own).alias("head"))
+    lists = posts.where("m > 1").groupBy("m", "sum", "head", "node").agg(F.lit(1).alias("one"))  # equal lists once
+    large = lists.where(F.col("m") > MEET).where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    small = lists.where(F.col("m") <= MEET).select(F.xxhash64("m", "sum", "head").alias("list"), "node").join(reps.select("node", "n", "marks"), "node")
+    small = small.select("list", "node", "n", "marks").repartition("list").sortWithinPartitions("list", "node")
+    return large.unionByName(small.mapInArrow(_meet(num, den), "a long, b long"))
+
+
 def _sets(k: int):
     """Rows (node, grp, i, j, text) to (node, grp, i, j, hashes)."""
 
@@ -195,12 +276,10 @@ def ngram_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (
     s = scratch or Scratch(spark)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     hashed = texts.withColumn("text_hash", F.xxhash64("text"))
-    rows = s.cut(hashed.mapInArrow(_rows(k, num, den), "doc_id long, text_hash long, n long, node long, keys array<long>"), "rows")
+    rows = s.cut(hashed.mapInArrow(_rows(k, num, den), "doc_id long, text_hash long, n long, node long, keys array<long>, marks binary"), "rows")
     some = rows.where("n > 0")
-    reps = s.cut(some.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("keys").alias("keys")), "reps")
-    posts = reps.select("node", F.explode("keys").alias("key"))
-    run = Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, 0)
-    edges = posts.select("node", F.first("node").over(run).alias("head")).where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    reps = s.cut(some.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("marks").alias("marks")), "reps")
+    edges = candidate_edges(some, reps, num, den)
     groups = connected_components(edges, s)
     members = groups.select("node", F.col("root").alias("grp")).join(reps.select("node", "doc_id", "n"), "node")
     load = members.groupBy("grp").agg(F.sum("n").alias("load"))
