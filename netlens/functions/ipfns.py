@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -59,25 +60,52 @@ def network_text(hi: int, lo: int, depth: int, v4: bool, v4_depth: int) -> str:
     return f"::/{depth}" if depth < v4_depth else f"{v4_text(lo & 0xFFFFFFFF)}/{depth - v4_depth}"
 
 
-def with_address(df: DataFrame, ip: str) -> DataFrame:
-    """df with _family (4, 6, or 0), _hi and _lo, the signed words of the address. IPv4 texts are read in the JVM;
-    only other texts go through Python, in Arrow batches."""
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _long(hexed: Column) -> Column:
+    return F.conv(hexed, 16, -10).cast("long")
+
+
+def ipv6_words(ip: Column) -> Column:
+    """(h, l), the signed words of an IPv6 text, null for anything else; all in the JVM. Zones are no part of it."""
 
-    @F.pandas_udf("struct<f:int,h:long,l:long>")
-    def other(texts):
-        import pandas as pd
+    def tail(text: Column) -> Column:
+        """The text with a dotted tail as two groups."""
+        n = ipv4_to_long(F.regexp_extract(text, r"^(.*:)([0-9.]+)$", 2))
+        four = lambda v: F.lpad(F.hex(v), 4, "0")
+        both = F.concat(F.regexp_extract(text, r"^(.*:)([0-9.]+)$", 1), four(F.shiftright(n, 16)), F.lit(":"), four(n.bitwiseAND(F.lit(65535))))
+        return F.when(F.contains(text, F.lit(".")), both).otherwise(text)
 
-        family, hi, lo = parse([None if pd.isna(t) else t for t in texts])
-        return pd.DataFrame({"f": family, "h": hi.view(np.int64), "l": lo.view(np.int64)})
+    groups = lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, ":", -1))
+    join = lambda g: F.array_join(F.transform(g, lambda x: F.lpad(x, 4, "0")), "")
 
-    v4 = ipv4_to_long(F.col(ip))
-    v6 = F.when(v4.isNull() & F.col(ip).contains(":"), other(F.col(ip)))
-    out = df.withColumn("_v4", v4).withColumn("_v6", v6)
+    def words(p: Column) -> Column:
+        n = F.size(p["a"]) + F.size(p["b"])
+        good = F.forall(F.concat(p["a"], p["b"]), lambda x: x.rlike("^[0-9A-Fa-f]{1,4}$"))
+        good = good & F.when(p["halves"] == 2, n <= 7).otherwise((p["halves"] == 1) & (n == 8))
+        full = F.concat(join(p["a"]), F.repeat(F.lit("0000"), 8 - n), join(p["b"]))
+        return F.when(good, let(full, lambda t: F.struct(_long(F.substring(t, 1, 16)).alias("h"), _long(F.substring(t, 17, 16)).alias("l"))))
+
+    def parts(h: Column) -> Column:
+        second = F.when(F.size(h) >= 2, F.get(h, F.lit(1))).otherwise(F.lit(""))
+        return F.struct(F.size(h).alias("halves"), groups(F.get(h, F.lit(0))).alias("a"), groups(second).alias("b"))
+
+    found = let(F.split(tail(ip), "::", -1), lambda h: let(parts(h), words))
+    return F.when(F.contains(ip, F.lit(":")), found)
+
+
+def with_address(df: DataFrame, ip: str) -> DataFrame:
+    """df with _family (4, 6, or 0), _hi and _lo, the signed words of the address; no Python runs."""
+    out = df.withColumn("_v4", ipv4_to_long(F.col(ip))).withColumn("_v6", ipv6_words(F.col(ip)))
+    zero = F.lit(0).cast("long")
     return out.select(
         *df.columns,
-        F.when(F.col("_v4").isNotNull(), 4).otherwise(F.coalesce(F.col("_v6.f"), F.lit(0))).alias("_family"),
-        F.coalesce(F.col("_v6.h"), F.lit(0).cast("long")).alias("_hi"),
-        F.coalesce(F.col("_v4"), F.col("_v6.l"), F.lit(0).cast("long")).alias("_lo"),
+        F.when(F.col("_v4").isNotNull(), 4).when(F.col("_v6").isNotNull(), 6).otherwise(0).alias("_family"),
+        F.coalesce(F.col("_v6.h"), zero).alias("_hi"),
+        F.coalesce("_v4", F.col("_v6.l"), zero).alias("_lo"),
     )
 
 

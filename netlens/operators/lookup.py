@@ -76,16 +76,14 @@ def lookup_join(df: DataFrame, ip: str, nets: DataFrame, strategy: str = "equi",
     """df with found, network, record_offset, error and, if nets has it, record, for the address texts in column ip.
     Every row of df stays, repeated rows and null addresses too."""
     record = [c for c in ("record",) if c in nets.columns]
-    ident = df.withColumn("_id", F.monotonically_increasing_id()) if strategy != "tree" else df
     clash = [c for c in (*ADDED, *record) if c in df.columns]
     if clash:
         raise ValueError(f"columns {clash} are taken")
-    names = {c: f"_n_{c}" for c in nets.columns if c in df.columns}
     cols = ["depth", "hi", "lo", "net_start", "net_end", "network_v4", "network_v6", "record_offset", "error", *record]
     side = nets.select(*cols)
     if any(c in df.columns for c in cols):
-        raise ValueError(f"columns {sorted(set(cols) & set(df.columns))} are taken: {names}")
-    keyed = with_address(ident, ip)
+        raise ValueError(f"columns {sorted(set(cols) & set(df.columns))} are taken")
+    keyed = with_address(df, ip)
     # The texts of addresses are parsed once: the rows that can't match are told apart here, not by a second join.
     usable = (F.col("_family") == 4) | ((F.col("_family") == 6) & F.lit(ip_version == 6))
     good = keyed.where(usable)
