@@ -21,11 +21,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netlens.llm.common import Scratch, connected_components, fit_broadcast
-from netlens.llm.kernel import _powers, mix
+from netlens.llm.common import Scratch, connected_components, fit_broadcast, small_batches
+from netlens.llm.kernel import _powers, chunks, mix
 
-EDITS, SHORTEST, PART = 2, 20, 1 << 18
+EDITS, SHORTEST, PART, SEEN = 2, 20, 1 << 18, 1 << 19
+_TRIM = np.zeros(256, bool)
+_TRIM[[9, 10, 11, 12, 13, 32]] = True
 LAST = 2**63 - 1
+#: Random words for the lead byte of a code point and for each byte after it.
+_CODE = np.random.Generator(np.random.PCG64(11)).integers(1, 2**64, (4, 256), dtype=np.uint64)
 #: One edit takes away at most two bigrams and adds at most two.
 FLIPS = 4 * EDITS
 
@@ -70,88 +74,140 @@ def _cut(length: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _keys(lines: list[str], probe: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line, key, parity of bigram counts) of the index or probe keys of some lines."""
-    text = "".join(lines)
-    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    size = np.array([len(x) for x in lines], np.int64)
-    s = np.concatenate(([0], np.cumsum(size)[:-1]))
-    v = mix(cp + np.uint64(0x9E3779B97F4A7C15))
-    pw, inv = _powers(len(v))
-    c = np.concatenate((np.zeros(1, np.uint64), np.cumsum(v * pw)))
-    bits = np.zeros(len(v), np.uint64)
-    bits[:-1] = np.uint64(1) << (mix(v[:-1] * np.uint64(3) + v[1:]) >> np.uint64(58))
-    bits[s + size - 1] = 0
-    sig = np.bitwise_xor.reduceat(bits, s)
-    rows, keys = [], []
-
-    def put(on: np.ndarray, start: np.ndarray, own: np.ndarray, length: np.ndarray, i: int) -> None:
-        r = np.flatnonzero(on)
-        a = s[r] + start[r]
-        h = (c[a + own[r]] - c[a]) * inv[a]
-        rows.append(r)
-        keys.append(mix(h + mix(length[r].astype(np.uint64) * np.uint64(8) + np.uint64(i))))
-
-    for gap in range(EDITS + 1 if probe else 1):
-        length = size - gap
-        for i, (at, own) in enumerate(_cut(length), 1):
-            left, right = (i - 1, EDITS + 1 - i) if probe else (0, 0)
-            for move in range(max(-left, gap - right), min(left, gap + right) + 1):
-                start = at + move
-                put((length >= SHORTEST) & (start >= 0) & (start + own <= size), start, own, length, i)
-    r = np.concatenate(rows)
-    return r, np.concatenate(keys), sig[r]
+def _trim(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte bounds without white space at the ends: one byte a round, then at once for what is left after a few."""
+    start, end = start.copy(), end.copy()
+    for _ in range(8):
+        ends = (start < end) & _TRIM[data[np.maximum(end - 1, 0)]]
+        end -= ends
+        starts = (start < end) & _TRIM[data[np.minimum(start, len(data) - 1)]]
+        start += starts
+        if not ends.any() and not starts.any():
+            return start, end
+    ink = np.concatenate((np.flatnonzero(~_TRIM[data]), [len(data)]))
+    first, last = np.searchsorted(ink, start), np.searchsorted(ink, end)
+    some = last > first
+    return np.where(some, ink[first], start), np.where(some, ink[np.maximum(last - 1, 0)] + 1, start)
+
+
+class Lines:
+    """The lines of a chunk of texts that count: trimmed, at least SHORTEST code points. A code point is a lead byte
+    with the bytes that follow it, and all lengths and positions count those."""
+
+    def __init__(self, data: np.ndarray, offs: np.ndarray):
+        n = len(data)
+        brk = np.flatnonzero(data == 10)
+        start = np.sort(np.concatenate((offs[:-1][offs[1:] > offs[:-1]], brk[~np.isin(brk + 1, offs)] + 1)))
+        row = np.searchsorted(offs, start, "right") - 1
+        end = np.minimum(np.concatenate((start[1:], [n])), offs[row + 1])
+        end = end - ((end > start) & (data[np.maximum(end - 1, 0)] == 10))
+        self.at = np.arange(len(start)) - np.searchsorted(row, row)
+        start, end = _trim(data, start, end)
+        follows = (data & 0xC0) == 0x80
+        tail = np.flatnonzero(follows)
+        place = np.arange(n) if not len(tail) else np.flatnonzero(~follows)
+        unit = (lambda x: x - np.searchsorted(tail, x)) if len(tail) else (lambda x: x)
+        first = unit(start)
+        size = unit(end) - first
+        keep = np.flatnonzero(size >= SHORTEST)
+        self.row, self.at, self.size, self.s = row[keep], self.at[keep], size[keep], first[keep]
+        self.v = _CODE[0][data[place]]
+        own = unit(tail) - 1 if len(tail) else tail  # the code point that each following byte belongs to
+        turn = tail - place[own] if len(tail) else tail
+        for k in range(1, 4):
+            at = turn == k
+            self.v[own[at]] += _CODE[k][data[tail[at]]]
+        pw, self.inv = _powers(max(1, len(self.v)))
+        self.c = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.v * pw[: len(self.v)])))
+        self.h = self.hash(self.s, self.size)
+
+    def hash(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        return mix((self.c[start + length] - self.c[start]) * self.inv[np.minimum(start, len(self.inv) - 1)] + length.astype(np.uint64))
+
+    def take(self, rows: np.ndarray) -> None:
+        self.row, self.at, self.size, self.s, self.h = (x[rows] for x in (self.row, self.at, self.size, self.s, self.h))
+
+    def parity(self) -> np.ndarray:
+        """Parities of the counts of a line's bigrams by 64 classes."""
+        bits = np.zeros(len(self.v) + 1, np.uint64)
+        two = self.v[:-1] * np.uint64(0x9E3779B97F4A7C15)
+        two += self.v[1:]
+        two *= np.uint64(0xBF58476D1CE4E5B9)
+        two >>= np.uint64(58)
+        np.left_shift(np.uint64(1), two, out=bits[: len(self.v) - 1])
+        run = np.bitwise_xor.accumulate(bits)
+        ends = self.s + self.size - 2
+        return run[ends] ^ np.where(self.s > 0, run[np.maximum(self.s - 1, 0)], np.uint64(0))
+
+    def keys(self, probe: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(line, key) of the index or the probe keys of all lines."""
+        rows, keys = [], []
+        for gap in range(EDITS + 1 if probe else 1):
+            length = self.size - gap
+            for i, (at, own) in enumerate(_cut(length), 1):
+                left, right = (i - 1, EDITS + 1 - i) if probe else (0, 0)
+                for move in range(max(-left, gap - right), min(left, gap + right) + 1):
+                    start = at + move
+                    r = np.flatnonzero((length >= SHORTEST) & (start >= 0) & (start + own <= self.size))
+                    rows.append(r)
+                    keys.append(mix(self.hash(self.s[r] + start[r], own[r]) + mix(length[r].astype(np.uint64) * np.uint64(8) + np.uint64(i))))
+        return np.concatenate(rows), np.concatenate(keys)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, Lines]]:
+    for b in batches:
+        for lo, data, offs in chunks(b.column(b.num_columns - 1), PART):
+            if len(data):
+                yield b, lo, Lines(data, offs)
 
 
 def _postings(probe: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # a task meets as many lines as its split has
-        for batch in batches:
-            h = batch.column(0).to_numpy()
-            first = np.sort(np.unique(h, return_index=True)[1])
-            first = np.array([k for k in first.tolist() if h[k] not in seen], np.int64)
-            seen.update(h[first].tolist())
-            lines = batch.column(1).take(pa.array(first)).to_pylist()
-            lo = 0
-            while lo < len(lines):
-                hi, load = lo, 0
-                while hi < len(lines) and (hi == lo or load + len(lines[hi]) <= PART):
-                    load += len(lines[hi])
-                    hi += 1
-                r, key, sig = _keys(lines[lo:hi], probe)
-                own = h[first[lo:hi]][r]
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(own), pa.array(sig.view(np.int64))], ["key", "h", "sig"])
-                lo = hi
+        seen = np.zeros(0, np.uint64)  # sorted; lines met before in this task, to save rows; forgotten when they grow many
+        for _, _, lines in _chunks(batches):
+            own, first = np.unique(lines.h, return_index=True)
+            at = np.searchsorted(seen, own)
+            new = seen[np.minimum(at, len(seen) - 1)] != own if len(seen) else np.ones(len(own), bool)
+            if not new.any():
+                continue
+            lines.take(first[new])
+            seen = np.insert(seen, at[new], own[new]) if len(seen) < SEEN else own
+            r, key = lines.keys(probe)
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (key, lines.h[r], lines.parity()[r])], ["key", "h", "sig"])
 
     return run
 
 
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b, lo, lines in _chunks(batches):
+        doc = b.select(["_d", "_t"]).take(pa.array(lines.row + lo))
+        yield pa.RecordBatch.from_arrays([*doc.columns, pa.array(lines.at.astype(np.int32)), pa.array(lines.h.view(np.int64))], ["_d", "_t", "at", "h"])
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ok = [within(x, y, EDITS) for x, y in zip(b.column("ta").to_pylist(), b.column("tb").to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(_d, _t, at, line, h): the lines that count."""
+def _keyed(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
-    out = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_d"), F.xxhash64(text).alias("_t"), F.posexplode(F.split(text, "\n", -1)).alias("at", "line"))
-    out = out.withColumn("line", F.btrim("line", F.lit(" \t\r\x0b\x0c"))).where(F.char_length("line") >= SHORTEST)
-    return out.withColumn("h", F.xxhash64("line"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_d"), F.xxhash64(text).alias("_t"), text.alias("text"))
 
 
-def line_links(docs: DataFrame, s: Scratch) -> DataFrame:
+def line_links(keyed: DataFrame, firsts: DataFrame, s: Scratch) -> DataFrame:
     """(a, b): hashes of different lines within EDITS edits."""
-    lines = _lines(docs).select("h", "line")
-    index = lines.mapInArrow(_postings(False), "key long, h long, sig long").toDF("key", "ha", "sa")
-    probe = lines.mapInArrow(_postings(True), "key long, h long, sig long").toDF("key", "hb", "sb")
+    texts = keyed.select("text")
+    index = texts.mapInArrow(_postings(False), "key long, h long, sig long").toDF("key", "ha", "sa")
+    probe = texts.mapInArrow(_postings(True), "key long, h long, sig long").toDF("key", "hb", "sb")
     near = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= FLIPS
     met = index.join(probe, "key").where((F.col("ha") != F.col("hb")) & near)
     pairs = s.cut(met.select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b")).distinct(), "pairs")
-    wanted = s.cut(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct(), "wanted")
-    texts = lines.join(fit_broadcast(wanted, wanted.count()), "h", "left_semi").dropDuplicates(["h"])
-    texts = s.cut(texts, "texts")
-    ta, tb = texts.toDF("a", "ta"), texts.toDF("b", "tb")
+    wanted = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
+    wanted = s.cut(wanted.join(firsts, "h").select("h", "first.*"), "wanted")
+    from_docs = keyed.join(fit_broadcast(wanted, wanted.count()), ["_d", "_t"]).select("h", F.btrim(F.get(F.split("text", "\n", -1), "at"), F.lit(" \t\r\x0b\x0c")).alias("line"))
+    lines = s.cut(from_docs.dropDuplicates(["h"]), "texts")
+    ta, tb = lines.toDF("a", "ta"), lines.toDF("b", "tb")
     return s.cut(pairs.join(ta, "a").join(tb, "b").mapInArrow(_verify, "a long, b long"), "links")
 
 
@@ -168,11 +224,13 @@ def _without(text: Column, gone: Column) -> Column:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with text without repeated lines, and _lines and _gone, the numbers of lines before and of those dropped."""
     s = Scratch(docs.sparkSession)
-    links = line_links(docs, s)
-    classes = connected_components(links, s)
-    places = _lines(docs).select("h", "_d", "_t", "at")
+    small_batches(docs.sparkSession)
+    keyed = _keyed(docs)
+    places = s.cut(keyed.mapInArrow(_places, "_d long, _t long, at int, h long"), "places")
     firsts = places.groupBy("h").agg(F.min(F.struct("_d", "at", "_t")).alias("first"), F.count("*").alias("n"))
     firsts = s.cut(firsts, "firsts")
+    links = line_links(keyed, firsts, s)
+    classes = connected_components(links, s)
     named = s.cut(firsts.join(classes.toDF("h", "root"), "h"), "named")
     head = named.groupBy("root").agg(F.min("first").alias("head"))
     linked = named.join(head, "root").select("h", F.col("head").alias("first"))
@@ -184,7 +242,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     keyed = docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("_t", F.xxhash64(text))
     out = keyed.join(fit_broadcast(gone, max(size["rows"], size["lines"] // 4)), ["_d", "_t"], "left")
-    lines = F.when(F.length(text) > 0, F.size(F.split(text, "\n", -1))).otherwise(0)
+    lines = F.when(F.length(text) > 0, F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).otherwise(0)
     out = out.withColumn("_lines", lines.cast("long")).withColumn("_gone", F.coalesce(F.size("gone"), F.lit(0)).cast("long"))
     out = out.withColumn("text", F.when(F.col("gone").isNull(), text).otherwise(_without(text, F.col("gone"))))
     return out.select(*docs.columns, "_lines", "_gone")
