@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netlens.llm.common import small_batches
+
 FRAME, SIDE, FPS, BINS = 576, 24, 25, 16
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, clips array<struct<clip:int,first:int,last:int,start_s:double,end_s:double>>"
 #: Positions of the zigzag order in a row-major block, by the rule of its diagonals.
@@ -264,4 +266,5 @@ def _media(with_file: bool):
 
 def media_columns(docs: DataFrame, with_file: bool = False) -> DataFrame:
     """Each text as an AVI file, read back: sizes, digests and timed clips; with_file adds the file's bytes."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_media(with_file), SCHEMA + ", media binary" * with_file)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netlens.llm.common import Scratch, connected_components, fit_broadcast
+from netlens.llm.common import Scratch, connected_components, fit_broadcast, small_batches
 from netlens.llm.ngram_join import forest
 
 BLOCKS, SHARE, EXPECT, LEAST, SEED, MOST = 2, 4, 24, 12, 7, 2048
@@ -168,6 +168,7 @@ def _compare(least: float):
 def near_duplicates(embeddings: DataFrame, threshold: float = 0.9) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of embeddings(vec_id, embedding)."""
     s = Scratch(embeddings.sparkSession)
+    small_batches(embeddings.sparkSession)
     rows = embeddings.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(_read, "vec_id long, vec binary")
     rows = s.cut(rows.withColumn("node", F.xxhash64("vec")), "rows")
     good = rows.where("vec is not null")

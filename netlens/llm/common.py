@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: list[str] = []
@@ -60,8 +61,12 @@ def fit_broadcast(df: DataFrame, rows: int, most: int = 500_000) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
-def fold(parts: list[Column]) -> Column:
-    return F.concat(*parts)
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Arrow batches of few bytes from here on in this session, as rows hold whole texts: by default 10,000 rows or
+    64 MB go to Python at once. The results don't depend on it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub(r"[^0-9]", "", spark.conf.get(key))) > most:
+        spark.conf.set(key, str(most))
 
 
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netlens.llm.common import Scratch, connected_components, fit_broadcast
+from netlens.llm.common import Scratch, connected_components, fit_broadcast, small_batches
 from netlens.llm.kernel import mix, shingle_sets
 
 #: Shingle hashes that one block of rows of a large group holds.
@@ -274,6 +274,7 @@ def ngram_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (
     num, den = threshold
     spark = docs.sparkSession
     s = scratch or Scratch(spark)
+    small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     hashed = texts.withColumn("text_hash", F.xxhash64("text"))
     rows = s.cut(hashed.mapInArrow(_rows(k, num, den), "doc_id long, text_hash long, n long, node long, keys array<long>, marks binary"), "rows")

@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netlens.llm.common import small_batches
 from netlens.llm.kernel import chunks
 
 TIERS = (2048, 1024, 512, 256)
@@ -193,5 +194,6 @@ def _pack(path: str | None, ranks: str | None, tiers: tuple[int, ...], with_ids:
 def pack(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = None, tiers: tuple[int, ...] = TIERS, with_ids: bool = False) -> DataFrame:
     """One row per piece of a document; with_ids adds the piece's token ids. tokenizer: a tokenizers file,
     the public byte-level BPE by default."""
+    small_batches(docs.sparkSession)
     schema = SCHEMA + ", ids array<int>" * with_ids
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_pack(tokenizer, ranks, tiers, with_ids), schema)

@@ -22,6 +22,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netlens.llm.common import small_batches
+
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -144,6 +146,7 @@ def _scan(min_log10: float):
 
 def secret_spans(docs: DataFrame, min_log10: float = 10.0) -> DataFrame:
     """(doc_id, spans) of every row; positions are code points, ends exclusive."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         _scan(min_log10), "doc_id long, spans array<struct<kind:string,start:long,end:long>>"
     )

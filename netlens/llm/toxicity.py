@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netlens.llm.common import Scratch
+from netlens.llm.common import Scratch, small_batches
 from netlens.llm.kernel import chunks, words
 
 SAMPLE, FEATURES, GRADES, HEADS = 4000, 4096, 3, (4, 6)
@@ -130,6 +130,7 @@ def fit_ordinal(row: np.ndarray, col: np.ndarray, val: np.ndarray, y: np.ndarray
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> Model:
     none = Model(np.zeros(0, np.uint64), np.zeros(0), np.full(GRADES, 40.0))
     s = Scratch(docs.sparkSession)
+    small_batches(docs.sparkSession)
     rated = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y"))
     drawn = [rated.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0, 1)]
     drawn = s.cut(drawn[0].union(drawn[1]), "drawn")

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netlens.llm.common import Scratch
+from netlens.llm.common import Scratch, small_batches
 
 FRAME_BYTES, BUNDLE_BYTES, LEVEL = 1 << 18, 1 << 26, 3
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -177,6 +177,7 @@ def write_archives(pages: DataFrame, folder: str, index: str, least: int = 0) ->
     than `least` bytes are never revisits."""
     from pyarrow.fs import FileSystem
 
+    small_batches(pages.sparkSession)
     fs, root = FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("html"))
