@@ -107,4 +107,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_hierarchical_packing": op10_hierarchical_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_REACH = """
+reach AS (SELECT id AS a, id AS b FROM nodes UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+root AS (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY a)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_warc_zstd": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload) AS n, sha1(payload) AS h, max(page_id) OVER (PARTITION BY payload) AS top FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(h || '000', 5 * i // 4 + 1, 3) AS INT) >> (7 - 5 * i % 4)) & 31), 1) FOR i IN range(32)], '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM d""",
+    "op6_spherical_cap_filters": f"""
+WITH RECURSIVE nodes AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+links AS (SELECT x.id AS a, y.id AS b FROM nodes x JOIN nodes y ON x.id <> y.id AND list_cosine_similarity(x.v, y.v) >= 0.9), {_REACH}
+SELECT id AS vec_id, (SELECT count(*) FROM links WHERE links.a = root.id) AS n_links, component_id, id = component_id AS kept FROM root""",
+    "op7_ngram_jaccard_join": f"""
+WITH RECURSIVE w AS (SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS t FROM documents),
+nodes AS (SELECT id, CASE WHEN len(t) = 0 THEN [] WHEN len(t) < 3 THEN [array_to_string(t, ' ')] ELSE list_distinct([t[i] || ' ' || t[i + 1] || ' ' || t[i + 2] FOR i IN range(1, len(t) - 1)]) END AS s FROM w),
+g AS (SELECT id, len(s) AS n, unnest(s) AS x FROM nodes),
+links AS (SELECT a.id AS a, b.id AS b FROM g a JOIN g b ON a.x = b.x AND a.id <> b.id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))), {_REACH}
+SELECT id AS doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM root JOIN nodes USING (id)""",
+}
