@@ -5,7 +5,7 @@ stops at CAP times its words and the excess goes to the others by weight until n
 by the ratio of cap to weight fill up in that order, and all that are not full share one level.
 
 A target is whole repetitions of the source and a remainder. The remainder takes documents in a seeded order until
-its words are taken; the one on the edge gives its first words. The order is by buckets of a hash: bucket sums give the
+its words are taken; the one on the edge gives its first words. The order is that of an MD5 digest, by buckets: bucket sums give the
 bucket that the edge lies in, and only that bucket's documents are ordered, so no source is ever sorted or collected.
 One row per source meets in one task; documents never do.
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from netlens.llm.common import Scratch
 
-WEIGHTS, CAP, SEED, BUCKETS = (5, 2, 1), 3, 20240607, 4096
+WEIGHTS, CAP, SEED = (5, 2, 1), 3, 20240607
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -51,9 +51,10 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = C
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = SEED) -> DataFrame:
     """docs with _size, _source_size, _target, _whole (repetitions) and _part (words of a fractional one)."""
     s = Scratch(docs.sparkSession)
-    order = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), text("doc_id"), text("text")))
     sized = docs.withColumn("_size", word_count(F.col("text"))).withColumn("_order", order)
-    sized = sized.withColumn("_bucket", F.shiftrightunsigned("_order", 52).cast("int"))
+    sized = sized.withColumn("_bucket", F.conv(F.substring("_order", 1, 3), 16, 10).cast("int"))
     sums = s.cut(sized.groupBy("source", "_bucket").agg(F.sum("_size").alias("words")), "buckets")
     filled = s.cut(targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, cap), "targets")
     run = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

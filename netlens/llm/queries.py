@@ -112,6 +112,19 @@ reach AS (SELECT id AS a, id AS b FROM nodes UNION SELECT r.a, l.b FROM reach r
 root AS (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY a)"""
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_mix_sources": """
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
+  md5('20240607:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS o FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS weight, 3.0::DOUBLE * source_size AS most FROM s),
+f AS (SELECT *, (sum(source_size::DOUBLE) OVER () - coalesce(sum(most) OVER up, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER up, 0)) AS level FROM w
+  WINDOW up AS (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, CASE WHEN most <= level * weight THEN most ELSE weight * (SELECT arg_min(level, most / weight) FROM f WHERE most > level * weight) END AS target FROM f),
+r AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t),
+q AS (SELECT *, greatest(0, least(CAST(round(target) AS BIGINT) - whole * source_size, source_size)) AS rest FROM r)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(whole * size + greatest(0, least(size,
+  rest - coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY o, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS BIGINT) AS taken
+FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source""",
     "op3_warc_zstd": """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
 d AS (SELECT page_id, octet_length(payload) AS n, sha1(payload) AS h, max(page_id) OVER (PARTITION BY payload) AS top FROM p)
