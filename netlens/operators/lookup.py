@@ -36,14 +36,18 @@ def _signed(n: int) -> int:
 
 
 def _by_length(addresses: DataFrame, nets: DataFrame) -> DataFrame:
-    depths = [r["depth"] for r in nets.select("depth").distinct().collect()]  # at most 129
-    masks = []
-    for d in sorted(depths):
-        m = ((1 << 128) - 1) ^ ((1 << (128 - d)) - 1)
-        masks.append(F.struct(F.lit(d).alias("d"), F.lit(_signed(m >> 64)).cast("long").alias("mh"), F.lit(_signed(m & (1 << 64) - 1)).cast("long").alias("ml")))
-    if not masks:
-        return addresses.join(nets, F.lit(False), "left")
-    probe = addresses.withColumn("_m", F.explode(F.array(*masks)))
+    found = nets.select("depth", F.col("network_v4").isNotNull().alias("v4")).distinct().collect()  # at most 258
+
+    def masks(depths: set[int]) -> Column:
+        out = []
+        for d in sorted(depths):
+            m = ((1 << 128) - 1) ^ ((1 << (128 - d)) - 1)
+            out.append(F.struct(F.lit(d).alias("d"), F.lit(_signed(m >> 64)).cast("long").alias("mh"), F.lit(_signed(m & (1 << 64) - 1)).cast("long").alias("ml")))
+        return F.array(*out) if out else F.array().cast("array<struct<d:int,mh:long,ml:long>>")
+
+    # An IPv4 address only meets networks of the IPv4 part of the tree.
+    lengths = F.when(F.col("_family") == 4, masks({r["depth"] for r in found if r["v4"]})).otherwise(masks({r["depth"] for r in found}))
+    probe = addresses.withColumn("_m", F.explode(lengths))
     probe = probe.withColumn("_kh", F.col("_hi").bitwiseAND(F.col("_m.mh"))).withColumn("_kl", F.col("_lo").bitwiseAND(F.col("_m.ml")))
     hit = probe.join(nets, (F.col("_m.d") == F.col("depth")) & (F.col("_kh") == F.col("hi")) & (F.col("_kl") == F.col("lo")))
     return hit.drop("_m", "_kh", "_kl")
