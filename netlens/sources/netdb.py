@@ -3,11 +3,14 @@
 Views: networks (default; one row per network, in address order within net_start), records (one row per distinct
 record), metadata (one row), data (the values of the data section as they follow one another).
 Options: path, view, within, includeAliased, includeEmpty, skipEmptyValues, recordSchema (DDL or JSON of a type),
-recordAs (variant | none), mode (FAILFAST | PERMISSIVE), partitionDepth.
+recordAs (variant | none), mode (FAILFAST | PERMISSIVE), partitionDepth, cache (false: no decoded record is remembered),
+decoders (JSON of names to "module:function", for fields whose metadata names a decoder), pushdown.
 """
 
 from __future__ import annotations
 
+import importlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,7 +52,7 @@ class NetDbSource(DataSource):
         if self.options.get("recordAs", "").lower() == "variant":
             return T.VariantType()
         text = self.options.get("recordSchema")
-        return None if text is None else T.StructType.fromJson(__import__("json").loads(text)) if text.lstrip().startswith("{") else _type(text)
+        return None if text is None else T.StructType.fromJson(json.loads(text)) if text.lstrip().startswith("{") else _type(text)
 
     def schema(self) -> T.StructType:
         view = self.options.get("view", "networks")
@@ -69,9 +72,9 @@ class NetDbSource(DataSource):
     def reader(self, schema: T.StructType) -> DataSourceReader:
         view = self.options.get("view", "networks")
         kinds = {"metadata": MetadataReader, "data": DataReader, "records": RecordsReader}
-        options = Options(self.options.get("within"), self._flag("includeAliased"), self._flag("includeEmpty"), self._flag("skipEmptyValues"), self.options.get("mode", "FAILFAST").upper() == "PERMISSIVE")
+        options = Options(self.options.get("within"), self._flag("includeAliased"), self._flag("includeEmpty"), self._flag("skipEmptyValues"), self.options.get("mode", "FAILFAST").upper() == "PERMISSIVE", self._flag("cache", True))
         make = kinds.get(view, PushingReader if self._flag("pushdown") else NetworksReader)
-        return make(self.options["path"], options, self._record(), int(self.options.get("partitionDepth", 12)))
+        return make(self.options["path"], options, self._record(), int(self.options.get("partitionDepth", 12)), json.loads(self.options.get("decoders", "{}")))
 
 
 _TYPES = {"string": "StringType", "int": "IntegerType", "long": "LongType", "bigint": "LongType", "double": "DoubleType", "float": "FloatType", "boolean": "BooleanType", "binary": "BinaryType", "variant": "VariantType", "timestamp": "TimestampType", "smallint": "ShortType", "tinyint": "ByteType"}
@@ -116,10 +119,15 @@ def _struct(text: str) -> T.StructType:
 
 
 class NetworksReader(DataSourceReader):
-    def __init__(self, path: str, options: Options, record: T.DataType | None, levels: int):
-        self.path, self.options, self.record, self.levels = path, options, record, levels
+    def __init__(self, path: str, options: Options, record: T.DataType | None, levels: int, decoders: dict[str, str]):
+        self.path, self.options, self.record, self.levels, self.named = path, options, record, levels, decoders
         self.low, self.high = 0, (1 << 32) - 1
 
+    def decoders(self) -> dict:
+        """The custom decoders, imported where they run."""
+        places = {name: at.split(":") for name, at in self.named.items()}
+        return {name: getattr(importlib.import_module(module), function) for name, (module, function) in places.items()}
+
     def partitions(self) -> list[InputPartition]:
         db = open_database(self.path)
         try:
@@ -145,7 +153,7 @@ class NetworksReader(DataSourceReader):
         db = open_database(self.path)
         for p, hi, lo, depth in partition.nodes:
             start = Leaves(np.array([p]), np.array([hi], np.uint64), np.array([lo], np.uint64), np.array([depth]))
-            yield from scan(db, start, self.options, self.record)
+            yield from scan(db, start, self.options, self.record, self.decoders())
 
 
 class PushingReader(NetworksReader):
@@ -172,7 +180,7 @@ class RecordsReader(NetworksReader):
         k, of = partition.nodes[0][:2]
         at, inside = db.data_offset(np.unique(np.concatenate(db.tree)))
         offsets = np.sort(at[inside])
-        own, records = offsets[len(offsets) * k // of : len(offsets) * (k + 1) // of].tolist(), Records(db, self.record)
+        own, records = offsets[len(offsets) * k // of : len(offsets) * (k + 1) // of].tolist(), Records(db, self.record, self.decoders(), self.options.remember)
         for lo in range(0, len(own), 4096):
             part = own[lo : lo + 4096]
             got = [records.get(x) for x in part]

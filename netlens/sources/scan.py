@@ -28,6 +28,7 @@ class Options:
     empty: bool = False
     skip_empty_values: bool = False
     permissive: bool = False
+    remember: bool = True
 
 
 @dataclass
@@ -122,8 +123,8 @@ class Records:
 
     MOST = 65_536
 
-    def __init__(self, db: Database, kind, decoders: dict | None = None):
-        self.db, self.kind, self.memo = db, kind, {}
+    def __init__(self, db: Database, kind, decoders: dict | None = None, remember: bool = True):
+        self.db, self.kind, self.memo, self.most = db, kind, {}, self.MOST if remember else 1
         self.step = None if kind is None else compile_schema(kind, db.values, None, decoders)
 
     def get(self, offset: int | None) -> tuple[object, str | None]:
@@ -131,7 +132,7 @@ class Records:
         if offset is None or self.step is None:
             return None, None
         if offset not in self.memo:
-            if len(self.memo) >= self.MOST:
+            if len(self.memo) >= self.most:
                 self.memo.clear()
             try:
                 self.memo[offset] = self.db.values.record(offset, self.step), None
@@ -165,7 +166,7 @@ def scan(db: Database, start: Leaves, options: Options, kind=None, decoders: dic
     """Batches of the networks view; rows where the record is a VARIANT, which no batch holds."""
     from pyspark.sql import types as T
 
-    found, records = leaves(db, start, options), Records(db, kind, decoders)
+    found, records = leaves(db, start, options), Records(db, kind, decoders, options.remember)
     rows_out = isinstance(kind, T.VariantType)
     for lo in range(0, len(found), BATCH):
         cols, offsets, errors = network_batch(db, found.take(np.arange(lo, min(lo + BATCH, len(found)))), options)

@@ -125,3 +125,28 @@ def test_streaming_sessions_and_batches(spark, path, tmp_path):
     q = session_counts(src(), "ts", ["ip"], "10 minutes", "1 hour").writeStream.format("memory").queryName("sessions").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r["n"] for r in spark.table("sessions").collect()) == [1, 1, 1]
+
+
+def test_custom_decoders_and_cache_option(spark):
+    from pyspark.sql import types as T
+
+    big = publish(spark, w.build([("1.0.0.0/8", {"a": w.u128(10**38 + 1), "b": {"x": [1, "é"]}})], 4, 24), "decoders")
+    field = lambda n, d: T.StructField(n, T.StringType(), metadata={"decoder": d})
+    named = '{"json": "netlens.functions.decoders:as_json", "text": "netlens.functions.decoders:number_text"}'
+    schema = T.StructType([field("a", "text"), field("b", "json")]).json()
+    for view in ("networks", "records"):
+        r = read(spark, big, view, recordSchema=schema, decoders=named, cache=False).first()["record"]
+        assert (r["a"], r["b"]) == (str(10**38 + 1), '{"x": [1, "é"]}')
+    with pytest.raises(Exception, match="unexpected kind Map"):
+        read(spark, big, recordSchema=T.StructType([field("b", "text")]).json(), decoders=named).collect()
+
+
+def test_encoded_columns(spark):
+    from netlens.functions.values import decode_value, kind_at
+
+    rows = [(bytearray(w.encode({"a": w.u16(5), "b": ["x", "y"]})), 0), (bytearray(b"\x00" + w.encode({"a": w.u16(7)})), 1), (None, 0)]
+    df = spark.createDataFrame(rows, "raw binary, at int")
+    r = df.select(decode_value(F.col("raw"), F.col("at"), "a int, b array<string>").alias("v"), kind_at(F.col("raw"), F.col("at")).alias("k")).collect()
+    assert [(x["v"]["a"], x["v"]["b"], x["k"]) for x in r] == [(5, ["x", "y"], "Map"), (7, None, "Map"), (None, None, None)]
+    n = spark.createDataFrame([(bytearray(w.encode(w.u32(9))), 0)], "raw binary, at int").select(decode_value(F.col("raw"), F.col("at"), "long").alias("n"))
+    assert n.first()["n"] == 9
