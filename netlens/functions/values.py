@@ -1,50 +1,42 @@
-"""Columns over encoded values: decoding and kinds at an offset of a binary column."""
+"""Columns over encoded values: decoding and kinds at an offset of a binary column, in Arrow batches."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def decode_value(data: Column, offset: Column, ddl: str) -> Column:
-    """The value at an offset of encoded bytes as a Spark type, in Arrow batches; null bytes or offset give null,
-    bytes that break the format an error."""
+    """The value at an offset of encoded bytes as a Spark type; null bytes or offset give null, bytes that break the
+    format an error."""
     from netlens.sources.netdb import _type
 
     kind = _type(ddl)
-    shape = kind if isinstance(kind, T.StructType) else T.StructType([T.StructField("value", kind)])
-
-    @F.pandas_udf(shape)
-    def run(raw, at):
-        import pandas as pd
 
+    @F.arrow_udf(kind)
+    def run(raw: pa.Array, at: pa.Array) -> pa.Array:
         from netlens.codec import Values, compile_schema
-        from netlens.sources.scan import as_dicts
+        from netlens.sources.scan import arrow_type, as_dicts
 
         out = []
-        for b, k in zip(raw, at, strict=True):
-            value = None
-            if b is not None and not pd.isna(k):
-                values = Values(b)
-                value = as_dicts(values.record(int(k), compile_schema(kind, values)), kind)
-            out.append(value if isinstance(kind, T.StructType) else {"value": value})
-        return pd.DataFrame([x or {} for x in out], columns=shape.fieldNames(), index=raw.index, dtype=object)
+        for b, k in zip(raw.to_pylist(), at.to_pylist(), strict=True):
+            values = None if b is None or k is None else Values(b)
+            out.append(None if values is None else as_dicts(values.record(k, compile_schema(kind, values)), kind))
+        return pa.array(out, arrow_type(kind))
 
-    got = run(data, offset.cast("long"))
-    return got if isinstance(kind, T.StructType) else got.getField("value")
+    return run(data, offset.cast("long"))
 
 
 def kind_at(data: Column, offset: Column) -> Column:
     """The name of the kind at an offset, behind a pointer if there is one; nothing is decoded."""
 
-    @F.pandas_udf("string")
-    def run(raw, at):
-        import pandas as pd
-
+    @F.arrow_udf("string")
+    def run(raw: pa.Array, at: pa.Array) -> pa.Array:
         from netlens.codec import Values
         from netlens.kinds import kind_name
 
-        return pd.Series([None if b is None or pd.isna(k) else kind_name(Values(b).resolve(int(k))[0]) for b, k in zip(raw, at, strict=True)], index=raw.index, dtype=object)
+        both = zip(raw.to_pylist(), at.to_pylist(), strict=True)
+        return pa.array([None if b is None or k is None else kind_name(Values(b).resolve(k)[0]) for b, k in both], pa.string())
 
     return run(data, offset.cast("long"))
