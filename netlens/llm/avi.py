@@ -268,3 +268,8 @@ def media_columns(docs: DataFrame, with_file: bool = False) -> DataFrame:
     """Each text as an AVI file, read back: sizes, digests and timed clips; with_file adds the file's bytes."""
     small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_media(with_file), SCHEMA + ", media binary" * with_file)
+
+
+def clip_rows(docs: DataFrame) -> DataFrame:
+    """One row per shot: doc_id, media_sha256, clip, first and last frame, start and end in seconds."""
+    return media_columns(docs).select("doc_id", "media_sha256", F.inline("clips"))

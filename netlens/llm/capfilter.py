@@ -177,7 +177,7 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.9) -> DataFrame:
     found = s.cut(reps.select("node", "vec", "mult").mapInArrow(_filters(count), "node long, vec binary, mult long, filters array<long>"), "filters")
     posts = found.select(F.explode("filters").alias("filter"), (F.length("vec") / 8).cast("int").alias("dim"), "node", "vec", "mult", "filters")
     load = posts.groupBy("filter", "dim").count().where("count > 1")
-    load = s.cut(load.select("filter", "dim", F.ceil(F.col("count") / MOST).cast("int").alias("blocks")), "load")
+    load = s.cut(load.select("filter", "dim", F.ceil(F.col("count") / MOST).cast("int").alias("blocks")), "load", True)
     posts = posts.join(fit_broadcast(load, load.count()), ["filter", "dim"])
     posts = posts.withColumn("b", F.pmod("node", "blocks").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = (
@@ -185,14 +185,14 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.9) -> DataFrame:
         .repartition("filter", "dim", "i", "j")
         .sortWithinPartitions("filter", "dim", "i", "j")
     )
-    part = s.cut(dealt.mapInArrow(_compare(threshold), "node long, links long, head long"), "links")
+    part = s.cut(dealt.mapInArrow(_compare(threshold), "node long, links long, head long"), "links", True)
     links = part.groupBy("node").agg(F.sum("links").alias("links"))
     comp = connected_components(part.select(F.col("head").alias("a"), F.col("node").alias("b")), s)
     comp = comp.join(reps.select("node", "low"), "node")
     low = comp.groupBy("root").agg(F.min("low").alias("component_id"))
     comp = comp.join(low, "root").select("node", "component_id")
     facts = reps.select("node", "mult", "low").join(links, "node", "left").join(comp, "node", "left")
-    facts = s.cut(facts.select("node", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component_id", "low").alias("component_id")), "facts")
+    facts = s.cut(facts.select("node", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component_id", "low").alias("component_id")), "facts", True)
     out = good.select("vec_id", "node").join(facts, "node").select("vec_id", "n_links", "component_id")
     out = out.unionByName(rows.where("vec is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
     return s.finish(out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))), "capfilter")

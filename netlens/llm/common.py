@@ -33,8 +33,12 @@ class Scratch:
         self.paths.append(out)
         return out
 
-    def cut(self, df: DataFrame, name: str) -> DataFrame:
+    def cut(self, df: DataFrame, name: str, small: bool = False) -> DataFrame:
+        """The table written and read again. small: a table of ids behind a shuffle; it goes to no more files than
+        twice the cluster's cores, as every file costs a process and a listing."""
         out = self.path(name)
+        if small:
+            df = df.coalesce(max(40, 2 * self.spark.sparkContext.defaultParallelism))
         schema = df.schema
         df.write.parquet(out)
         return self.spark.read.schema(schema).parquet(out)
@@ -69,6 +73,13 @@ def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
         spark.conf.set(key, str(most))
 
 
+def aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns of names that nothing else has, and these names by the old ones; whatever extra columns are
+    called, no step of an operator meets them by name. toDF(*docs.columns) gives the old names back."""
+    names = [f"__c{k}" for k in range(len(docs.columns))]
+    return docs.toDF(*names), dict(zip(docs.columns, names, strict=True))
+
+
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """edges(a, b) -> (node, root), root the smallest node of the component; nodes without edges don't appear.
 
@@ -76,28 +87,20 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     so rounds grow with the logarithm of a component's diameter. Aggregates are partial before the
     shuffle, joins are equi-joins that adaptive execution can split, nothing is collected.
     """
-    e = scratch.cut(
-        edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges"
-    )
-    labels: DataFrame | None = None
+    pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    e = scratch.cut(edges.where("a <> b").select(*pair("a", "b")).distinct(), "edges", True)
+    steps: list[DataFrame] = []
     while not e.isEmpty():
         both = e.union(e.select("b", "a"))
-        up = scratch.cut(both.groupBy(F.col("a").alias("v")).agg(F.least("v", F.min("b")).alias("p")), "hook")
+        up = both.groupBy(F.col("a").alias("v")).agg(F.least("v", F.min("b")).alias("p"))
         over = up.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-        jump = scratch.cut(up.join(over, "p", "left").select("v", F.coalesce("pp", "p").alias("p")), "jump")
-        labels = (
-            jump.select(F.col("v").alias("node"), F.col("p").alias("root"))
-            if labels is None
-            else labels.join(jump.select(F.col("v").alias("root"), "p"), "root", "left").select(
-                "node", F.coalesce("p", "root").alias("root")
-            )
-        )
-        labels = scratch.cut(labels, "labels")
-        ja, jb = jump.toDF("a", "pa"), jump.toDF("b", "pb")
-        e = e.join(ja, "a").join(jb, "b").where("pa <> pb")
-        e = scratch.cut(
-            e.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges"
-        )
-    if labels is None:
+        jump = scratch.cut(up.join(over, "p", "left").select("v", F.coalesce("pp", "p").alias("p")), "jump", True)
+        steps.append(jump)
+        e = e.join(jump.toDF("a", "pa"), "a").join(jump.toDF("b", "pb"), "b").where("pa <> pb").select(*pair("pa", "pb"))
+        e = scratch.cut(e.distinct(), "edges", True)
+    if not steps:
         return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return labels
+    labels = steps[0].toDF("node", "root")
+    for jump in steps[1:]:
+        labels = labels.join(jump.toDF("root", "p"), "root", "left").select("node", F.coalesce("p", "root").alias("root"))
+    return scratch.cut(labels, "labels", True)

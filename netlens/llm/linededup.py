@@ -21,13 +21,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netlens.llm.common import Scratch, connected_components, fit_broadcast, small_batches
+from netlens.llm.common import Scratch, aside, connected_components, fit_broadcast, small_batches
 from netlens.llm.kernel import _powers, chunks, mix
 
 EDITS, SHORTEST, PART, SEEN = 2, 20, 1 << 18, 1 << 19
 _TRIM = np.zeros(256, bool)
 _TRIM[[9, 10, 11, 12, 13, 32]] = True
 LAST = 2**63 - 1
+ADDED = ("_lines", "_gone", "_dropped")
 #: Random words for the lead byte of a code point and for each byte after it.
 _CODE = np.random.Generator(np.random.PCG64(11)).integers(1, 2**64, (4, 256), dtype=np.uint64)
 #: One edit takes away at most two bigrams and adds at most two.
@@ -202,47 +203,51 @@ def line_links(keyed: DataFrame, firsts: DataFrame, s: Scratch) -> DataFrame:
     probe = texts.mapInArrow(_postings(True), "key long, h long, sig long").toDF("key", "hb", "sb")
     near = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= FLIPS
     met = index.join(probe, "key").where((F.col("ha") != F.col("hb")) & near)
-    pairs = s.cut(met.select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b")).distinct(), "pairs")
+    pairs = s.cut(met.select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b")).distinct(), "pairs", True)
     wanted = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
-    wanted = s.cut(wanted.join(firsts, "h").select("h", "first.*"), "wanted")
+    wanted = s.cut(wanted.join(firsts, "h").select("h", "first.*"), "wanted", True)
     from_docs = keyed.join(fit_broadcast(wanted, wanted.count()), ["_d", "_t"]).select("h", F.btrim(F.get(F.split("text", "\n", -1), "at"), F.lit(" \t\r\x0b\x0c")).alias("line"))
     lines = s.cut(from_docs.dropDuplicates(["h"]), "texts")
     ta, tb = lines.toDF("a", "ta"), lines.toDF("b", "tb")
-    return s.cut(pairs.join(ta, "a").join(tb, "b").mapInArrow(_verify, "a long, b long"), "links")
+    return s.cut(pairs.join(ta, "a").join(tb, "b").mapInArrow(_verify, "a long, b long"), "links", True)
 
 
 def _without(text: Column, gone: Column) -> Column:
     """The text without the lines at the sorted positions gone; a byte mask tells each line's fate in one look."""
     from netlens.llm.pii import let
 
-    one = lambda d, i: F.concat(F.repeat(F.lit("0"), (d - F.when(i > 0, F.get(gone, i - 1)).otherwise(F.lit(-1)) - 1).cast("int")), F.lit("1"))
-    mask = F.array_join(F.transform(gone, one), "").cast("binary")
+    def mask(g: Column) -> Column:
+        one = lambda d, i: F.concat(F.repeat(F.lit("0"), (d - F.when(i > 0, F.get(g, i - 1)).otherwise(F.lit(-1)) - 1).cast("int")), F.lit("1"))
+        return F.array_join(F.transform(g, one), "").cast("binary")
+
     keep = lambda m: F.filter(F.split(text, "\n", -1), lambda x, i: F.substring(m, i + 1, F.lit(1)) != F.lit(b"1"))
-    return let(mask, lambda m: F.array_join(keep(m), "\n"))
+    return let(let(gone, mask), lambda m: F.array_join(keep(m), "\n"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs with text without repeated lines, and _lines and _gone, the numbers of lines before and of those dropped."""
+    """docs with text without repeated lines, _lines and _gone, the numbers of lines before and of those dropped, and
+    _dropped: each dropped line with its class, named by the place of the class's first line."""
     s = Scratch(docs.sparkSession)
     small_batches(docs.sparkSession)
     keyed = _keyed(docs)
     places = s.cut(keyed.mapInArrow(_places, "_d long, _t long, at int, h long"), "places")
     firsts = places.groupBy("h").agg(F.min(F.struct("_d", "at", "_t")).alias("first"), F.count("*").alias("n"))
-    firsts = s.cut(firsts, "firsts")
+    firsts = s.cut(firsts, "firsts", True)
     links = line_links(keyed, firsts, s)
     classes = connected_components(links, s)
-    named = s.cut(firsts.join(classes.toDF("h", "root"), "h"), "named")
+    named = s.cut(firsts.join(classes.toDF("h", "root"), "h"), "named", True)
     head = named.groupBy("root").agg(F.min("first").alias("head"))
     linked = named.join(head, "root").select("h", F.col("head").alias("first"))
     again = firsts.where("n > 1").join(linked.select("h"), "h", "left_anti").select("h", "first").unionByName(linked)
-    again = s.cut(again, "again")
+    again = s.cut(again, "again", True)
     hit = places.join(fit_broadcast(again, again.count()), "h").where("struct(_d, at, _t) <> first")
-    gone = s.cut(hit.groupBy("_d", "_t").agg(F.array_sort(F.collect_set("at")).alias("gone")), "gone")
+    gone = s.cut(hit.groupBy("_d", "_t").agg(F.array_sort(F.collect_set(F.struct(F.col("at").alias("line"), F.col("first._d").alias("doc_id"), F.col("first.at").alias("first_line")))).alias("gone")), "gone", True)
     size = gone.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("gone")), F.lit(0)).alias("lines")).first()
-    text = F.col("text").cast("string")
-    keyed = docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("_t", F.xxhash64(text))
-    out = keyed.join(fit_broadcast(gone, max(size["rows"], size["lines"] // 4)), ["_d", "_t"], "left")
+    rows, names = aside(docs)
+    text = F.col(names["text"]).cast("string")
+    keyed = rows.withColumn("_d", F.coalesce(F.col(names["doc_id"]).cast("long"), F.lit(LAST))).withColumn("_t", F.xxhash64(text))
+    out = keyed.join(fit_broadcast(gone, max(size["rows"], size["lines"])), ["_d", "_t"], "left")
     lines = F.when(F.length(text) > 0, F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).otherwise(0)
     out = out.withColumn("_lines", lines.cast("long")).withColumn("_gone", F.coalesce(F.size("gone"), F.lit(0)).cast("long"))
-    out = out.withColumn("text", F.when(F.col("gone").isNull(), text).otherwise(_without(text, F.col("gone"))))
-    return out.select(*docs.columns, "_lines", "_gone")
+    out = out.withColumn(names["text"], F.when(F.col("gone").isNull(), text).otherwise(_without(text, F.col("gone.line"))))
+    return out.withColumnRenamed("gone", "_dropped").select(*rows.columns, *ADDED).toDF(*docs.columns, *ADDED)

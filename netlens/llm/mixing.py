@@ -21,9 +21,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netlens.llm.common import Scratch
+from netlens.llm.common import Scratch, aside
 
 WEIGHTS, CAP, SEED = (5, 2, 1), 3, 20240607
+ADDED = ("_size", "_source_size", "_target", "_whole", "_part")
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -48,15 +49,15 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = C
     return at.select("source", "source_size", "target", "whole", F.greatest(F.lit(0), F.least(rest, "source_size")).alias("rest"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = SEED) -> DataFrame:
-    """docs with _size, _source_size, _target, _whole (repetitions) and _part (words of a fractional one)."""
-    s = Scratch(docs.sparkSession)
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+def _mix(rows: DataFrame, names: dict[str, str], weights: tuple[int, ...], cap: int, seed: int) -> DataFrame:
+    s = Scratch(rows.sparkSession)
+    source = F.col(names["source"])
+    text = lambda c: F.coalesce(F.col(names[c]).cast("string"), F.lit(""))
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), text("doc_id"), text("text")))
-    sized = docs.withColumn("_size", word_count(F.col("text"))).withColumn("_order", order)
+    sized = rows.withColumn("_size", word_count(F.col(names["text"]).cast("string"))).withColumn("_order", order)
     sized = sized.withColumn("_bucket", F.conv(F.substring("_order", 1, 3), 16, 10).cast("int"))
-    sums = s.cut(sized.groupBy("source", "_bucket").agg(F.sum("_size").alias("words")), "buckets")
-    filled = s.cut(targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, cap), "targets")
+    sums = s.cut(sized.groupBy(source.alias("source"), "_bucket").agg(F.sum("_size").alias("words")), "buckets", True)
+    filled = s.cut(targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, cap), "targets", True)
     run = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     runs = sums.withColumn("before", F.coalesce(F.sum("words").over(run), F.lit(0)))
     level = filled.select(F.col("source").alias("_s"), F.col("rest").alias("_rest"))
@@ -66,25 +67,31 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, see
         F.col("source").alias("_s"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("whole").alias("_whole"),
         F.col("rest").alias("_rest"), F.col("e._bucket").alias("_edge"), F.col("e.before").alias("_before"),
     )
-    facts = s.cut(facts, "facts")
+    facts = s.cut(facts, "facts", True)
     # One row per source; Spark broadcasts it if its size allows.
-    rows = sized.join(facts, F.col("source").eqNullSafe(F.col("_s")))
-    inside = Window.partitionBy("_s").orderBy("_order", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    sure = rows.where("_bucket <> _edge").withColumn("_part", F.when(F.col("_bucket") < F.col("_edge"), F.col("_size")).otherwise(F.lit(0)).cast("long"))
-    near = rows.where("_bucket = _edge").withColumn("_taken", F.coalesce(F.sum("_size").over(inside), F.lit(0)) + F.col("_before"))
+    both = sized.join(facts, source.eqNullSafe(F.col("_s")))
+    inside = Window.partitionBy("_s").orderBy("_order", names["doc_id"]).rowsBetween(Window.unboundedPreceding, -1)
+    sure = both.where("_bucket <> _edge").withColumn("_part", F.when(F.col("_bucket") < F.col("_edge"), F.col("_size")).otherwise(F.lit(0)).cast("long"))
+    near = both.where("_bucket = _edge").withColumn("_taken", F.coalesce(F.sum("_size").over(inside), F.lit(0)) + F.col("_before"))
     near = near.withColumn("_part", F.greatest(F.lit(0), F.least("_size", F.col("_rest") - F.col("_taken"))).cast("long")).drop("_taken")
-    return sure.unionByName(near).drop("_order", "_bucket", "_s", "_rest", "_edge", "_before")
+    return sure.unionByName(near).select(*rows.columns, *ADDED)
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = SEED) -> DataFrame:
+    """docs with _size, _source_size, _target, _whole (repetitions) and _part (words of a fractional one)."""
+    return _mix(*aside(docs), weights, cap, seed).toDF(*docs.columns, *ADDED)
 
 
 def mixed_texts(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = SEED) -> DataFrame:
     """The documents that the mix takes, columns as in docs: a document's repetitions stand in its text, a line break
     between them, so that doc_id stays a key; a fractional one is its first words."""
-    rows = mix(docs, weights, cap, seed).where("_whole * _size + _part > 0")
-    some = F.when(F.col("_part") == F.col("_size"), F.array("text")).when(
-        F.col("_part") > 0, F.array(F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("_part").cast("int")), " "))
+    rows, names = aside(docs)
+    out, text = _mix(rows, names, weights, cap, seed).where("_whole * _size + _part > 0"), names["text"]
+    some = F.when(F.col("_part") == F.col("_size"), F.array(text)).when(
+        F.col("_part") > 0, F.array(F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), 1, F.col("_part").cast("int")), " "))
     )
-    parts = F.concat(F.array_repeat("text", F.col("_whole").cast("int")), F.coalesce(some, F.array().cast("array<string>")))
-    out = rows.withColumn("text", F.array_join(parts, "\n"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    parts = F.concat(F.array_repeat(text, F.col("_whole").cast("int")), F.coalesce(some, F.array().cast("array<string>")))
+    out = out.withColumn(text, F.array_join(parts, "\n"))
+    if "n_chars" in names:
+        out = out.withColumn(names["n_chars"], F.char_length(text).cast(docs.schema["n_chars"].dataType))
+    return out.select(*rows.columns).toDF(*docs.columns)

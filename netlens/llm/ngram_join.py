@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netlens.llm.common import Scratch, connected_components, fit_broadcast, small_batches
+from netlens.llm.common import Scratch, aside, connected_components, fit_broadcast, small_batches
 from netlens.llm.kernel import mix, shingle_sets
 
 #: Shingle hashes that one block of rows of a large group holds.
@@ -279,7 +279,7 @@ def ngram_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (
     hashed = texts.withColumn("text_hash", F.xxhash64("text"))
     rows = s.cut(hashed.mapInArrow(_rows(k, num, den), "doc_id long, text_hash long, n long, node long, keys array<long>, marks binary"), "rows")
     some = rows.where("n > 0")
-    reps = s.cut(some.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("marks").alias("marks")), "reps")
+    reps = s.cut(some.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("marks").alias("marks")), "reps", True)
     edges = candidate_edges(some, reps, num, den)
     groups = connected_components(edges, s)
     members = groups.select("node", F.col("root").alias("grp")).join(reps.select("node", "doc_id", "n"), "node")
@@ -289,6 +289,7 @@ def ngram_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (
         .withColumn("blocks", F.ceil(F.col("load") / BLOCK).cast("int"))
         .select("node", F.col("doc_id").alias("rep"), "n", "grp", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("b")),
         "members",
+        True,
     )
     there = members.count()
     got = texts.join(fit_broadcast(members, there), texts["doc_id"].eqNullSafe(F.col("rep")))
@@ -305,7 +306,7 @@ def ngram_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (
     least = comp.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     linked = comp.join(least, "root").select("node", "component_id")
     named = reps.select("node", F.col("doc_id").alias("own")).join(linked, "node", "left")
-    named = s.cut(named.select("node", F.coalesce("component_id", "own").alias("component_id")), "named")
+    named = s.cut(named.select("node", F.coalesce("component_id", "own").alias("component_id")), "named", True)
     ids = ("doc_id", "text_hash", F.col("n").alias("n_shingles"))
     out = some.select("doc_id", "text_hash", "n", "node").join(named, "node").select(*ids, "component_id")
     out = out.unionByName(rows.where("n = 0").select(*ids, F.col("doc_id").alias("component_id")))
@@ -318,6 +319,7 @@ def keep_first(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 10
     kept = found.groupBy("doc_id", "text_hash").count()
     repeated = kept.where("count > 1").limit(1).count()
     kept = kept.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"))
-    same = docs["doc_id"].eqNullSafe(F.col("_d")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("_t"))
-    out = docs.join(fit_broadcast(kept, kept.count()), same, "left_semi")
-    return out.dropDuplicates(["doc_id", "text"]) if repeated else out
+    rows, names = aside(docs)
+    same = F.col(names["doc_id"]).cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(F.col(names["text"]).cast("string")) == F.col("_t"))
+    out = rows.join(fit_broadcast(kept, kept.count()), same, "left_semi")
+    return (out.dropDuplicates([names["doc_id"], names["text"]]) if repeated else out).toDF(*docs.columns)

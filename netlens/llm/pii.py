@@ -133,8 +133,8 @@ def disclosing(rows: DataFrame, docs: DataFrame, s: Scratch, threshold: float) -
     """(entity, term, ratio): terms whose PMI with the entity reaches the threshold of its information content."""
     near = rows.select("doc_id", "_h", F.explode("ctx").alias("c")).select("doc_id", "_h", "c.entity", "c.term").distinct()
     both = near.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= SUPPORT)
-    both = s.cut(both, "pairs")
-    known = s.cut(both.select("term").distinct(), "terms")
+    both = s.cut(both, "pairs", True)
+    known = s.cut(both.select("term").distinct(), "terms", True)
     entity = F.transform("base", lambda b: F.concat_ws(":", b["kind"], F.lower(b["value"])))
     held = rows.select("doc_id", "_h", F.explode(F.array_distinct(entity)).alias("entity")).distinct()
     n_entity = held.groupBy("entity").agg(F.count("*").alias("n_entity"))
@@ -155,7 +155,7 @@ def pii_spans(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = rows.withColumn("ctx", F.when(F.size("base") > 0, _context(F.col("text"), F.col("base"))).otherwise(F.array().cast(CONTEXT)))
     rows = s.cut(rows.select("doc_id", F.xxhash64("text").alias("_h"), "base", "ctx"), "rows")
     hits = rows.where("size(base) > 0")
-    told = s.cut(disclosing(hits, texts, s, threshold), "told")
+    told = s.cut(disclosing(hits, texts, s, threshold), "told", True)
     at = hits.select("doc_id", "_h", F.explode("ctx").alias("c")).select("doc_id", "_h", "c.*")
     at = at.join(told, ["entity", "term"]).groupBy("doc_id", "_h", "start", "end", "term").agg(F.max("ratio").alias("ratio"))
     kind = F.lit("term").alias("kind")

@@ -12,7 +12,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from netlens.llm.linededup import dedup_lines
 
     rows = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return rows.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_gone").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    place = lambda x: F.concat_ws(":", x["line"], x["doc_id"], x["first_line"])
+    classes = F.coalesce(F.array_join(F.transform("_dropped", place), ","), F.lit(""))
+    return rows.select(
+        "doc_id", F.col("_lines").alias("n_lines"), F.col("_gone").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), classes.alias("dropped")
+    )
 
 
 def op6_spherical_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

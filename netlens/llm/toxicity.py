@@ -18,10 +18,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netlens.llm.common import Scratch, small_batches
+from netlens.llm.common import Scratch, aside, small_batches
 from netlens.llm.kernel import chunks, words
 
 SAMPLE, FEATURES, GRADES, HEADS = 4000, 4096, 3, (4, 6)
@@ -133,7 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
     small_batches(docs.sparkSession)
     rated = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y"))
     drawn = [rated.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0, 1)]
-    drawn = s.cut(drawn[0].union(drawn[1]), "drawn")
+    drawn = s.cut(drawn[0].union(drawn[1]), "drawn", True)
     # At most 2 * sample rows go to every executor.
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(drawn), "doc_id").dropDuplicates(["text", "y"])
     texts = s.cut(texts.select("doc_id", "y", "text"), "sample")
@@ -195,14 +196,14 @@ def score(docs: DataFrame, model: Model, cut: float = 0.3) -> DataFrame:
 def keep_clean(docs: DataFrame, model: Model, cut: float = 0.3) -> DataFrame:
     """The rows of docs that are not toxic, columns as they are, in one pass without a shuffle."""
 
+    rows, names = aside(docs)
+    at = list(names).index("text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = names.index("text")
         for b in batches:
             pair = pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.int64()), b.column(at)], ["doc_id", "text"])
             for out in _score(model, cut)([pair]):
-                yield b.filter(pa.compute.invert(out.column("is_toxic")))
-
-    import pyarrow.compute  # noqa: F401
+                yield b.filter(pc.invert(out.column("is_toxic")))
 
-    names = docs.columns
-    return docs.mapInArrow(run, docs.schema)
+    small_batches(docs.sparkSession)
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)

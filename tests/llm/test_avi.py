@@ -62,3 +62,5 @@ def test_columns(spark):
         assert r["media_sha256"] == hashlib.sha256(r["media"]).hexdigest() and r["media_bytes"] == len(r["media"])
     assert got[0][1:] == got[4][1:] == got[5][1:]
     assert avi.media_columns(spark.createDataFrame([], DOCS)).count() == 0
+    clips = avi.clip_rows(frame(spark, rows)).where("doc_id = 4").orderBy("clip").collect()
+    assert clips[0]["first"] == 0 and clips[-1]["end_s"] == got[3]["payload_bytes"] / 576 / 25

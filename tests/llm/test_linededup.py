@@ -55,6 +55,13 @@ def test_against_brute_force(spark):
     assert set(got) == set(want)
     for i, t in want.items():
         assert got[i]["text"] == t, i
+    texts = dict(rows)
+    for r in got.values():
+        for x in r["_dropped"] or ():
+            own, first = r["doc_id"], None if x["doc_id"] == ld.LAST else x["doc_id"]
+            lines = texts[own].split("\n")[x["line"]].strip(), texts[first].split("\n")[x["first_line"]].strip()
+            assert len(lines[0]) >= ld.SHORTEST and len(lines[1]) >= ld.SHORTEST and (own, x["line"]) != (first, x["first_line"])
+        assert r["_gone"] == len(r["_dropped"] or ())
     assert got[100]["_lines"] == got[101]["_lines"] == 0 and got[102]["_gone"] == 0 and got[103]["_gone"] == 1
 
 
@@ -67,4 +74,4 @@ def test_repeated_rows_are_one_document(spark):
 def test_empty_table_and_columns(spark):
     df = spark.createDataFrame([], DOCS)
     out = ld.dedup_lines(df)
-    assert out.count() == 0 and out.columns == [*df.columns, "_lines", "_gone"]
+    assert out.count() == 0 and out.columns == [*df.columns, *ld.ADDED]
