@@ -246,7 +246,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     rows, names = aside(docs)
     text = F.col(names["text"]).cast("string")
     keyed = rows.withColumn("_d", F.coalesce(F.col(names["doc_id"]).cast("long"), F.lit(LAST))).withColumn("_t", F.xxhash64(text))
-    out = keyed.join(fit_broadcast(gone, max(size["rows"], size["lines"])), ["_d", "_t"], "left")
+    out = keyed.join(fit_broadcast(gone, max(size["rows"], size["lines"] // 5)), ["_d", "_t"], "left")
     lines = F.when(F.length(text) > 0, F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).otherwise(0)
     out = out.withColumn("_lines", lines.cast("long")).withColumn("_gone", F.coalesce(F.size("gone"), F.lit(0)).cast("long"))
     out = out.withColumn(names["text"], F.when(F.col("gone").isNull(), text).otherwise(_without(text, F.col("gone.line"))))
