@@ -33,6 +33,8 @@ BLOCK = 1_000_000
 COLUMNS = 4096
 #: Rows that agree on a block beyond this number are grouped without a look at their parities.
 MEET = 20_000
+#: Sets that a task remembers.
+SEEN = 1 << 20
 
 
 def bands(most: int) -> np.ndarray:
@@ -77,7 +79,7 @@ def block_keys(x: np.ndarray, num: int, den: int, lo: np.ndarray) -> np.ndarray:
 
 def _rows(k: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lo = bands(1 << 16)
+        lo, seen = bands(1 << 16), set()
         for batch in batches:
             ns, nodes, keys, marks = [], [], [], []
             for _, x in shingle_sets(batch.column(1), k):
@@ -85,7 +87,11 @@ def _rows(k: int, num: int, den: int):
                     lo = bands(2 * len(x))
                 ns.append(len(x))
                 nodes.append(mix(np.array([np.add.reduce(mix(x)) + np.uint64(len(x))], np.uint64)).view(np.int64)[0])
-                keys.append(block_keys(x, num, den, lo).view(np.int64) if len(x) else np.zeros(0, np.int64))
+                # Copies of a set within a task add no keys; what is remembered of a task is bounded.
+                new = len(x) and nodes[-1] not in seen
+                keys.append(block_keys(x, num, den, lo).view(np.int64) if new else np.zeros(0, np.int64))
+                seen = seen if len(seen) < SEEN else set()
+                seen.add(nodes[-1])
                 marks.append(parity(x))
             at = np.concatenate(([0], np.cumsum([len(x) for x in keys]))).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
@@ -146,12 +152,15 @@ def _meet(num: int, den: int):
 
 def candidate_edges(some: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b): edges whose components are the candidate groups."""
-    posts = some.groupBy("node").agg(F.first("keys").alias("keys")).select("node", F.explode("keys").alias("key"))
-    own = Window.partitionBy("key")
-    posts = posts.select("node", F.count("*").over(own).alias("m"), F.bit_xor(F.xxhash64("node")).over(own).alias("sum"), F.min("node").over(own).alias("head"))
-    lists = posts.where("m > 1").groupBy("m", "sum", "head", "node").agg(F.lit(1).alias("one"))  # equal lists once
+    own, h = Window.partitionBy("key"), F.xxhash64("node")
+    posts = some.select("node", F.explode("keys").alias("key"))
+    # A list is known by the least and the largest hash and by all bits of its rows, whether a row is in it once or more
+    # often; two lists that look alike become one, which costs comparisons only.
+    looks = {"low": F.min(h), "high": F.max(h), "all": F.bit_and(h), "any": F.bit_or(h)}
+    posts = posts.select("node", F.count("*").over(own).alias("m"), F.min("node").over(own).alias("head"), *(f.over(own).alias(c) for c, f in looks.items()))
+    lists = posts.where("low < high").groupBy(*looks, "node").agg(F.max("m").alias("m"), F.min("head").alias("head"))  # equal lists once
     large = lists.where(F.col("m") > MEET).where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
-    small = lists.where(F.col("m") <= MEET).select(F.xxhash64("m", "sum", "head").alias("list"), "node").join(reps.select("node", "n", "marks"), "node")
+    small = lists.where(F.col("m") <= MEET).select(F.xxhash64(*looks).alias("list"), "node").join(reps.select("node", "n", "marks"), "node")
     small = small.select("list", "node", "n", "marks").repartition("list").sortWithinPartitions("list", "node")
     return large.unionByName(small.mapInArrow(_meet(num, den), "a long, b long"))
 
