@@ -99,14 +99,16 @@ def ipv6_words(ip: Column) -> Column:
 
 def with_address(df: DataFrame, ip: str) -> DataFrame:
     """df with _family (4, 6, or 0), _hi and _lo, the signed words of the address; no Python runs."""
-    out = df.withColumn("_v4", ipv4_to_long(F.col(ip))).withColumn("_v6", ipv6_words(F.col(ip)))
     zero = F.lit(0).cast("long")
-    return out.select(
-        *df.columns,
-        F.when(F.col("_v4").isNotNull(), 4).when(F.col("_v6").isNotNull(), 6).otherwise(0).alias("_family"),
-        F.coalesce(F.col("_v6.h"), zero).alias("_hi"),
-        F.coalesce("_v4", F.col("_v6.l"), zero).alias("_lo"),
-    )
+
+    def told(x: Column) -> Column:
+        family = F.when(x["a"].isNotNull(), 4).when(x["b"].isNotNull(), 6).otherwise(0)
+        return F.struct(family.alias("_family"), F.coalesce(x["b"]["h"], zero).alias("_hi"), F.coalesce(x["a"], x["b"]["l"], zero).alias("_lo"))
+
+    v4 = ipv4_to_long(F.col(ip))
+    # A generator, so that filters on the result don't read the text again.
+    both = F.struct(v4.alias("a"), F.when(F.contains(F.col(ip), F.lit(":")), ipv6_words(F.col(ip))).alias("b"))
+    return df.select(*df.columns, F.inline(F.array(let(both, told))))
 
 
 def word_bytes(hi: Column, lo: Column) -> Column:

@@ -24,6 +24,8 @@ from netlens.sources.scan import Records, arrow_type, as_dicts
 from netlens.sources.scan import lookup as walk
 
 BUCKET = 16
+#: Networks up to which their side of the join is broadcast; beyond it both sides are shuffled.
+SMALL = 50_000
 ADDED = ("found", "network", "record_offset", "error")
 
 
@@ -36,7 +38,7 @@ def _signed(n: int) -> int:
 
 
 def _by_length(addresses: DataFrame, nets: DataFrame) -> DataFrame:
-    found = nets.select("depth", F.col("network_v4").isNotNull().alias("v4")).distinct().collect()  # at most 258
+    found = nets.groupBy("depth", F.col("network_v4").isNotNull().alias("v4")).count().collect()  # at most 258 rows
 
     def masks(depths: set[int]) -> Column:
         out = []
@@ -49,7 +51,9 @@ def _by_length(addresses: DataFrame, nets: DataFrame) -> DataFrame:
     lengths = F.when(F.col("_family") == 4, masks({r["depth"] for r in found if r["v4"]})).otherwise(masks({r["depth"] for r in found}))
     probe = addresses.withColumn("_m", F.explode(lengths))
     probe = probe.withColumn("_kh", F.col("_hi").bitwiseAND(F.col("_m.mh"))).withColumn("_kl", F.col("_lo").bitwiseAND(F.col("_m.ml")))
-    hit = probe.join(nets, (F.col("_m.d") == F.col("depth")) & (F.col("_kh") == F.col("hi")) & (F.col("_kl") == F.col("lo")))
+    # Sizes before the explode say nothing of the probes, which must never be the side that is broadcast.
+    side = F.broadcast(nets) if sum(r["count"] for r in found) <= SMALL else nets.hint("merge")
+    hit = probe.join(side, (F.col("_m.d") == F.col("depth")) & (F.col("_kh") == F.col("hi")) & (F.col("_kl") == F.col("lo")))
     return hit.drop("_m", "_kh", "_kl")
 
 
