@@ -2,8 +2,10 @@
 
 Protected entities are the matches of the base kinds. For every term near an entity the corpus tells how strongly it
 reveals the entity: PMI(term; entity) against the entity's information content IC = log(N / documents with it), counted
-over all documents. A term found near an entity in at least SUPPORT documents whose PMI reaches `threshold` of IC is a
-span of the kind "term" in those places: it is generalised to a class below `remove` of IC and removed from there on.
+over all documents. A term found near an entity, be it in one document, whose PMI reaches `threshold` of IC is a span of
+the kind "term" in those places: it is generalised to a class below `remove` of IC and removed from there on. Chance
+hits are curbed by the threshold: a term near an entity of one document tells it only if about N^(1 - threshold)
+documents hold the term, or fewer.
 
 Base kinds are leftmost, non-overlapping matches; the patterns below are possessive or anchored forms of the plain ones
 that match the same spans in linear time. Positions are code points, from the lengths of what lies between matches.
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from netlens.llm.common import Scratch, fit_broadcast
 
-NEAR, SUPPORT, THRESHOLD, REMOVE = 60, 3, 0.8, 0.95
+NEAR, THRESHOLD, REMOVE = 60, 0.8, 0.95
 SPAN = "array<struct<kind:string,start:long,end:long,value:string>>"
 CONTEXT = "array<struct<entity:string,term:string,start:long,end:long>>"
 
@@ -132,7 +134,7 @@ def _context(text: Column, base: Column) -> Column:
 def disclosing(rows: DataFrame, docs: DataFrame, s: Scratch, threshold: float) -> DataFrame:
     """(entity, term, ratio): terms whose PMI with the entity reaches the threshold of its information content."""
     near = rows.select("doc_id", "_h", F.explode("ctx").alias("c")).select("doc_id", "_h", "c.entity", "c.term").distinct()
-    both = near.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= SUPPORT)
+    both = near.groupBy("entity", "term").agg(F.count("*").alias("n_both"))
     both = s.cut(both, "pairs", True)
     known = s.cut(both.select("term").distinct(), "terms", True)
     entity = F.transform("base", lambda b: F.concat_ws(":", b["kind"], F.lower(b["value"])))

@@ -59,6 +59,13 @@ def test_terms_that_tell_an_entity_are_spans_and_clean_texts_stay(spark):
     assert [s["kind"] for s in got[5]] == ["email"]
 
 
+def test_a_name_beside_one_address_in_one_document_is_a_term(spark):
+    rows = [(0, "please ask quillfeather under q@mail.example always")] + [(k, "please ask under always") for k in range(1, 40)]
+    got = {r["doc_id"]: r["spans"] for r in pii.pii_spans(frame(spark, rows)).collect()}
+    assert [(s["kind"], s["value"], s["ratio"]) for s in got[0]] == [("email", "q@mail.example", None), ("term", "quillfeather", 1.0)]
+    assert not any(got[k] for k in range(1, 40))
+
+
 def test_sanitise(spark):
     df = pii.pii_spans(frame(spark, [(k, "call zoeprivate now: zoeprivate@x.example, 1.2.3.4!") for k in range(4)] + [(9, "call now")] * 30))
     texts = frame(spark, [(k, "call zoeprivate now: zoeprivate@x.example, 1.2.3.4!") for k in range(4)])
