@@ -2,8 +2,10 @@
 
 Filter directions are the products of `BLOCKS` random codes: coordinates are cut into blocks, each block has `width`
 random unit vectors, and one of each block makes a direction. A vector is list-decoded to all directions whose inner
-product exceeds the cap's bound (and to its best LEAST, if fewer do). Vectors that share a filter are compared in double
-precision. The number of filters follows the number of vectors, so a filter holds about as many at any size.
+product exceeds the cap's bound (and to its best ones, if too few do). Vectors that share a filter are compared in double
+precision. The number of filters follows the number of vectors; as caps narrow with it and a pair at cosine 0.9 shares
+less of them, a vector goes to GROW more filters for each doubling beyond BASE. There are at most 2^(3 length / 4) filters, as
+more would be too narrow for short vectors; their filters hold more vectors instead.
 
 Equal vectors are one row with a multiplicity. A pair counts at its smallest common filter only, so partial counts add
 up; a task emits one row per vector, never pairs. Filters with many vectors are dealt out as pairs of blocks.
@@ -27,6 +29,8 @@ from netlens.llm.common import Scratch, connected_components, fit_broadcast, sma
 from netlens.llm.ngram_join import forest
 
 BLOCKS, SHARE, EXPECT, LEAST, SEED, MOST = 2, 4, 24, 12, 7, 2048
+#: Filters that a vector is in beyond EXPECT, for each doubling of the filters beyond BASE.
+GROW, BASE = 6, 8000
 
 
 def _bound(share: float) -> float:
@@ -44,14 +48,17 @@ class Codes:
     def __init__(self, dim: int, filters: int):
         rng = np.random.Generator(np.random.PCG64([SEED, dim]))
         self.blocks = min(BLOCKS, dim)
-        self.width = max(2, math.ceil(filters ** (1 / self.blocks)))
+        self.width = max(2, math.ceil(min(filters, 1 << min(3 * dim // 4, 62)) ** (1 / self.blocks)))
         self.cut = np.linspace(0, dim, self.blocks + 1).astype(int)
         self.turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
         self.code = []
         for a, b in zip(self.cut[:-1], self.cut[1:], strict=True):
             c = rng.standard_normal((self.width, b - a))
             self.code.append(c / np.linalg.norm(c, axis=1, keepdims=True))
-        self.least = _bound(min(0.5, EXPECT / self.width**self.blocks)) * math.sqrt(self.blocks / dim)
+        many = self.width**self.blocks
+        expect = EXPECT + GROW * max(0.0, math.log2(many / BASE))
+        self.fewest = math.ceil(expect * LEAST / EXPECT)
+        self.least = _bound(min(0.5, expect / many)) * math.sqrt(self.blocks / dim)
 
     def decode(self, unit: np.ndarray) -> list[np.ndarray]:
         """The filters of each row of unit vectors."""
@@ -70,8 +77,8 @@ class Codes:
                 s = total[:, None] + d[near][None, :]
                 i, j = np.nonzero(s + after >= bound)
                 total, ident = s[i, j], ident[i] * self.width + near[j]
-            if len(ident) >= LEAST or bound < -len(dots):
-                return np.sort(ident if bound == self.least else ident[np.argsort(-total, kind="stable")[:LEAST]])
+            if len(ident) >= self.fewest or bound < -len(dots):
+                return np.sort(ident if bound == self.least else ident[np.argsort(-total, kind="stable")[: self.fewest]])
             bound -= 0.05
 
 

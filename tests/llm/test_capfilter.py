@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from helpers import components
 
 from netlens.llm import capfilter as cf
@@ -60,6 +61,18 @@ def test_recall_of_the_index_at_the_threshold():
         assert np.mean([len(np.intersect1d(a, b)) > 0 for a, b in pairs]) >= 0.97
 
 
+@pytest.mark.parametrize("dim", [8, 16, 24, 32, 64])
+@pytest.mark.parametrize("count", [50_000, 1_000_000, 4_000_000, 20_000_000])
+def test_recall_of_the_index_holds_at_every_size(dim, count):
+    rng = np.random.default_rng(3)
+    codes = cf.Codes(dim, count // cf.SHARE)
+    u = cf._unit(rng.standard_normal((1500, dim)))
+    w = rng.standard_normal((1500, dim))
+    w = cf._unit(w - (w * u).sum(1)[:, None] * u)
+    pairs = zip(codes.decode(u), codes.decode(0.9 * u + math.sqrt(1 - 0.81) * w), strict=True)
+    assert np.mean([len(np.intersect1d(a, b)) > 0 for a, b in pairs]) >= 0.97
+
+
 def test_list_decoding_is_exhaustive():
     rng = np.random.default_rng(1)
     codes = cf.Codes(12, 400)
