@@ -1,11 +1,11 @@
 """Information-theoretic sanitisation of personal data, with DataFrame functions only.
 
-Protected entities are the matches of the base kinds. For every term near an entity the corpus tells how strongly it
-reveals the entity: PMI(term; entity) against the entity's information content IC = log(N / documents with it), counted
-over all documents. A term found near an entity, be it in one document, whose PMI reaches `threshold` of IC is a span of
-the kind "term" in those places: it is generalised to a class below `remove` of IC and removed from there on. Chance
-hits are curbed by the threshold: a term near an entity of one document tells it only if about N^(1 - threshold)
-documents hold the term, or fewer.
+Protected entities are the matches of the base kinds. For every term of a document with an entity the corpus tells how
+strongly it reveals the entity: PMI(term; entity) against the entity's information content IC = log(N / documents with
+it), all counted by document. A term that shares a document with an entity, be it one, and whose PMI reaches `threshold`
+of IC is a span of the kind "term" wherever it stands in documents that hold the entity: it is generalised to a class
+below `remove` of IC and removed from there on. Chance hits are curbed by the threshold: a term tells an entity of one
+document only if about N^(1 - threshold) documents hold the term, or fewer.
 
 Base kinds are leftmost, non-overlapping matches; the patterns below are possessive or anchored forms of the plain ones
 that match the same spans in linear time. Positions are code points, from the lengths of what lies between matches.
@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 
 from netlens.llm.common import Scratch, fit_broadcast
 
-NEAR, THRESHOLD, REMOVE = 60, 0.8, 0.95
+THRESHOLD, REMOVE, STEP = 0.8, 0.95, 64
 SPAN = "array<struct<kind:string,start:long,end:long,value:string>>"
-CONTEXT = "array<struct<entity:string,term:string,start:long,end:long>>"
+WORDS = "array<struct<term:string,start:long,end:long>>"
 
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
@@ -105,47 +105,61 @@ def base_spans(text: Column) -> Column:
     return F.concat(*(of(*k) for k in KINDS))
 
 
-def _context(text: Column, base: Column) -> Column:
-    """Terms within NEAR code points of each base span, whole ones that overlap no base span."""
+def _words(text: Column, base: Column) -> Column:
+    """Every term of a text with its place, whole ones that overlap no base span. Places are sums over whole steps of
+    STEP terms and the rest of one, so that long texts take no quadratic time."""
 
-    def around(b: Column) -> Column:
-        def side(lo: Column, hi: Column) -> Column:
-            piece = F.substring(text, (lo + 1).cast("int"), (hi - lo).cast("int"))
-            inner = lambda w: (
-                ((w["start"] > 0) | (lo == 0) | (lo == b["end"]))
-                & ((lo + w["end"] < hi) | (hi == b["start"]) | (hi == F.length(text)))
-                & ~F.exists(base, lambda o: (o["start"] < lo + w["end"]) & (o["end"] > lo + w["start"]))
-            )
-            terms = F.filter(matches(piece, TERM, "term"), inner)
-            return F.transform(
-                terms,
-                lambda w: F.struct(
-                    F.concat_ws(":", b["kind"], F.lower(b["value"])).alias("entity"), F.lower(w["value"]).alias("term"),
-                    (lo + w["start"]).alias("start"), (lo + w["end"]).alias("end"),
-                ),
-            )
-
-        size = F.length(text).cast("long")
-        return F.concat(side(F.greatest(F.lit(0).cast("long"), b["start"] - NEAR), b["start"]), side(b["end"], F.least(size, b["end"] + NEAR)))
-
-    return F.flatten(F.transform(base, around))
-
-
-def disclosing(rows: DataFrame, docs: DataFrame, s: Scratch, threshold: float) -> DataFrame:
-    """(entity, term, ratio): terms whose PMI with the entity reaches the threshold of its information content."""
-    near = rows.select("doc_id", "_h", F.explode("ctx").alias("c")).select("doc_id", "_h", "c.entity", "c.term").distinct()
-    both = near.groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    both = s.cut(both, "pairs", True)
-    known = s.cut(both.select("term").distinct(), "terms", True)
-    entity = F.transform("base", lambda b: F.concat_ws(":", b["kind"], F.lower(b["value"])))
-    held = rows.select("doc_id", "_h", F.explode(F.array_distinct(entity)).alias("entity")).distinct()
-    n_entity = held.groupBy("entity").agg(F.count("*").alias("n_entity"))
-    terms = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{M}]+"))).alias("term"))
+    def place(s: Column) -> Column:
+        zero = F.lit(0).cast("long")
+        total = lambda part: F.aggregate(part, zero, lambda a, b: a + b)
+        steps = F.sequence(F.lit(0), F.floor(F.size(s["vals"]) / STEP).cast("int"))
+        sums = F.transform(steps, lambda k: total(F.slice(s["both"], k * STEP + 1, STEP)))
+
+        def word(heads: Column) -> Column:
+            def at(v: Column, i: Column) -> Column:
+                k = F.floor(i / STEP).cast("int")
+                start = F.element_at(heads, k + 1) + total(F.slice(s["both"], k * STEP + 1, i - k * STEP)) + F.get(s["gaps"], i)
+                return F.struct(F.lower(v).alias("term"), start.alias("start"), (start + F.length(v)).alias("end"))
+
+            return F.transform(s["vals"], at)
+
+        heads = F.transform(steps, lambda k: total(F.slice(sums, F.lit(1), k)))
+        return let(heads, word)
+
+    size = lambda x: F.length(x).cast("long")
+    vals = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
+    gaps = F.transform(F.split(text, TERM, -1), size)
+    both = lambda p: F.struct(
+        p["vals"].alias("vals"), p["gaps"].alias("gaps"),
+        F.zip_with(p["vals"], F.slice(p["gaps"], F.lit(1), F.size(p["vals"])), lambda v, g: size(v) + g).alias("both"),
+    )
+    found = let(let(F.struct(vals.alias("vals"), gaps.alias("gaps")), both), place)
+    return F.filter(found, lambda w: ~F.exists(base, lambda o: (o["start"] < w["end"]) & (o["end"] > w["start"])))
+
+
+def _entities(base: Column) -> Column:
+    return F.array_distinct(F.transform(base, lambda b: F.concat_ws(":", b["kind"], F.lower(b["value"]))))
+
+
+def disclosing(held: DataFrame, words: DataFrame, docs: DataFrame, s: Scratch, threshold: float) -> DataFrame:
+    """(entity, term, ratio): terms whose PMI with the entity reaches the threshold of its information content.
+    held(doc_id, _h, entity), words(doc_id, _h, term) of the documents with entities, each once; docs of all."""
+    known = s.cut(words.select("term").distinct(), "terms", True)
+    n_entity = s.cut(held.groupBy("entity").agg(F.count("*").alias("n_entity")), "entities", True)
+    n = max(docs.select("doc_id", "_h").distinct().count(), 1)
+    once = docs.dropDuplicates(["doc_id", "_h"]) if docs.count() > n else docs  # texts are shuffled only where rows repeat
+    terms = once.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{M}]+"))).alias("term"))
     n_term = terms.join(fit_broadcast(known, known.count()), "term").groupBy("term").agg(F.count("*").alias("n_term"))
-    n = docs.count()
-    pairs = both.join(n_entity, "entity").join(n_term, "term")
-    pmi = F.log(F.lit(float(max(n, 1))) * F.col("n_both") / (F.col("n_entity") * F.greatest("n_term", "n_both")))
-    ic = F.log(F.lit(float(max(n, 1))) / F.col("n_entity"))
+    # n_both is n_entity at most, so a term of more documents than this reaches the threshold with no entity of n_entity.
+    most = lambda e: F.pow(F.lit(float(n)), F.lit(1 - threshold)) * F.pow(e, F.lit(threshold)) * (1 + 1e-9)
+    top = n_entity.agg(F.max("n_entity")).first()[0] or 0
+    rare = s.cut(n_term.where(F.col("n_term") <= most(F.lit(float(top)))), "rare", True)
+    words = words.join(fit_broadcast(rare, rare.count()), "term")
+    held = held.join(fit_broadcast(n_entity, n_entity.count()), "entity").select(F.col("doc_id").alias("_d"), F.col("_h").alias("_k"), "entity", "n_entity")
+    pairs = words.join(held, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_k"))).where(F.col("n_term") <= most(F.col("n_entity")))
+    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.max("n_entity").alias("n_entity"), F.max("n_term").alias("n_term"))
+    pmi = F.log(F.lit(float(n)) * F.col("n_both") / (F.col("n_entity") * F.greatest("n_term", "n_both")))
+    ic = F.log(F.lit(float(n)) / F.col("n_entity"))
     return pairs.where(ic > 0).withColumn("ratio", pmi / ic).where(F.col("ratio") >= threshold).select("entity", "term", "ratio")
 
 
@@ -153,13 +167,18 @@ def pii_spans(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, base, spans) of every row: base spans by kind and start, and all spans with the method's after them."""
     s = Scratch(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = texts.withColumn("_h", F.xxhash64("text"))
     rows = texts.withColumn("base", base_spans(F.col("text")))
-    rows = rows.withColumn("ctx", F.when(F.size("base") > 0, _context(F.col("text"), F.col("base"))).otherwise(F.array().cast(CONTEXT)))
-    rows = s.cut(rows.select("doc_id", F.xxhash64("text").alias("_h"), "base", "ctx"), "rows")
+    rows = rows.withColumn("words", F.when(F.size("base") > 0, _words(F.col("text"), F.col("base"))).otherwise(F.array().cast(WORDS)))
+    rows = s.cut(rows.select("doc_id", "_h", "base", "words"), "rows")
     hits = rows.where("size(base) > 0")
-    told = s.cut(disclosing(hits, texts, s, threshold), "told", True)
-    at = hits.select("doc_id", "_h", F.explode("ctx").alias("c")).select("doc_id", "_h", "c.*")
-    at = at.join(told, ["entity", "term"]).groupBy("doc_id", "_h", "start", "end", "term").agg(F.max("ratio").alias("ratio"))
+    held = hits.select("doc_id", "_h", F.explode(_entities(F.col("base"))).alias("entity")).distinct()
+    words = hits.select("doc_id", "_h", F.explode(F.array_distinct(F.col("words.term"))).alias("term")).distinct()
+    told = s.cut(disclosing(held, words, texts, s, threshold), "told", True)
+    by = held.join(told, "entity").groupBy("doc_id", "_h", "term").agg(F.max("ratio").alias("ratio"))
+    by = by.select(F.col("doc_id").alias("_d"), F.col("_h").alias("_k"), F.col("term").alias("_t"), "ratio")
+    at = hits.select("doc_id", "_h", F.explode("words").alias("w")).select("doc_id", "_h", "w.*").distinct()
+    at = at.join(by, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_k")) & (F.col("term") == F.col("_t")))
     kind = F.lit("term").alias("kind")
     at = at.groupBy("doc_id", "_h").agg(F.array_sort(F.collect_list(F.struct("start", "end", kind, F.col("term").alias("value"), "ratio"))).alias("more"))
     at = at.select(F.col("doc_id").alias("_d"), F.col("_h").alias("_k"), "more")

@@ -3,6 +3,7 @@ import re
 
 import pytest
 from helpers import DOCS, frame
+from pyspark.sql import functions as F
 
 from netlens.llm import pii
 
@@ -66,6 +67,21 @@ def test_a_name_beside_one_address_in_one_document_is_a_term(spark):
     assert not any(got[k] for k in range(1, 40))
 
 
+def test_terms_count_by_document_and_every_mention_is_a_span(spark):
+    far = "quillfeather wrote. " + "please ask under always. " * 40 + "To q@mail.example, said Quillfeather. " + "please ask under always. " * 40 + "é quillfeather"
+    rows = [(None, far)] * 15 + [(k, "please ask to under always wrote said é") for k in range(1, 40)]
+    got = pii.pii_spans(frame(spark, rows)).where("size(base) > 0").collect()
+    want = [(m.start(), m.end(), "quillfeather") for m in re.finditer("quillfeather", far.lower())]
+    assert len(got) == 15 and len(want) == 3
+    assert all([(s["start"], s["end"], s["value"]) for s in r["spans"] if s["kind"] == "term"] == want for r in got)
+
+
+def test_places_of_many_words(spark):
+    text = " ".join(f"w{'x' * (k % 7)} é" for k in range(300))
+    got = spark.createDataFrame([(text,), ("",), ("a",)], "t string").select(pii._words(F.col("t"), F.array().cast(pii.SPAN)).alias("w"))
+    assert [[tuple(w) for w in r["w"]] for r in got.collect()] == [[(m.group(), m.start(), m.end()) for m in re.finditer(r"[^\W\d_]+", t)] for t in (text, "", "a")]
+
+
 def test_sanitise(spark):
     df = pii.pii_spans(frame(spark, [(k, "call zoeprivate now: zoeprivate@x.example, 1.2.3.4!") for k in range(4)] + [(9, "call now")] * 30))
     texts = frame(spark, [(k, "call zoeprivate now: zoeprivate@x.example, 1.2.3.4!") for k in range(4)])
