@@ -277,9 +277,10 @@ def _multiply(num: int, den: int):
     return run
 
 
-def ngram_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100), scratch: Scratch | None = None) -> DataFrame:
+def ngram_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100), scratch: Scratch | None = None, with_hash: bool = False) -> DataFrame:
     """(doc_id, text_hash, n_shingles, component_id) for every row of docs: component_id is the smallest doc_id reachable
-    by links of Jaccard similarity of k-word shingle sets at least threshold (a fraction)."""
+    by links of Jaccard similarity of k-word shingle sets at least threshold (a fraction). with_hash adds component_hash,
+    the text_hash of the component's least row."""
     num, den = threshold
     spark = docs.sparkSession
     s = scratch or Scratch(spark)
@@ -288,20 +289,23 @@ def ngram_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (
     hashed = texts.withColumn("text_hash", F.xxhash64("text"))
     rows = s.cut(hashed.mapInArrow(_rows(k, num, den), "doc_id long, text_hash long, n long, node long, keys array<long>, marks binary"), "rows")
     some = rows.where("n > 0")
-    reps = s.cut(some.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("marks").alias("marks")), "reps", True)
+    # The least row of a set by (doc_id, text_hash), null ids last.
+    rep = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    reps = s.cut(some.groupBy("node").agg(F.min(rep).alias("rep"), F.max("n").alias("n"), F.first("marks").alias("marks")), "reps", True)
     edges = candidate_edges(some, reps, num, den)
     groups = connected_components(edges, s)
-    members = groups.select("node", F.col("root").alias("grp")).join(reps.select("node", "doc_id", "n"), "node")
+    members = groups.select("node", F.col("root").alias("grp")).join(reps.select("node", "rep", "n"), "node")
     load = members.groupBy("grp").agg(F.sum("n").alias("load"))
     members = s.cut(
         members.join(load, "grp")
         .withColumn("blocks", F.ceil(F.col("load") / BLOCK).cast("int"))
-        .select("node", F.col("doc_id").alias("rep"), "n", "grp", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("b")),
+        .select("node", F.col("rep.doc_id").alias("rep"), F.col("rep.text_hash").alias("rep_hash"), "n", "grp", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("b")),
         "members",
         True,
     )
     there = members.count()
-    got = texts.join(fit_broadcast(members, there), texts["doc_id"].eqNullSafe(F.col("rep")))
+    same = hashed["doc_id"].eqNullSafe(F.col("rep")) & (hashed["text_hash"] == F.col("rep_hash"))
+    got = hashed.join(fit_broadcast(members, there), same)
     got = got.select("node", "grp", "blocks", "b", "text").mapInArrow(_sets(k), "node long, grp long, blocks int, b int, hashes binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
     dealt = (
@@ -311,20 +315,20 @@ def ngram_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (
         .sortWithinPartitions("grp", "i", "j")
     )
     links = dealt.mapInArrow(_multiply(num, den), "a long, b long")
-    comp = connected_components(links, s).join(reps.select("node", "doc_id"), "node")
-    least = comp.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    linked = comp.join(least, "root").select("node", "component_id")
-    named = reps.select("node", F.col("doc_id").alias("own")).join(linked, "node", "left")
-    named = s.cut(named.select("node", F.coalesce("component_id", "own").alias("component_id")), "named", True)
+    comp = connected_components(links, s).join(reps.select("node", "rep"), "node")
+    least = comp.groupBy("root").agg(F.min("rep").alias("least"))
+    linked = comp.join(least, "root").select("node", "least")
+    named = reps.select("node", F.col("rep").alias("own")).join(linked, "node", "left").select("node", F.coalesce("least", "own").alias("rep"))
+    named = s.cut(named.select("node", F.col("rep.doc_id").alias("component_id"), F.col("rep.text_hash").alias("component_hash")), "named", True)
     ids = ("doc_id", "text_hash", F.col("n").alias("n_shingles"))
-    out = some.select("doc_id", "text_hash", "n", "node").join(named, "node").select(*ids, "component_id")
-    out = out.unionByName(rows.where("n = 0").select(*ids, F.col("doc_id").alias("component_id")))
-    return s.finish(out, "ngram")
+    out = some.select("doc_id", "text_hash", "n", "node").join(named, "node").select(*ids, "component_id", "component_hash")
+    out = out.unionByName(rows.where("n = 0").select(*ids, F.col("doc_id").alias("component_id"), F.col("text_hash").alias("component_hash")))
+    return s.finish(out if with_hash else out.drop("component_hash"), "ngram")
 
 
 def keep_first(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
-    """The rows of docs, one of each component: that with the smallest doc_id. Of rows that repeat doc_id and text, one."""
-    found = ngram_components(docs, k, threshold).where("doc_id <=> component_id")
+    """The rows of docs, one of each component: that with the smallest (doc_id, text_hash). Of rows that repeat doc_id and text, one."""
+    found = ngram_components(docs, k, threshold, with_hash=True).where("doc_id <=> component_id and text_hash <=> component_hash")
     kept = found.groupBy("doc_id", "text_hash").count()
     repeated = kept.where("count > 1").limit(1).count()
     kept = kept.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"))

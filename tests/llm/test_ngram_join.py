@@ -68,3 +68,16 @@ def test_keep_first(spark):
     out = ng.keep_first(df)
     assert out.columns == df.columns
     assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == [(1, a), (2, b), (4, ""), (5, None)]
+
+
+def test_null_and_repeated_ids_hold_distinct_and_near_texts(spark):
+    words = lambda tag: [f"{tag}{k}" for k in range(40)]
+    near = lambda tag: " ".join([*words(tag), "more"])
+    for same in (None, 7):
+        rows = [(same, t) for tag in ("a", "b", "c", "d") for t in (" ".join(words(tag)), near(tag))]
+        df = frame(spark, rows)
+        kept = [r["text"] for r in ng.keep_first(df).collect()]
+        assert sorted(t[0] for t in kept) == ["a", "b", "c", "d"], kept
+    rows += [(1, "a0 " + near("a")), (9, " ".join(words("e"))), (None, near("e"))]
+    got = {(r["doc_id"], r["text_hash"]): r["component_id"] for r in ng.ngram_components(frame(spark, rows)).collect()}
+    assert len(got) == 11 and sorted(got.values()) == [1] * 3 + [7] * 6 + [9] * 2
