@@ -31,6 +31,13 @@ def test_frames_decode_as_baseline_jpeg():
     assert px.std() == 0 and px[0, 0] == 128 + 32 // 8
 
 
+def test_own_frames_decode_to_the_pixels_of_the_general_decoder():
+    data = np.random.default_rng(2).integers(0, 256, 576 * 6, np.uint8)
+    data[576:1152] = np.frombuffer(b"plain text of a document " * 24, np.uint8)[:576]
+    want = np.stack([avi.decode_jpeg(f).ravel() for f in avi.encode_frames(data.tobytes())])
+    assert (avi.own_pixels(data) == want).all()
+
+
 def test_zigzag():
     assert avi.ZIGZAG[:10].tolist() == [0, 1, 8, 16, 9, 2, 3, 10, 17, 24] and sorted(avi.ZIGZAG) == list(range(64))
 
