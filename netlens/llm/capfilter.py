@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netlens.llm.common import Scratch, connected_components, fit_broadcast, small_batches
+from netlens.llm.common import Scratch, connected_components, bounded, small_batches
 from netlens.llm.ngram_join import forest
 
 BLOCKS, SHARE, EXPECT, LEAST, SEED, MOST = 2, 4, 24, 12, 7, 2048
@@ -185,7 +185,7 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.9) -> DataFrame:
     posts = found.select(F.explode("filters").alias("filter"), (F.length("vec") / 8).cast("int").alias("dim"), "node", "vec", "mult", "filters")
     load = posts.groupBy("filter", "dim").count().where("count > 1")
     load = s.cut(load.select("filter", "dim", F.ceil(F.col("count") / MOST).cast("int").alias("blocks")), "load", True)
-    posts = posts.join(fit_broadcast(load, load.count()), ["filter", "dim"])
+    posts = posts.join(bounded(load), ["filter", "dim"])
     posts = posts.withColumn("b", F.pmod("node", "blocks").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = (
         posts.select("filter", "dim", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "node", "vec", "mult", "filters", "b")

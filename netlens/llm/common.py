@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
 
@@ -13,12 +15,16 @@ _LOCAL: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that all executors see: spark.checkpoint.dir. Where it is unset, a local master gets a folder of its
+    own, which goes with the process; on a cluster that is an error, as executors would each write to their own disk."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="netlens-"))
+        atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
     return f"file://{_LOCAL[0]}"
 
 
@@ -60,9 +66,25 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def fit_broadcast(df: DataFrame, rows: int, most: int = 500_000) -> DataFrame:
-    """A hint only for a side whose row count was taken and is within the bound; beyond it Spark shuffles."""
-    return F.broadcast(df) if rows <= most else df
+def weight(df: DataFrame) -> tuple[int, int]:
+    """(rows, about the bytes they take in memory) of a table, in one pass."""
+    size = F.lit(0).cast("long")
+    for f in df.schema.fields:
+        c, kind = F.col(f"`{f.name}`"), f.dataType.typeName()
+        if kind in ("string", "binary"):
+            size = size + 16 + F.coalesce(F.octet_length(c), F.lit(0))
+        elif kind in ("array", "map", "struct"):
+            size = size + 32 + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+        else:
+            size = size + 16
+    row = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    return row["n"], row["bytes"]
+
+
+def bounded(df: DataFrame, most: int = 48 << 20) -> DataFrame:
+    """A written table with a broadcast hint, if its rows were measured to take at most so many bytes; beyond, Spark
+    shuffles."""
+    return F.broadcast(df) if weight(df)[1] <= most else df
 
 
 def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:

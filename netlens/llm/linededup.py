@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netlens.llm.common import Scratch, aside, connected_components, fit_broadcast, small_batches
+from netlens.llm.common import Scratch, aside, connected_components, bounded, small_batches
 from netlens.llm.kernel import _powers, chunks, mix
 
 EDITS, SHORTEST, PART, SEEN = 2, 20, 1 << 18, 1 << 19
@@ -206,7 +206,7 @@ def line_links(keyed: DataFrame, firsts: DataFrame, s: Scratch) -> DataFrame:
     pairs = s.cut(met.select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b")).distinct(), "pairs", True)
     wanted = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
     wanted = s.cut(wanted.join(firsts, "h").select("h", "first.*"), "wanted", True)
-    from_docs = keyed.join(fit_broadcast(wanted, wanted.count()), ["_d", "_t"]).select("h", F.btrim(F.get(F.split("text", "\n", -1), "at"), F.lit(" \t\r\x0b\x0c")).alias("line"))
+    from_docs = keyed.join(bounded(wanted), ["_d", "_t"]).select("h", F.btrim(F.get(F.split("text", "\n", -1), "at"), F.lit(" \t\r\x0b\x0c")).alias("line"))
     lines = s.cut(from_docs.dropDuplicates(["h"]), "texts")
     ta, tb = lines.toDF("a", "ta"), lines.toDF("b", "tb")
     return s.cut(pairs.join(ta, "a").join(tb, "b").mapInArrow(_verify, "a long, b long"), "links", True)
@@ -240,13 +240,12 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     linked = named.join(head, "root").select("h", F.col("head").alias("first"))
     again = firsts.where("n > 1").join(linked.select("h"), "h", "left_anti").select("h", "first").unionByName(linked)
     again = s.cut(again, "again", True)
-    hit = places.join(fit_broadcast(again, again.count()), "h").where("struct(_d, at, _t) <> first")
+    hit = places.join(bounded(again), "h").where("struct(_d, at, _t) <> first")
     gone = s.cut(hit.groupBy("_d", "_t").agg(F.array_sort(F.collect_set(F.struct(F.col("at").alias("line"), F.col("first._d").alias("doc_id"), F.col("first.at").alias("first_line")))).alias("gone")), "gone", True)
-    size = gone.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("gone")), F.lit(0)).alias("lines")).first()
     rows, names = aside(docs)
     text = F.col(names["text"]).cast("string")
     keyed = rows.withColumn("_d", F.coalesce(F.col(names["doc_id"]).cast("long"), F.lit(LAST))).withColumn("_t", F.xxhash64(text))
-    out = keyed.join(fit_broadcast(gone, max(size["rows"], size["lines"] // 5)), ["_d", "_t"], "left")
+    out = keyed.join(bounded(gone), ["_d", "_t"], "left")
     lines = F.when(F.length(text) > 0, F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).otherwise(0)
     out = out.withColumn("_lines", lines.cast("long")).withColumn("_gone", F.coalesce(F.size("gone"), F.lit(0)).cast("long"))
     out = out.withColumn(names["text"], F.when(F.col("gone").isNull(), text).otherwise(_without(text, F.col("gone.line"))))

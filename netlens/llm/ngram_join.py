@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netlens.llm.common import Scratch, aside, connected_components, fit_broadcast, small_batches
+from netlens.llm.common import Scratch, aside, connected_components, bounded, small_batches
 from netlens.llm.kernel import mix, shingle_sets
 
 #: Shingle hashes that one block of rows of a large group holds.
@@ -303,9 +303,8 @@ def ngram_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (
         "members",
         True,
     )
-    there = members.count()
     same = hashed["doc_id"].eqNullSafe(F.col("rep")) & (hashed["text_hash"] == F.col("rep_hash"))
-    got = hashed.join(fit_broadcast(members, there), same)
+    got = hashed.join(bounded(members), same)
     got = got.select("node", "grp", "blocks", "b", "text").mapInArrow(_sets(k), "node long, grp long, blocks int, b int, hashes binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
     dealt = (
@@ -334,5 +333,5 @@ def keep_first(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 10
     kept = kept.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"))
     rows, names = aside(docs)
     same = F.col(names["doc_id"]).cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(F.col(names["text"]).cast("string")) == F.col("_t"))
-    out = rows.join(fit_broadcast(kept, kept.count()), same, "left_semi")
+    out = rows.join(bounded(kept), same, "left_semi")
     return (out.dropDuplicates([names["doc_id"], names["text"]]) if repeated else out).toDF(*docs.columns)

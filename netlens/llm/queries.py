@@ -46,6 +46,7 @@ def op1_pii_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
         *(count(k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")),
         F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
+        F.sha2("sanitised", 256).alias("sanitised_sha256"),
     )
 
 
