@@ -1,5 +1,9 @@
 import hashlib
+import math
+import random
 import re
+import time
+from collections import Counter
 
 import pytest
 from helpers import DOCS, frame
@@ -57,7 +61,7 @@ def test_terms_that_tell_an_entity_are_spans_and_clean_texts_stay(spark):
     text = rows[0][1]
     terms = {text[s["start"] : s["end"]] for s in got[0] if s["kind"] == "term"}
     assert "zoeprivate" in terms and not terms & {"common", "always", "reachable"}
-    assert [s["kind"] for s in got[5]] == ["email"]
+    assert [(s["kind"], s["value"]) for s in got[5]] == [("email", "other@mail.example"), ("term", "other")]
 
 
 def test_a_name_beside_one_address_in_one_document_is_a_term(spark):
@@ -78,10 +82,71 @@ def test_terms_count_by_document_and_every_mention_is_a_span(spark):
 
 def test_places_of_many_words(spark):
     text = " ".join(f"w{'x' * (k % 7)} é" for k in range(300))
-    got = spark.createDataFrame([(text,), ("",), ("a",)], "t string").select(pii._words(F.col("t"), F.array().cast(pii.SPAN)).alias("w"))
+    got = spark.createDataFrame([(text,), ("",), ("a",)], "t string").select(pii._words(F.col("t")).alias("w"))
     assert [[tuple(w) for w in r["w"]] for r in got.collect()] == [[(m.group(), m.start(), m.end()) for m in re.finditer(r"[^\W\d_]+", t)] for t in (text, "", "a")]
 
 
+def brute(rows, threshold):
+    """Term spans and sanitised texts of all rows, by plain loops over every entity and term."""
+    docs = sorted({(str(i), i, t or "") for i, t in rows})
+    words = lambda t: [(m.group().lower(), m.start(), m.end()) for m in re.finditer(r"[^\W\d_]+", t)]
+    base = {t: plain(t) for _, _, t in docs}
+    ent = {t: {f"{k}:{t[a:b].lower()}" for k, a, b in base[t]} for _, _, t in docs}
+    n_ent, n_term, both = Counter(), Counter(), Counter()
+    for _, _, t in docs:
+        terms = {w for w, _, _ in words(t)}
+        n_ent.update(ent[t])
+        n_term.update(terms)
+        own = {w for w, a, b in words(t) if not any(x < b and y > a for _, x, y in base[t])}
+        both.update((e, w) for e in ent[t] for w in own)
+    out = {}
+    for _, _, t in docs:
+        found = [(k, a, b, None) for k, a, b in base[t]]
+        for w, a, b in words(t):
+            if any(x < b and y > a for _, x, y in base[t]):
+                continue
+            ratio = max((math.log(len(docs) * both[e, w] / (n_ent[e] * n_term[w])) / math.log(len(docs) / n_ent[e]) for e in ent[t] if n_ent[e] < len(docs)), default=0)
+            if ratio >= threshold - 1e-9:
+                found.append(("term", a, b, ratio))
+        text, at = "", 0
+        for k, a, b, r in sorted(found, key=lambda s: (s[1], s[2])):
+            if a >= at:
+                text += t[at:a] + (f"[{k.upper()}]" if k != "term" else "" if r >= pii.REMOVE else "[TERM]")
+            at = max(at, b)
+        out[t] = found, text + t[at:] if found else None
+    return out
+
+
+def test_spans_and_sanitised_texts_equal_brute_force(spark):
+    rng = random.Random(5)
+    vocab = [f"{a}{b}" for a in ("mar", "lo", "tü", "quin", "ze") for b in ("ta", "ben", "x", "rö", "dd", "li")]
+    people = [f"p{k}.{rng.choice(vocab)}@m{k % 3}.example" for k in range(12)] + ["10.1.2.3", "+1 (415) 555-2671", "4111 1111 1111 1111", "zoë.x@ex.am.pleé"]
+    rows, rare = [], [f"{v}{w}" for v in vocab for w in ("ska", "Nor")]
+    for k in range(60):
+        parts = rng.sample(rare, 2) + [rng.choice(vocab) for _ in range(rng.randrange(1, 30))] + rng.sample(people, rng.choice([0, 0, 1, 1, 2, 4]))
+        rng.shuffle(parts)
+        rows.append((rng.choice([k, None, 7]), " ".join(parts)))
+    rows += rng.choices(rows, k=15) + [(1, None), (2, ""), (3, "+1.2.3.4.567 8901 and 4111-1111-1111-1111"), (4, "x" * 3000 + " a@b.cd " + "é" * 2500)]
+    want = brute(rows, pii.THRESHOLD)
+    got = pii.pii_spans(frame(spark, rows)).collect()
+    texts = sorted(((str(i), t or "") for i, t in rows))
+    assert len(got) == len(rows) and sum(s["kind"] == "term" for r in got for s in r["spans"]) > 20
+    seen = sorted((str(r["doc_id"]), [(s["kind"], s["start"], s["end"], s["ratio"] and round(s["ratio"], 9)) for s in r["spans"]], r["sanitised"]) for r in got)
+    assert seen == sorted((i, [(k, a, b, r and round(r, 9)) for k, a, b, r in want[t][0]], want[t][1]) for i, t in texts)
+
+
+def test_time_grows_with_the_number_of_matches(spark):
+    took = []
+    for n in (5_000, 20_000, 100_000):
+        text = "".join(f"u{k}@m.example, tel +1 415 555 {k % 9000 + 1000}; " for k in range(n))
+        began = time.time()
+        df = spark.createDataFrame([(text,)], "t string").select(pii.base_spans(F.col("t")).alias("b"), pii._words(F.col("t")).alias("w"), F.col("t"))
+        df = df.select(F.size("b").alias("n"), F.size("w"), F.length(pii.sanitise(F.col("t"), F.transform("b", lambda s: F.struct(s["kind"], s["start"], s["end"], s["value"], F.lit(None).cast("double").alias("ratio"))))))
+        assert df.first()["n"] == 2 * n
+        took.append(time.time() - began)
+    assert took[2] < 20 * took[1] + 5, took
+
+
 def test_sanitise(spark):
     df = pii.pii_spans(frame(spark, [(k, "call zoeprivate now: zoeprivate@x.example, 1.2.3.4!") for k in range(4)] + [(9, "call now")] * 30))
     texts = frame(spark, [(k, "call zoeprivate now: zoeprivate@x.example, 1.2.3.4!") for k in range(4)])
