@@ -158,8 +158,8 @@ def _entities(base: Column) -> Column:
 
 def disclosing(held: DataFrame, words: DataFrame, docs: DataFrame, s: Scratch, threshold: float) -> DataFrame:
     """(class, term, ratio): terms whose PMI with the entities of a class reaches the threshold of their information
-    content. held(text, class, n_entity) and words(text, term, copies) of the texts with entities, each once, copies the
-    documents that have the text; docs(doc_id, _h, text) are all rows."""
+    content. held(key, class, n_entity, copies) of the texts with entities, each once, copies the documents that have the
+    text; words(key, term) of the same texts, repeated or not; docs(doc_id, _h, text) are all rows."""
     known = s.cut(words.select("term").distinct(), "terms", True)
     n = max(docs.select("doc_id", "_h").distinct().count(), 1)
     once = docs.dropDuplicates(["doc_id", "_h"]) if docs.count() > n else docs  # texts are shuffled only where rows repeat
@@ -169,7 +169,7 @@ def disclosing(held: DataFrame, words: DataFrame, docs: DataFrame, s: Scratch, t
     most = lambda e: F.pow(F.lit(float(n)), F.lit(1 - threshold)) * F.pow(e, F.lit(threshold)) * (1 + 1e-6)
     top = held.agg(F.max("n_entity")).first()[0] or 0
     rare = s.cut(n_term.where(F.col("n_term") <= most(F.lit(float(top)))), "rare", True)
-    pairs = words.join(bounded(rare), "term").join(held, "text").where(F.col("n_term") <= most(F.col("n_entity")))
+    pairs = words.join(bounded(rare), "term").distinct().join(held, "key").where(F.col("n_term") <= most(F.col("n_entity")))
     pairs = pairs.groupBy("class", "term").agg(F.sum("copies").alias("n_both"), F.max("n_entity").alias("n_entity"), F.max("n_term").alias("n_term"))
     pmi = F.log(F.lit(float(n)) * F.col("n_both") / (F.col("n_entity") * F.greatest("n_term", "n_both")))
     ic = F.log(F.lit(float(n)) / F.col("n_entity"))
@@ -188,28 +188,27 @@ def pii_spans(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = texts.withColumn("base", base_spans(F.col("text")))
     some = F.size("base") > 0
     rows = rows.withColumn("words", F.when(some, _words(F.col("text"))).otherwise(F.array().cast(WORDS)))
-    rows = s.cut(rows.select("doc_id", F.when(some, F.md5("text")).alias("key"), "base", "words", F.when(some, F.col("text")).alias("text")), "rows")
+    rows = s.cut(rows.select("doc_id", F.when(some, F.col("_h")).alias("key"), "base", "words", F.when(some, F.col("text")).alias("text")), "rows")
     hits = rows.where("key is not null")
     copies = hits.select("key", "doc_id").distinct().groupBy("key").agg(F.count("*").alias("copies"))
     entity = hits.select("key", F.explode(_entities(F.col("base"))).alias("entity")).distinct().join(copies, "key")
     entity = s.cut(entity, "entity", True)
     # Entities of the same documents, by their number and two sums of hashes, are one class.
     by = entity.groupBy("entity").agg(F.sum("copies").alias("n_entity"), F.bit_xor(F.xxhash64("key")).alias("x"), F.sum(F.xxhash64("key", F.lit(1)).bitwiseAND(F.lit((1 << 31) - 1))).alias("y"))
-    by = s.cut(by.select("entity", F.xxhash64("n_entity", "x", "y").alias("class"), "n_entity"), "classes", True)
-    held = s.cut(entity.join(by, "entity").select(F.col("key").alias("text"), "class", "n_entity").distinct(), "held", True)
-    words = hits.select("key", F.explode(F.array_distinct(F.col("words.term"))).alias("term")).distinct().join(copies, "key")
-    words = s.cut(words.select(F.col("key").alias("text"), "term", "copies"), "words", True)
+    by = by.select("entity", F.xxhash64("n_entity", "x", "y").alias("class"), "n_entity")
+    held = s.cut(entity.join(by, "entity").select("key", "class", "n_entity", "copies").distinct(), "held", True)
+    words = hits.select("key", F.explode(F.array_distinct(F.col("words.term"))).alias("term"))
     told = s.cut(disclosing(held, words, texts, s, threshold), "told", True)
-    telling = held.join(told, "class").groupBy(F.col("text").alias("key"), "term").agg(F.max("ratio").alias("ratio"))
-    at = hits.select("key", F.explode("words").alias("w")).select("key", "w.*").distinct().join(telling, ["key", "term"])
-    at = at.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end", F.lit("term").alias("kind"), F.col("term").alias("value"), "ratio"))).alias("more"))
+    telling = s.cut(held.join(told, "class").groupBy("key", "term").agg(F.max("ratio").alias("ratio")), "telling", True)
+    at = hits.select("key", F.explode("words").alias("w")).select("key", "w.*").join(bounded(telling), ["key", "term"])
+    at = at.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end", F.lit("term").alias("kind"), F.col("term").alias("value"), "ratio"))).alias("more"))
     got = hits.join(bounded(s.cut(at, "at", True)), "key", "left")
     full = lambda b: F.struct(b["kind"], b["start"], b["end"], b["value"], F.lit(None).cast("double").alias("ratio"))
     extra = lambda m: F.struct(m["kind"], m["start"], m["end"], m["value"], m["ratio"])
     spans = F.concat(F.transform("base", full).cast(KINDS_OF_SPANS), F.coalesce(F.transform("more", extra).cast(KINDS_OF_SPANS), F.array().cast(KINDS_OF_SPANS)))
     out = got.select("doc_id", "base", spans.alias("spans"), "text").select("doc_id", "base", "spans", sanitise(F.col("text"), F.col("spans")).alias("sanitised"))
     none = rows.where("key is null").select("doc_id", "base", F.array().cast(KINDS_OF_SPANS).alias("spans"), F.lit(None).cast("string").alias("sanitised"))
-    return s.finish(out.unionByName(none), "pii")
+    return s.finish(out.unionByName(none))
 
 
 def sanitise(text: Column, spans: Column, remove: float = REMOVE) -> Column:
