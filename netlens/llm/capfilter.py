@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netlens.llm.common import Scratch, connected_components, bounded, small_batches
+from netlens.llm.common import Scratch, bounded, connected_components, small_batches
 from netlens.llm.ngram_join import forest
 
 BLOCKS, SHARE, EXPECT, LEAST, SEED, MOST = 2, 4, 24, 12, 7, 2048
@@ -202,4 +202,4 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.9) -> DataFrame:
     facts = s.cut(facts.select("node", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component_id", "low").alias("component_id")), "facts", True)
     out = good.select("vec_id", "node").join(facts, "node").select("vec_id", "n_links", "component_id")
     out = out.unionByName(rows.where("vec is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
-    return s.finish(out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))), "capfilter")
+    return s.finish(out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))))

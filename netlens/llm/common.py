@@ -49,16 +49,25 @@ class Scratch:
         df.write.parquet(out)
         return self.spark.read.schema(schema).parquet(out)
 
-    def clear(self, keep: DataFrame | None = None) -> DataFrame | None:
-        """Delete all tables but the last one cut, if a result that reads it is given."""
-        for out in self.paths[: -1 if keep is not None else None]:
+    def clear(self) -> None:
+        """Delete all tables."""
+        for out in self.paths:
             remove(self.spark, out)
-        self.paths = self.paths[-1:] if keep is not None else []
-        return keep
-
-    def finish(self, df: DataFrame, name: str) -> DataFrame:
-        """The result as a table of its own, with all intermediate tables deleted."""
-        return self.clear(self.cut(df, name))
+        self.paths = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """The table as a checkpoint in the shared folder. It needs no other table any more, and Spark's cleaner deletes
+        it when nothing refers to it (spark.cleaner.referenceTracking.cleanCheckpoints)."""
+        sc = self.spark.sparkContext
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(shared_dir(self.spark))
+        return df.checkpoint()
+
+    def finish(self, df: DataFrame) -> DataFrame:
+        """The result as a checkpoint, with all intermediate tables deleted."""
+        out = self.keep(df)
+        self.clear()
+        return out
 
 
 def remove(spark: SparkSession, path: str) -> None:

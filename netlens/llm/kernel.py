@@ -6,7 +6,7 @@ random-table polynomial, so a chunk costs a few numpy passes and no Python objec
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -109,3 +109,42 @@ def shingle_sets(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
                 yield lo + r, mix(np.array([(h[a:b] * _MULT[: b - a]).sum() + np.uint64(b - a)], np.uint64))
             else:
                 yield lo + r, np.zeros(0, np.uint64)
+
+
+def spanning(count: int, near: Callable[[int, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of rows 0..count-1 as edges: near(i, rows) tells which of the rows are neighbours of i. Rows that
+    were reached are not looked at again, so no pairs within a group are listed."""
+    left, a, b = np.arange(count), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while len(left) > 1:
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            i = queue.pop()
+            hit = near(i, left)
+            got = left[hit]
+            a.append(np.full(len(got), i))
+            b.append(got)
+            queue += got.tolist()
+            left = left[~hit]
+    return np.concatenate(a), np.concatenate(b)
+
+
+def grouped(batches: Iterator[pa.RecordBatch], by: tuple[str, ...], cols: tuple[str, ...]) -> Iterator[tuple[tuple, list[pa.Array]]]:
+    """(values of by, columns) of each run of rows that agree on `by`, over the bounds of batches; by holds integers."""
+    at, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in by]
+        change = np.zeros(batch.num_rows, bool)
+        for k in keys:
+            change[1:] |= k[1:] != k[:-1]
+        starts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+            name = tuple(int(k[lo]) for k in keys)
+            if name != at and held:
+                yield at, [pa.concat_arrays([h[c] for h in held]) for c in range(len(cols))]
+                held = []
+            at = name
+            held.append([batch.column(c).slice(lo, hi - lo) for c in cols])
+    if held:
+        yield at, [pa.concat_arrays([h[c] for h in held]) for c in range(len(cols))]

@@ -1,30 +1,39 @@
 """Line dedup by a segment-partition edit join.
 
-Lines of at least SHORTEST code points, trimmed, that are equal or within EDITS edits belong to one class; its first
+Lines of at least `shortest` code points, trimmed, that are equal or within EDITS edits belong to one class; its first
 occurrence by (doc_id, line number) stays, all others go. A line is cut into EDITS + 1 segments, of which a line within
 EDITS edits holds one unchanged; the index has a key for each segment and the line's length, and lines probe, for every
-length they can match, the substrings that the length difference and the edits before and after allow. Pairs that meet
-are dropped if the parities of their bigram counts differ in more places than EDITS edits can flip; the rest are
-verified by a banded bit-parallel automaton. Exact copies are one line throughout.
-
-Defined cases: null text stays null, with 0 lines; blank and short lines stay; rows that repeat doc_id and text are one
-document and lose the same lines; a null doc_id is larger than all others; other columns pass through; a text whose
-lines all go is empty.
+length they can match, the substrings that the length difference and the edits before and after allow. Keys that one
+line only has are dropped by partial aggregates before any list is made. The lines of a list are joined by a spanning
+forest over those that the parities of their bigram counts leave (EDITS edits flip a bounded number); the components are
+candidate groups, whose lines are verified by a banded bit-parallel automaton, again along a spanning forest. Lists and
+groups beyond ROWS lines are dealt out as pairs of blocks, so a segment that very many lines share is no single task's,
+and no step emits pairs. Exact copies are one line throughout.
+
+Defined cases: null text stays null, with 0 lines; an empty table gives an empty table; blank lines and those shorter
+than `shortest` (a parameter; EDITS + 1 at least) stay; rows that repeat doc_id and text are one document and lose the
+same lines; a null doc_id is larger than all others; ties between places are broken by a hash of the text; other columns
+pass through; a text whose lines all go is empty. A very long text is read in pieces of whole lines; one line takes about
+eighty times its own size while it is hashed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netlens.llm.common import Scratch, aside, connected_components, bounded, small_batches
-from netlens.llm.kernel import _powers, chunks, mix
+from netlens.llm.common import Scratch, aside, bounded, connected_components, small_batches
+from netlens.llm.kernel import _powers, chunks, grouped, mix, spanning
+from netlens.llm.ngram_join import dealt
+from netlens.llm.pii import let
 
 EDITS, SHORTEST, PART, SEEN = 2, 20, 1 << 18, 1 << 19
+#: Lines, and code points, of a list or group that are compared with each other at once.
+ROWS, POINTS = 2048, 1 << 22
 _TRIM = np.zeros(256, bool)
 _TRIM[[9, 10, 11, 12, 13, 32]] = True
 LAST = 2**63 - 1
@@ -35,17 +44,23 @@ _CODE = np.random.Generator(np.random.PCG64(11)).integers(1, 2**64, (4, 256), dt
 FLIPS = 4 * EDITS
 
 
+def _agree(most: int, same: Callable[[int], bool]) -> int:
+    """The largest n up to `most` for which same(n), by bisection."""
+    lo = 0
+    while lo < most:
+        mid = (lo + most + 1) // 2
+        lo, most = (mid, most) if same(mid) else (lo, mid - 1)
+    return lo
+
+
 def within(a: str, b: str, k: int) -> bool:
     """Whether the edit distance is at most k: an automaton whose states for each number of errors are the bits of one
     integer, kept to the band of 2k + 1 diagonals."""
     if abs(len(a) - len(b)) > k:
         return False
-    lo, most = 0, min(len(a), len(b))
-    while lo < most and a[lo] == b[lo]:
-        lo += 1
-    hi = 0
-    while hi < most - lo and a[len(a) - 1 - hi] == b[len(b) - 1 - hi]:
-        hi += 1
+    most = min(len(a), len(b))
+    lo = _agree(most, lambda n: a[:n] == b[:n])
+    hi = _agree(most - lo, lambda n: not n or a[-n:] == b[-n:])
     a, b = a[lo : len(a) - hi], b[lo : len(b) - hi]
     if not a or not b:
         return max(len(a), len(b)) <= k
@@ -92,11 +107,11 @@ def _trim(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
 
 
 class Lines:
-    """The lines of a chunk of texts that count: trimmed, at least SHORTEST code points. A code point is a lead byte
+    """The lines of a chunk of texts that count: trimmed, at least `shortest` code points. A code point is a lead byte
     with the bytes that follow it, and all lengths and positions count those."""
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray):
-        n = len(data)
+    def __init__(self, data: np.ndarray, offs: np.ndarray, shortest: int = SHORTEST):
+        n, self.shortest = len(data), shortest
         brk = np.flatnonzero(data == 10)
         start = np.sort(np.concatenate((offs[:-1][offs[1:] > offs[:-1]], brk[~np.isin(brk + 1, offs)] + 1)))
         row = np.searchsorted(offs, start, "right") - 1
@@ -110,7 +125,7 @@ class Lines:
         unit = (lambda x: x - np.searchsorted(tail, x)) if len(tail) else (lambda x: x)
         first = unit(start)
         size = unit(end) - first
-        keep = np.flatnonzero(size >= SHORTEST)
+        keep = np.flatnonzero(size >= shortest)
         self.row, self.at, self.size, self.s = row[keep], self.at[keep], size[keep], first[keep]
         self.v = _CODE[0][data[place]]
         own = unit(tail) - 1 if len(tail) else tail  # the code point that each following byte belongs to
@@ -140,32 +155,42 @@ class Lines:
         ends = self.s + self.size - 2
         return run[ends] ^ np.where(self.s > 0, run[np.maximum(self.s - 1, 0)], np.uint64(0))
 
-    def keys(self, probe: bool) -> tuple[np.ndarray, np.ndarray]:
-        """(line, key) of the index or the probe keys of all lines."""
-        rows, keys = [], []
-        for gap in range(EDITS + 1 if probe else 1):
+    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(line, key, whether it is an index key) of all lines; an index key is the probe for the own length in place."""
+        rows, keys, index = [], [], []
+        for gap in range(EDITS + 1):
             length = self.size - gap
             for i, (at, own) in enumerate(_cut(length), 1):
-                left, right = (i - 1, EDITS + 1 - i) if probe else (0, 0)
+                left, right = i - 1, EDITS + 1 - i
                 for move in range(max(-left, gap - right), min(left, gap + right) + 1):
                     start = at + move
-                    r = np.flatnonzero((length >= SHORTEST) & (start >= 0) & (start + own <= self.size))
+                    r = np.flatnonzero((length >= self.shortest) & (start >= 0) & (start + own <= self.size))
                     rows.append(r)
                     keys.append(mix(self.hash(self.s[r] + start[r], own[r]) + mix(length[r].astype(np.uint64) * np.uint64(8) + np.uint64(i))))
-        return np.concatenate(rows), np.concatenate(keys)
+                    index.append(np.full(len(r), gap == 0 and move == 0))
+        return np.concatenate(rows), np.concatenate(keys), np.concatenate(index)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, Lines]]:
+def _chunks(batches: Iterator[pa.RecordBatch], shortest: int) -> Iterator[tuple[pa.RecordBatch, int, int, Lines]]:
+    """(batch, first row, number of its first line, lines). A text beyond PART is cut after line breaks."""
     for b in batches:
         for lo, data, offs in chunks(b.column(b.num_columns - 1), PART):
-            if len(data):
-                yield b, lo, Lines(data, offs)
+            if len(data) <= PART:
+                if len(data):
+                    yield b, lo, 0, Lines(data, offs, shortest)
+                continue
+            after, at = np.flatnonzero(data == 10) + 1, 0
+            while at < len(data):
+                k = np.searchsorted(after, at + PART)
+                end = int(after[k]) if k < len(after) else len(data)
+                yield b, lo, int(np.searchsorted(after, at, "right")), Lines(data[at:end], np.array([0, end - at]), shortest)
+                at = end
 
 
-def _postings(probe: bool):
+def _postings(shortest: int, full: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, np.uint64)  # sorted; lines met before in this task, to save rows; forgotten when they grow many
-        for _, _, lines in _chunks(batches):
+        for _, _, _, lines in _chunks(batches, shortest):
             own, first = np.unique(lines.h, return_index=True)
             at = np.searchsorted(seen, own)
             new = seen[np.minimum(at, len(seen) - 1)] != own if len(seen) else np.ones(len(own), bool)
@@ -173,22 +198,46 @@ def _postings(probe: bool):
                 continue
             lines.take(first[new])
             seen = np.insert(seen, at[new], own[new]) if len(seen) < SEEN else own
-            r, key = lines.keys(probe)
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (key, lines.h[r], lines.parity()[r])], ["key", "h", "sig"])
+            r, key, index = lines.keys()
+            more = [pa.array(lines.parity().view(np.int64)[r]), pa.array(lines.size[r].astype(np.int32))] if full else [pa.array(index)]
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(lines.h.view(np.int64)[r]), *more], ["key", "h", *(("sig", "size") if full else ("own",))])
 
     return run
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b, lo, lines in _chunks(batches):
-        doc = b.select(["_d", "_t"]).take(pa.array(lines.row + lo))
-        yield pa.RecordBatch.from_arrays([*doc.columns, pa.array(lines.at.astype(np.int32)), pa.array(lines.h.view(np.int64))], ["_d", "_t", "at", "h"])
+def _places(shortest: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, lo, before, lines in _chunks(batches, shortest):
+            doc = b.select(["_d", "_t"]).take(pa.array(lines.row + lo))
+            yield pa.RecordBatch.from_arrays([*doc.columns, pa.array((lines.at + before).astype(np.int32)), pa.array(lines.h.view(np.int64))], ["_d", "_t", "at", "h"])
+
+    return run
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ok = [within(x, y, EDITS) for x, y in zip(b.column("ta").to_pylist(), b.column("tb").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+def _compare(by: str, verify: bool):
+    """Rows sorted by (by, i, j) to a spanning forest (a, b) of the lines that can be, or are, within EDITS edits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, i, j), cols in grouped(batches, (by, "i", "j"), ("h", "sig", "size", "b", *(("line",) if verify else ()))):
+            h, first = np.unique(cols[0].to_numpy(), return_index=True)
+            if len(h) < 2:
+                continue
+            sig, size, side = cols[1].to_numpy().view(np.uint64)[first], cols[2].to_numpy()[first], cols[3].to_numpy()[first]
+            text = cols[4].take(pa.array(first)).to_pylist() if verify else []
+
+            def near(k: int, left: np.ndarray) -> np.ndarray:
+                ok = (np.bitwise_count(sig[left] ^ sig[k]) <= FLIPS) & (np.abs(size[left] - size[k]) <= EDITS)
+                if i != j:
+                    ok &= side[left] != side[k]
+                if verify:
+                    for p in np.flatnonzero(ok).tolist():
+                        ok[p] = within(text[k], text[left[p]], EDITS)
+                return ok
+
+            a, b = spanning(len(h), near)
+            yield pa.RecordBatch.from_arrays([pa.array(h[a]), pa.array(h[b])], ["a", "b"])
+
+    return run
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -196,26 +245,34 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_d"), F.xxhash64(text).alias("_t"), text.alias("text"))
 
 
-def line_links(keyed: DataFrame, firsts: DataFrame, s: Scratch) -> DataFrame:
-    """(a, b): hashes of different lines within EDITS edits."""
+def line_links(keyed: DataFrame, firsts: DataFrame, s: Scratch, shortest: int) -> DataFrame:
+    """(a, b): hashes of different lines within EDITS edits, a spanning forest of all such pairs."""
     texts = keyed.select("text")
-    index = texts.mapInArrow(_postings(False), "key long, h long, sig long").toDF("key", "ha", "sa")
-    probe = texts.mapInArrow(_postings(True), "key long, h long, sig long").toDF("key", "hb", "sb")
-    near = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= FLIPS
-    met = index.join(probe, "key").where((F.col("ha") != F.col("hb")) & near)
-    pairs = s.cut(met.select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b")).distinct(), "pairs", True)
-    wanted = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
-    wanted = s.cut(wanted.join(firsts, "h").select("h", "first.*"), "wanted", True)
-    from_docs = keyed.join(bounded(wanted), ["_d", "_t"]).select("h", F.btrim(F.get(F.split("text", "\n", -1), "at"), F.lit(" \t\r\x0b\x0c")).alias("line"))
-    lines = s.cut(from_docs.dropDuplicates(["h"]), "texts")
-    ta, tb = lines.toDF("a", "ta"), lines.toDF("b", "tb")
-    return s.cut(pairs.join(ta, "a").join(tb, "b").mapInArrow(_verify, "a long, b long"), "links", True)
+    posts = texts.mapInArrow(_postings(shortest, False), "key long, h long, own boolean")
+    keys = posts.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.max("own").alias("own")).where("low < high and own")
+    keys = s.cut(keys.select("key"), "keys", True)
+    posts = texts.mapInArrow(_postings(shortest, True), "key long, h long, sig long, size int")
+    lists = s.cut(posts.join(bounded(keys), "key").distinct(), "lists", True)
+    # Lists of the same lines, by their number and a sum of hashes, are compared once.
+    looks = lists.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("h")).alias("x"), F.min("h").alias("low"))
+    looks = looks.groupBy("m", "x", "low").agg(F.min("key").alias("key"))
+    looks = s.cut(looks.select("key", F.ceil(F.col("m") / ROWS).cast("int").alias("blocks")), "looks", True)
+    met = dealt(lists.join(bounded(looks), "key"), "key", "h").mapInArrow(_compare("key", False), "a long, b long")
+    groups = connected_components(met, s)
+    facts = lists.select("h", "sig", "size").distinct()
+    members = groups.toDF("h", "grp").join(facts, "h").join(firsts.select("h", "first"), "h")
+    load = members.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / ROWS), F.ceil(F.sum("size") / POINTS)).cast("int").alias("blocks"))
+    members = members.join(load, "grp").select("h", "grp", "sig", "size", "blocks", "first")
+    wanted = members.groupBy("first._d", "first._t").agg(F.collect_list(F.struct("h", "grp", "sig", "size", "blocks", "first.at")).alias("w"))
+    wanted = s.cut(wanted, "wanted", True)
+    line = lambda all_: F.transform("w", lambda x: F.struct(x, F.btrim(F.get(all_, x["at"]), F.lit(" \t\r\x0b\x0c")).alias("line")))
+    found = keyed.join(bounded(wanted), ["_d", "_t"]).select(F.inline(let(F.split("text", "\n", -1), line)).alias("w", "line"))
+    found = dealt(found.select("w.*", "line").drop("at"), "grp", "h")
+    return s.cut(found.mapInArrow(_compare("grp", True), "a long, b long"), "links", True)
 
 
 def _without(text: Column, gone: Column) -> Column:
     """The text without the lines at the sorted positions gone; a byte mask tells each line's fate in one look."""
-    from netlens.llm.pii import let
-
     def mask(g: Column) -> Column:
         one = lambda d, i: F.concat(F.repeat(F.lit("0"), (d - F.when(i > 0, F.get(g, i - 1)).otherwise(F.lit(-1)) - 1).cast("int")), F.lit("1"))
         return F.array_join(F.transform(g, one), "").cast("binary")
@@ -224,24 +281,24 @@ def _without(text: Column, gone: Column) -> Column:
     return let(let(gone, mask), lambda m: F.array_join(keep(m), "\n"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     """docs with text without repeated lines, _lines and _gone, the numbers of lines before and of those dropped, and
     _dropped: each dropped line with its class, named by the place of the class's first line."""
     s = Scratch(docs.sparkSession)
+    shortest = max(shortest, EDITS + 1)
     small_batches(docs.sparkSession)
     keyed = _keyed(docs)
-    places = s.cut(keyed.mapInArrow(_places, "_d long, _t long, at int, h long"), "places")
+    places = s.cut(keyed.mapInArrow(_places(shortest), "_d long, _t long, at int, h long"), "places")
     firsts = places.groupBy("h").agg(F.min(F.struct("_d", "at", "_t")).alias("first"), F.count("*").alias("n"))
     firsts = s.cut(firsts, "firsts", True)
-    links = line_links(keyed, firsts, s)
-    classes = connected_components(links, s)
+    classes = connected_components(line_links(keyed, firsts, s, shortest), s)
     named = s.cut(firsts.join(classes.toDF("h", "root"), "h"), "named", True)
     head = named.groupBy("root").agg(F.min("first").alias("head"))
     linked = named.join(head, "root").select("h", F.col("head").alias("first"))
     again = firsts.where("n > 1").join(linked.select("h"), "h", "left_anti").select("h", "first").unionByName(linked)
-    again = s.cut(again, "again", True)
-    hit = places.join(bounded(again), "h").where("struct(_d, at, _t) <> first")
-    gone = s.cut(hit.groupBy("_d", "_t").agg(F.array_sort(F.collect_set(F.struct(F.col("at").alias("line"), F.col("first._d").alias("doc_id"), F.col("first.at").alias("first_line")))).alias("gone")), "gone", True)
+    hit = places.join(bounded(s.cut(again, "again", True)), "h").where("struct(_d, at, _t) <> first")
+    gone = hit.groupBy("_d", "_t").agg(F.array_sort(F.collect_set(F.struct(F.col("at").alias("line"), F.col("first._d").alias("doc_id"), F.col("first.at").alias("first_line")))).alias("gone"))
+    gone = s.finish(gone)
     rows, names = aside(docs)
     text = F.col(names["text"]).cast("string")
     keyed = rows.withColumn("_d", F.coalesce(F.col(names["doc_id"]).cast("long"), F.lit(LAST))).withColumn("_t", F.xxhash64(text))

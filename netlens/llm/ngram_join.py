@@ -6,12 +6,15 @@ rows into bands by set size. A pair whose overlap meets the bound that its sizes
 rows that agree on no block are discarded without being multiplied. Of rows that agree on one, those whose column
 parities differ in more places than the bound allows are told apart too. Rows that still hang together form candidate
 groups; each group's rows are multiplied block by block of columns, overlap counts add up, and pairs below the bound
-are discarded. Large groups are dealt out as pairs of row blocks of bounded size.
+are discarded. Blocks that one row only has are dropped by partial aggregates before any list is made; lists and groups
+of many rows are dealt out as pairs of row blocks of bounded size, and neither step emits pairs.
 The result is exact up to collisions of 64-bit hashes; a linked pair is never missed.
 
 Defined cases: a null or empty text has the empty set and links with nothing; a text of fewer words than a
-shingle is one shingle; equal sets are one row of the matrix, so copies and repeated rows cost nothing; a null
-doc_id takes part and is larger than all others; other columns of the input are ignored.
+shingle is one shingle; equal sets are one row of the matrix, so copies and repeated rows cost nothing; rows are known by
+doc_id and text, so a doc_id may repeat with other texts or be null, and a null one is larger than all others; other
+columns of the input are ignored; an empty table gives an empty table. A very long text is hashed in one piece and takes
+about forty times its size in the task that does it.
 """
 
 from __future__ import annotations
@@ -21,18 +24,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netlens.llm.common import Scratch, aside, connected_components, bounded, small_batches
-from netlens.llm.kernel import mix, shingle_sets
+from netlens.llm.common import Scratch, aside, bounded, connected_components, small_batches
+from netlens.llm.kernel import grouped, mix, shingle_sets, spanning
 
 #: Shingle hashes that one block of rows of a large group holds.
 BLOCK = 1_000_000
 #: Columns that are multiplied at once.
 COLUMNS = 4096
-#: Rows that agree on a block beyond this number are grouped without a look at their parities.
-MEET = 20_000
+#: Rows, and their columns, that one block of rows of a long list holds.
+ROWS, LOAD = 2048, 1 << 25
 #: Sets that a task remembers.
 SEEN = 1 << 20
 
@@ -110,69 +113,57 @@ def parity(x: np.ndarray) -> bytes:
 
 
 def _meet(num: int, den: int):
-    """Rows (list, node, n, marks) sorted by list to edges (a, b) that join the rows of a list which can be linked: a
-    pair's parities differ in no more places than its columns do."""
-
-    def solve(nodes: list[int], ns: list[int], marks: list[bytes]) -> tuple[list[int], list[int]]:
-        words = [np.frombuffer(m, np.uint64) for m in marks]
-        least = min(map(len, words))
-        table = np.stack([np.bitwise_xor.reduce(m.reshape(-1, least), axis=0) for m in words])
-        n, left, a, b = np.array(ns, np.int64), np.arange(len(nodes)), [], []
-        while len(left):
-            queue, left = [int(left[0])], left[1:]
-            while queue and len(left):
-                i = queue.pop()
-                apart = np.bitwise_count(table[left] ^ table[i]).sum(1)
-                near = apart <= (den - num) * (n[left] + n[i]) // (den + num)
-                got = left[near].tolist()
-                a += [nodes[i]] * len(got)
-                b += [nodes[j] for j in got]
-                queue += got
-                left = left[~near]
-        return a, b
+    """Rows (key, i, j, node, n, marks, b) sorted by (key, i, j) to edges (a, b), a spanning forest of the rows of a list
+    which can be linked: a pair's parities differ in no more places than its columns do. i and j other than each other:
+    only rows of different blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, a, b = None, ([], [], []), [], []
-        for batch in batches:
-            for name, *row in zip(*(batch.column(c).to_pylist() for c in ("list", "node", "n", "marks")), strict=True):
-                if name != at:
-                    if len(held[0]) > 1:
-                        for to, v in zip((a, b), solve(*held), strict=True):
-                            to += v
-                    at, held = name, ([], [], [])
-                for to, v in zip(held, row, strict=True):
-                    to.append(v)
-        if len(held[0]) > 1:
-            for to, v in zip((a, b), solve(*held), strict=True):
-                to += v
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        for (_, i, j), cols in grouped(batches, ("key", "i", "j"), ("node", "n", "b", "marks")):
+            nodes, n, side = (c.to_numpy() for c in cols[:3])
+            if len(nodes) < 2:
+                continue
+            words = [np.frombuffer(m, np.uint64) for m in cols[3].to_pylist()]
+            least = min(map(len, words))
+            table = np.stack([np.bitwise_xor.reduce(m.reshape(-1, least), axis=0) for m in words])
+
+            def near(k: int, left: np.ndarray) -> np.ndarray:
+                ok = np.bitwise_count(table[left] ^ table[k]).sum(1) <= (den - num) * (n[left] + n[k]) // (den + num)
+                return ok & (side[left] != side[k]) if i != j else ok
+
+            a, b = spanning(len(nodes), near)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b])], ["a", "b"])
 
     return run
 
 
-def candidate_edges(some: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+def dealt(rows: DataFrame, by: str, node: str = "node") -> DataFrame:
+    """Rows with the number of blocks of their list or group, once for each pair of blocks that theirs is in."""
+    rows = rows.withColumn("b", F.pmod(F.xxhash64(node), "blocks").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("i", F.least("b", "o")).withColumn("j", F.greatest("b", "o")).drop("o", "blocks")
+    return rows.repartition(by, "i", "j").sortWithinPartitions(by, "i", "j")
+
+
+def candidate_edges(some: DataFrame, reps: DataFrame, num: int, den: int, s: Scratch) -> DataFrame:
     """(a, b): edges whose components are the candidate groups."""
-    own, h = Window.partitionBy("key"), F.xxhash64("node")
-    posts = some.select("node", F.explode("keys").alias("key"))
-    # A list is known by the least and the largest hash and by all bits of its rows, whether a row is in it once or more
-    # often; two lists that look alike become one, which costs comparisons only.
-    looks = {"low": F.min(h), "high": F.max(h), "all": F.bit_and(h), "any": F.bit_or(h)}
-    posts = posts.select("node", F.count("*").over(own).alias("m"), F.min("node").over(own).alias("head"), *(f.over(own).alias(c) for c, f in looks.items()))
-    lists = posts.where("low < high").groupBy(*looks, "node").agg(F.max("m").alias("m"), F.min("head").alias("head"))  # equal lists once
-    large = lists.where(F.col("m") > MEET).where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
-    small = lists.where(F.col("m") <= MEET).select(F.xxhash64(*looks).alias("list"), "node").join(reps.select("node", "n", "marks"), "node")
-    small = small.select("list", "node", "n", "marks").repartition("list").sortWithinPartitions("list", "node")
-    return large.unionByName(small.mapInArrow(_meet(num, den), "a long, b long"))
+    posts = some.select("node", "n", F.explode("keys").alias("key"))
+    keys = posts.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    lists = s.cut(posts.join(bounded(s.cut(keys.select("key"), "keys", True)), "key").distinct(), "lists", True)
+    # Lists of the same rows, by their number and a sum of hashes, are compared once.
+    looks = lists.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("low"), F.sum("n").alias("load"))
+    looks = looks.groupBy("m", "x", "low", "load").agg(F.min("key").alias("key"))
+    looks = looks.select("key", F.greatest(F.ceil(F.col("m") / ROWS), F.ceil(F.col("load") / LOAD)).cast("int").alias("blocks"))
+    rows = lists.join(bounded(s.cut(looks, "looks", True)), "key").join(reps.select("node", "marks"), "node")
+    return dealt(rows, "key").mapInArrow(_meet(num, den), "a long, b long")
 
 
 def _sets(k: int):
-    """Rows (node, grp, i, j, text) to (node, grp, i, j, hashes)."""
+    """Rows (node, grp, blocks, text) to (node, grp, blocks, hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [x.tobytes() for _, x in shingle_sets(batch.column("text"), k)]
-            kept = [batch.column(c) for c in ("node", "grp", "blocks", "b")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(sets, pa.binary())], ["node", "grp", "blocks", "b", "hashes"])
+            kept = [batch.column(c) for c in ("node", "grp", "blocks")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(sets, pa.binary())], ["node", "grp", "blocks", "hashes"])
 
     return run
 
@@ -245,34 +236,15 @@ def forest(count: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def _multiply(num: int, den: int):
     """Rows sorted by (grp, i, j) to edges (a, b): each row of a group with the root of its links."""
 
-    def solve(nodes: list[int], blocks: list[int], sets: list[bytes], i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
-        ids, first = np.unique(np.array(nodes, np.int64), return_index=True)
-        rows = [np.frombuffer(sets[k], np.uint64) for k in first]
-        side = np.array(blocks)[first] if i != j else None
-        root = forest(len(ids), *overlap_links(rows, side, num, den))
-        moved = root != np.arange(len(ids))
-        return ids[moved], ids[root[moved]]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, ([], [], [])
-        a, b = [], []
-        for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("grp", "i", "j", "node", "b", "hashes")]
-            for grp, i, j, node, block, hashes in zip(*cols, strict=True):
-                if (grp, i, j) != at:
-                    if len(held[0]) > 1:
-                        x, y = solve(*held, at[1], at[2])
-                        a.append(x)
-                        b.append(y)
-                    at, held = (grp, i, j), ([], [], [])
-                for to, v in zip(held, (node, block, hashes), strict=True):
-                    to.append(v)
-        if len(held[0]) > 1:
-            x, y = solve(*held, at[1], at[2])
-            a.append(x)
-            b.append(y)
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+        for (_, i, j), cols in grouped(batches, ("grp", "i", "j"), ("node", "b", "hashes")):
+            ids, first = np.unique(cols[0].to_numpy(), return_index=True)
+            if len(ids) < 2:
+                continue
+            rows = [np.frombuffer(x, np.uint64) for x in cols[2].take(pa.array(first)).to_pylist()]
+            root = forest(len(ids), *overlap_links(rows, cols[1].to_numpy()[first] if i != j else None, num, den))
+            moved = root != np.arange(len(ids))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[root[moved]])], ["a", "b"])
 
     return run
 
@@ -292,28 +264,20 @@ def ngram_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (
     # The least row of a set by (doc_id, text_hash), null ids last.
     rep = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     reps = s.cut(some.groupBy("node").agg(F.min(rep).alias("rep"), F.max("n").alias("n"), F.first("marks").alias("marks")), "reps", True)
-    edges = candidate_edges(some, reps, num, den)
+    edges = candidate_edges(some, reps, num, den, s)
     groups = connected_components(edges, s)
     members = groups.select("node", F.col("root").alias("grp")).join(reps.select("node", "rep", "n"), "node")
     load = members.groupBy("grp").agg(F.sum("n").alias("load"))
     members = s.cut(
         members.join(load, "grp")
         .withColumn("blocks", F.ceil(F.col("load") / BLOCK).cast("int"))
-        .select("node", F.col("rep.doc_id").alias("rep"), F.col("rep.text_hash").alias("rep_hash"), "n", "grp", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("b")),
+        .select("node", F.col("rep.doc_id").alias("rep"), F.col("rep.text_hash").alias("rep_hash"), "grp", "blocks"),
         "members",
         True,
     )
     same = hashed["doc_id"].eqNullSafe(F.col("rep")) & (hashed["text_hash"] == F.col("rep_hash"))
-    got = hashed.join(bounded(members), same)
-    got = got.select("node", "grp", "blocks", "b", "text").mapInArrow(_sets(k), "node long, grp long, blocks int, b int, hashes binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
-    dealt = (
-        got.select("node", "grp", "b", "hashes", other)
-        .select("node", "grp", "b", "hashes", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
-        .repartition("grp", "i", "j")
-        .sortWithinPartitions("grp", "i", "j")
-    )
-    links = dealt.mapInArrow(_multiply(num, den), "a long, b long")
+    got = hashed.join(bounded(members), same).select("node", "grp", "blocks", "text").mapInArrow(_sets(k), "node long, grp long, blocks int, hashes binary")
+    links = dealt(got, "grp").mapInArrow(_multiply(num, den), "a long, b long")
     comp = connected_components(links, s).join(reps.select("node", "rep"), "node")
     least = comp.groupBy("root").agg(F.min("rep").alias("least"))
     linked = comp.join(least, "root").select("node", "least")
@@ -322,13 +286,13 @@ def ngram_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (
     ids = ("doc_id", "text_hash", F.col("n").alias("n_shingles"))
     out = some.select("doc_id", "text_hash", "n", "node").join(named, "node").select(*ids, "component_id", "component_hash")
     out = out.unionByName(rows.where("n = 0").select(*ids, F.col("doc_id").alias("component_id"), F.col("text_hash").alias("component_hash")))
-    return s.finish(out if with_hash else out.drop("component_hash"), "ngram")
+    return s.finish(out if with_hash else out.drop("component_hash"))
 
 
 def keep_first(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
     """The rows of docs, one of each component: that with the smallest (doc_id, text_hash). Of rows that repeat doc_id and text, one."""
     found = ngram_components(docs, k, threshold, with_hash=True).where("doc_id <=> component_id and text_hash <=> component_hash")
-    kept = found.groupBy("doc_id", "text_hash").count()
+    kept = Scratch(docs.sparkSession).keep(found.groupBy("doc_id", "text_hash").count())
     repeated = kept.where("count > 1").limit(1).count()
     kept = kept.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"))
     rows, names = aside(docs)

@@ -199,4 +199,4 @@ def round_trip(pages: DataFrame) -> DataFrame:
     s = Scratch(spark)
     folder, index = s.path("warc"), s.path("warc-index")
     write_archives(pages, folder, index)
-    return s.finish(read_archives(spark.read.parquet(index), folder), "warc-read")
+    return s.finish(read_archives(spark.read.parquet(index), folder))

@@ -65,6 +65,40 @@ def test_against_brute_force(spark):
     assert got[100]["_lines"] == got[101]["_lines"] == 0 and got[102]["_gone"] == 0 and got[103]["_gone"] == 1
 
 
+def test_lists_and_groups_in_blocks(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(k, f"2024-01-01 request {rng.randrange(1000):03d} was served by host {rng.randrange(100):02d} in time") for k in range(150)]
+    want = brute(rows)
+    for most in (ld.ROWS, 7):
+        monkeypatch.setattr(ld, "ROWS", most)
+        assert {r["doc_id"]: r["text"] for r in ld.dedup_lines(frame(spark, rows)).collect()} == want
+
+
+def test_a_segment_that_all_lines_share_makes_no_pairs(spark):
+    s, n = ld.Scratch(spark), 16_000
+    rng = random.Random(4)
+    lines = [f"request {rng.randrange(10**12):012d} served by the host in the usual time {k:05d}" for k in range(n)]
+    keyed = ld._keyed(frame(spark, [(k, "\n".join(lines[k :: 40])) for k in range(40)]))
+    places = s.cut(keyed.mapInArrow(ld._places(ld.SHORTEST), "_d long, _t long, at int, h long"), "places")
+    firsts = s.cut(places.groupBy("h").agg(ld.F.min(ld.F.struct("_d", "at", "_t")).alias("first"), ld.F.count("*").alias("n")), "firsts")
+    links = ld.line_links(keyed, firsts, s, ld.SHORTEST)
+    assert links.count() < 30
+    made = {p.rsplit("netlens-", 1)[1].split("-")[0]: spark.read.parquet(p).count() for p in s.paths}
+    assert max(made.values()) <= 20 * n, made
+    s.clear()
+
+
+def test_a_text_of_very_many_lines(spark):
+    text = "\n".join(f"{k * 7919 % 10**6:06d} {k * 104729 % 10**9:09d} {k * 7907 % 10**8:08d}" for k in range(200_000))
+    out = ld.dedup_lines(frame(spark, [(1, text + "\n" + text[: len(text) // 4]), (0, text[len(text) // 2 : len(text) // 2 + 24_000])])).orderBy("doc_id").collect()
+    assert out[1]["_lines"] == 250_000 and out[1]["_gone"] >= 50_000 + 900 and out[0]["_gone"] == 0
+
+
+def test_shorter_lines_by_parameter(spark):
+    out = ld.dedup_lines(frame(spark, [(1, "abcdefgh\nab\n"), (2, "abcdefgh\nabcdxfgh\nab\nother tx")]), shortest=4).orderBy("doc_id").collect()
+    assert [r["text"] for r in out] == ["abcdefgh\nab\n", "ab\nother tx"]
+
+
 def test_repeated_rows_are_one_document(spark):
     line = "a line that is long enough"
     out = ld.dedup_lines(frame(spark, [(1, line), (1, line), (2, line)])).collect()

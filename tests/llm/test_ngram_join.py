@@ -1,4 +1,5 @@
 import random
+from itertools import permutations
 
 import pytest
 from helpers import DOCS, components, frame
@@ -49,9 +50,9 @@ def test_large_groups_in_blocks(spark, monkeypatch):
     own = {i: sets(t, 5) for i, t in rows}
     want = components(sorted(own), lambda a, b: 100 * len(own[a] & own[b]) >= 80 * len(own[a] | own[b]))
     df = frame(spark, rows)
-    for block, meet in ((ng.BLOCK, ng.MEET), (2000, ng.MEET), (2000, 5)):
+    for block, most in ((ng.BLOCK, ng.ROWS), (2000, ng.ROWS), (2000, 5)):
         monkeypatch.setattr(ng, "BLOCK", block)
-        monkeypatch.setattr(ng, "MEET", meet)
+        monkeypatch.setattr(ng, "ROWS", most)
         assert {r["doc_id"]: r["component_id"] for r in ng.ngram_components(df, 5, (80, 100)).collect()} == want
 
 
@@ -81,3 +82,22 @@ def test_null_and_repeated_ids_hold_distinct_and_near_texts(spark):
     rows += [(1, "a0 " + near("a")), (9, " ".join(words("e"))), (None, near("e"))]
     got = {(r["doc_id"], r["text_hash"]): r["component_id"] for r in ng.ngram_components(frame(spark, rows)).collect()}
     assert len(got) == 11 and sorted(got.values()) == [1] * 3 + [7] * 6 + [9] * 2
+
+
+def test_links_do_not_depend_on_the_order_of_rows_that_share_an_id(spark):
+    a, b = (" ".join(f"{t}{k}" for k in range(100)) for t in "ab")
+    near = lambda t: t + " more"
+    for null in (True, False):  # each order has words and ids of its own; a null id is shared by all
+        rows, want = [], {}
+        for k, order in enumerate(permutations(range(4))):
+            own = lambda t, k=k: t.replace("a", f"a{k}x").replace("b", f"b{k}x")
+            same, five, six = (None if null else 10 * k + 1), 10 * k + 5, 10 * k + 6
+            four = [(same, own(a)), (same, own(b)), (five, own(near(a))), (six, own(near(b)))]
+            rows += [four[j] for j in order]
+            want |= {five: five if null else same, six: six if null else same}
+        df = frame(spark, rows).coalesce(1)
+        got = ng.ngram_components(df).select("doc_id", "component_id").collect()
+        assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] in want} == want
+        assert sorted(r["component_id"] for r in got) == sorted(2 * list(want.values()))
+        kept = [r["text"].split("x")[0] for r in ng.keep_first(df).collect()]
+        assert sorted(kept) == sorted(f"{t}{k}" for t in "ab" for k in range(24))
