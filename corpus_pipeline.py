@@ -1,7 +1,8 @@
 """A corpus from documents to packed sequences, in five stages over whole tables.
 
 Every stage takes (spark, docs, sf_dir) and gives a DataFrame that is written as Parquet and read again as the next
-one's docs. A doc_id stays a key throughout. ORACLE_SQL is None: classifier, edit join, shingle join and tokenizer are
+one's docs. A doc_id stays a key throughout where it is one. Each stage takes an empty table and gives an empty one, keeps
+null texts but for what is said below, and keeps rows that repeat a doc_id, or have none, apart by their text. ORACLE_SQL is None: classifier, edit join, shingle join and tokenizer are
 beyond SQL; tests hold each stage against a brute-force version.
 """
 
@@ -19,12 +20,14 @@ from netlens.llm.toxicity import keep_clean, train
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose predicted severity says toxic go; the model is fitted on a bounded sample of labels."""
+    """Documents whose predicted severity says toxic go; the model is fitted on a bounded sample of labels. Null texts are
+    clean and stay; repeated rows are judged each and alike; without labels nothing goes."""
     return keep_clean(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines seen before go; so do documents of which nothing is left."""
+    """Lines seen before go; so do documents of which nothing is left. Null texts and texts without such lines stay as they
+    are; rows that repeat doc_id and text lose the same lines; a null doc_id comes after all others."""
     rows = dedup_lines(docs).where("_gone = 0 or length(trim(text)) > 0")
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.col("_gone") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
@@ -32,17 +35,20 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near copies stays: five-word shingles, similarity 0.8 or more; the one of the smallest
+    (doc_id, hash of the text), null ids last. Null texts and texts without words are nobody's copies and stay, once for
+    each (doc_id, text)."""
     return keep_first(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights; repetitions stand in the text."""
+    """Sources at their target weights; repetitions stand in the text. A null source is one of its own; documents of which
+    the mix takes no word go, and with them null texts; repeated rows are documents each."""
     return mixed_texts(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token windows: one row per piece of a document."""
+    """Token windows: one row per piece of a document. Null texts are one end id; repeated rows are packed each."""
     return pack(docs)
 
 
@@ -60,6 +66,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = s.cut(stage(spark, docs, sf_dir), f"stage-{name}")
-    return s.clear(docs)
+    return s.finish(STAGES[-1][1](spark, docs, sf_dir))
