@@ -19,10 +19,14 @@ def decode_value(data: Column, offset: Column, ddl: str) -> Column:
         from netlens.codec import Values, compile_schema
         from netlens.sources.scan import arrow_type, as_dicts
 
-        out = []
+        held, out = Values(b""), []
+        step = compile_schema(kind, held)  # one decoder for all rows, which looks at one after the other
         for b, k in zip(raw.to_pylist(), at.to_pylist(), strict=True):
-            values = None if b is None or k is None else Values(b)
-            out.append(None if values is None else as_dicts(values.record(k, compile_schema(kind, values)), kind))
+            if b is None or k is None:
+                out.append(None)
+                continue
+            held.data, held.size = memoryview(b), len(b)
+            out.append(as_dicts(held.record(k, step), kind))
         return pa.array(out, arrow_type(kind))
 
     return run(data, offset.cast("long"))
@@ -40,3 +44,37 @@ def kind_at(data: Column, offset: Column) -> Column:
         return pa.array([None if b is None or k is None else kind_name(Values(b).resolve(k)[0]) for b, k in both], pa.string())
 
     return run(data, offset.cast("long"))
+
+
+def error_at(data: Column, offset: Column) -> Column:
+    """The text of the error that decoding the value at an offset gives, null where it decodes."""
+
+    @F.arrow_udf("string")
+    def run(raw: pa.Array, at: pa.Array) -> pa.Array:
+        from netlens.codec import Values
+        from netlens.kinds import NetDbError
+
+        def one(b: bytes | None, k: int | None) -> str | None:
+            try:
+                if b is not None and k is not None:
+                    Values(b).decode(k)
+            except NetDbError as e:
+                return str(e)
+            return None
+
+        return pa.array([one(b, k) for b, k in zip(raw.to_pylist(), at.to_pylist(), strict=True)], pa.string())
+
+    return run(data, offset.cast("long"))
+
+
+def is_container(kind: Column) -> Column:
+    """Whether a kind's name, as kind_at gives it, is one of those that hold other values."""
+    from netlens.kinds import CONTAINERS, kind_name
+
+    return kind.isin(*map(kind_name, sorted(CONTAINERS)))
+
+
+def is_scalar(kind: Column) -> Column:
+    from netlens.kinds import SCALARS, kind_name
+
+    return kind.isin(*map(kind_name, sorted(SCALARS)))

@@ -16,6 +16,8 @@ POINTER_BIAS = (0, 2048, 526336, 0)
 SIZE_BIAS = (29, 285, 65821)
 RECORD_SIZES = (24, 28, 32)
 MAX_DEPTH = 512
+#: Values of a container from which on its structure is checked as a whole before any of it is decoded.
+LARGE = 1024
 #: Most payload bytes of the integer kinds.
 WIDTH = {UINT16: 2, UINT32: 4, INT32: 4, UINT64: 8, UINT128: 16}
 
@@ -54,6 +56,7 @@ class UnmarshalTypeError(NetDbError):
 
 class UnexpectedKindError(NetDbError):
     def __init__(self, found: int, wanted: frozenset[int]):
+        self.found, self.wanted = found, wanted
         super().__init__(f"unexpected kind {kind_name(found)}, expected {kind_set_name(wanted)}")
 
 
@@ -65,5 +68,23 @@ class ContextualError(NetDbError):
         self.offset, self.path, self.cause = offset, path, cause
 
 
+def unmarshal_error(error: NetDbError, wanted: str) -> NetDbError:
+    """For custom decoders: a mismatch of kinds as the error that decoding into the type `wanted` gives, in its context.
+    Any other error, also one further inside, is what it was."""
+    if isinstance(error, UnexpectedKindError):
+        return UnmarshalTypeError(kind_name(error.found), "Kind", wanted)
+    if isinstance(error, ContextualError) and isinstance(error.cause, UnexpectedKindError):
+        return ContextualError(error.offset, error.path, unmarshal_error(error.cause, wanted))
+    return error
+
+
+def is_container(kind: int) -> bool:
+    return kind in CONTAINERS
+
+
+def is_scalar(kind: int) -> bool:
+    return kind in SCALARS
+
+
 def end_of_data() -> InvalidDatabaseError:
     return InvalidDatabaseError("unexpected end of database")

@@ -1,10 +1,11 @@
 """Longest-prefix lookup as joins.
 
 Leaves of a search tree never overlap, so at most one network holds an address. Four strategies give the same rows:
-  equi  explode the address over the prefix lengths that occur, mask, equi-join on (depth, words)     [default]
-  range join on net_start <= address <= net_end                                                        [tiny tables]
-  asof  union, last network at or before the address in its bucket of top bits                         [huge tables]
-  tree  Arrow batches walk the file itself                                                             [streams]
+  tree  Arrow batches walk the file itself: no shuffle, each address of a batch once     [lookup(), and streams]
+  equi  explode the address over the prefix lengths that occur, mask, equi-join on (depth, words); where the networks
+        are too many to broadcast, distinct addresses only are exploded and shuffled     [default of lookup_join]
+  range join on net_start <= address <= net_end                                          [few networks; beyond: equi]
+  asof  union, last network at or before the address in its bucket of top bits           [where no task can read the file]
 The networks side must be a scan with empty and aliased networks, as a miss still has a network.
 """
 
@@ -14,18 +15,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from netlens.functions.ipfns import parse, with_address, word_bytes
+from netlens.kinds import InvalidDatabaseError
 from netlens.sources.files import open_database
 from netlens.sources.netdb import read
 from netlens.sources.scan import Records, arrow_type, as_dicts
 from netlens.sources.scan import lookup as walk
 
 BUCKET = 16
-#: Networks up to which their side of the join is broadcast; beyond it both sides are shuffled.
-SMALL = 50_000
+#: Bytes, as measured, up to which the networks are broadcast, and networks up to which a range join may loop over them.
+BYTES, FEW = 32 << 20, 10_000
 ADDED = ("found", "network", "record_offset", "error")
 
 
@@ -37,8 +41,15 @@ def _signed(n: int) -> int:
     return n - (1 << 64) if n >> 63 else n
 
 
-def _by_length(addresses: DataFrame, nets: DataFrame) -> DataFrame:
-    found = nets.groupBy("depth", F.col("network_v4").isNotNull().alias("v4")).count().collect()  # at most 258 rows
+def _lengths(nets: DataFrame) -> list:
+    """Prefix lengths with the number and bytes of their networks, at most 258 rows."""
+    size = F.lit(200).cast("long")
+    if "record" in nets.columns:
+        size = size + F.coalesce(F.octet_length(F.to_json(F.struct("record"))), F.lit(0))
+    return nets.groupBy("depth", F.col("network_v4").isNotNull().alias("v4")).agg(F.count("*").alias("n"), F.sum(size).alias("bytes")).collect()
+
+
+def _by_length(addresses: DataFrame, nets: DataFrame, found: list) -> DataFrame:
 
     def masks(depths: set[int]) -> Column:
         out = []
@@ -52,11 +63,19 @@ def _by_length(addresses: DataFrame, nets: DataFrame) -> DataFrame:
     probe = addresses.withColumn("_m", F.explode(lengths))
     probe = probe.withColumn("_kh", F.col("_hi").bitwiseAND(F.col("_m.mh"))).withColumn("_kl", F.col("_lo").bitwiseAND(F.col("_m.ml")))
     # Sizes before the explode say nothing of the probes, which must never be the side that is broadcast.
-    side = F.broadcast(nets) if sum(r["count"] for r in found) <= SMALL else nets.hint("merge")
+    side = F.broadcast(nets) if sum(r["bytes"] for r in found) <= BYTES else nets.hint("merge")
     hit = probe.join(side, (F.col("_m.d") == F.col("depth")) & (F.col("_kh") == F.col("hi")) & (F.col("_kl") == F.col("lo")))
     return hit.drop("_m", "_kh", "_kl")
 
 
+def _by_equi(addresses: DataFrame, nets: DataFrame) -> DataFrame:
+    found = _lengths(nets)
+    if sum(r["bytes"] for r in found) <= BYTES:
+        return _by_length(addresses, nets, found)
+    key = ["_family", "_hi", "_lo"]
+    return addresses.join(_by_length(addresses.select(*key).distinct(), nets, found), key)
+
+
 def _by_range(addresses: DataFrame, nets: DataFrame) -> DataFrame:
     at = word_bytes(F.col("_hi"), F.col("_lo"))
     return addresses.withColumn("_b", at).join(nets, (F.col("_b") >= F.col("net_start")) & (F.col("_b") <= F.col("net_end"))).drop("_b")
@@ -95,7 +114,8 @@ def lookup_join(df: DataFrame, ip: str, nets: DataFrame, strategy: str = "equi",
     # The texts of addresses are parsed once: the rows that can't match are told apart here, not by a second join.
     usable = (F.col("_family") == 4) | ((F.col("_family") == 6) & F.lit(ip_version == 6))
     good = keyed.where(usable)
-    how = {"equi": lambda: _by_length(good, side), "range": lambda: _by_range(good, side), "asof": lambda: _by_asof(good, side, cols)}
+    few = strategy == "range" and side.limit(FEW + 1).count() <= FEW
+    how = {"equi": lambda: _by_equi(good, side), "range": lambda: _by_range(good, side) if few else _by_equi(good, side), "asof": lambda: _by_asof(good, side, cols)}
     hit = how[strategy]().select(*df.columns, *_answer(record))
     bad = keyed.where(~usable)
     wrong = F.when(F.col("_family") == 6, F.concat(F.lit("error looking up '"), F.col(ip), F.lit("': you attempted to look up an IPv6 address in an IPv4-only database"))).otherwise(F.lit("invalid IP address"))
@@ -122,23 +142,52 @@ def lookup_tree(df: DataFrame, ip: str, path: str, record: str | None = None) ->
         db = open_database(path)
         records = Records(db, kind)
         for b in batches:
-            family, hi, lo = parse(b.column(b.schema.names.index(ip)).to_pylist())
+            # Each address of a batch is read and looked up once, and so is each record.
+            texts = pc.dictionary_encode(b.column(b.schema.names.index(ip)), null_encoding="encode")
+            family, hi, lo = parse(texts.dictionary.to_pylist())
             at, _, nets, errors = walk(db, family, hi, lo)
-            got = [records.get(int(x)) if x >= 0 else (None, None) for x in at]
-            errors = [e or w for e, (_, w) in zip(errors, got, strict=True)]
-            more = [pa.array((at >= 0) & np.array([e is None for e in errors], bool)), pa.array(nets, pa.string()), pa.array([int(x) if x >= 0 else None for x in at], pa.int64()), pa.array(errors, pa.string())]
+            offsets, which = np.unique(at, return_inverse=True)
+            got = [records.get(int(x)) if x >= 0 else (None, None) for x in offsets]
+            errors = [e or got[w][1] for e, w in zip(errors, which.tolist(), strict=True)]
+            more = [pa.array((at >= 0) & np.array([e is None for e in errors], bool)), pa.array(nets, pa.string()), pa.array(at, pa.int64(), mask=at < 0), pa.array(errors, pa.string())]
+            more = [c.take(texts.indices) for c in more]
             names = [*b.schema.names, *ADDED]
             if kind is not None:
-                more.append(pa.array([as_dicts(v, kind) for v, _ in got], arrow_type(kind)))
+                values = pa.array([as_dicts(v, kind) for v, _ in got], arrow_type(kind))
+                more.append(values.take(pa.array(which)).take(texts.indices))
                 names.append("record")
             yield pa.RecordBatch.from_arrays([*b.columns, *more], names)
 
-    from pyspark.sql import types as T
-
     out = T.StructType.fromJson(schema).add("found", "boolean").add("network", "string").add("record_offset", "long").add("error", "string")
     return df.mapInArrow(run, out if kind is None else out.add("record", kind))
 
 
+def lookup(df: DataFrame, ip: str, path: str, record: str | None = None) -> DataFrame:
+    """The default lookup: by walking the file, which every task that can read `path` does for itself."""
+    return lookup_tree(df, ip, path, record)
+
+
+def decode_offsets(df: DataFrame, offset: str, path: str, ddl: str, name: str = "value") -> DataFrame:
+    """df with the value at an offset of the data section, be it a record or something inside one; null where the offset
+    is. Each offset of a batch is decoded once."""
+    from netlens.sources.netdb import _type
+
+    kind = _type(ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        records = Records(open_database(path), kind)
+        for b in batches:
+            at = pc.dictionary_encode(b.column(b.schema.names.index(offset)), null_encoding="encode")
+            got = [records.get(x) for x in at.dictionary.to_pylist()]
+            for _, wrong in got:
+                if wrong:
+                    raise InvalidDatabaseError(wrong)
+            values = pa.array([as_dicts(v, kind) for v, _ in got], arrow_type(kind))
+            yield pa.RecordBatch.from_arrays([*b.columns, values.take(at.indices)], [*b.schema.names, name])
+
+    return df.mapInArrow(run, T.StructType.fromJson(df.schema.jsonValue()).add(name, kind))
+
+
 def with_records(networks: DataFrame, records: DataFrame) -> DataFrame:
     """Networks with the records that they point at, by an equi-join on the offset."""
     return networks.join(records.select("record_offset", "record"), "record_offset")

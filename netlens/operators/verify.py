@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from decimal import Decimal
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +50,35 @@ def separator_findings(path: str) -> list[tuple[int, str, str]]:
     return [(200, "separator", f"unexpected byte in data separator: {list(raw)}")] if any(raw) else []
 
 
+def shown(value: object) -> str:
+    """A decoded value as the messages of verification show it: maps by key, lists, and bytes as numbers, in brackets."""
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, dict):
+        return "map[" + " ".join(f"{k}:{shown(v)}" for k, v in sorted(value.items())) + "]"
+    if isinstance(value, list | bytes):
+        return "[" + " ".join(shown(v) for v in value) + "]"
+    if isinstance(value, float):
+        if not math.isfinite(value):
+            return "NaN" if math.isnan(value) else "+Inf" if value > 0 else "-Inf"
+        digits, exponent = f"{Decimal(repr(value)).normalize():e}".split("e")
+        power = int(exponent)
+        if value and not -4 <= power < 21:
+            return f"{digits}e{'+' if power > 0 else '-'}{abs(power):02d}"
+        return f"{Decimal(repr(value)).normalize():f}"
+    return str(value)
+
+
+def _stray(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = open_database(path).values
+        for b in batches:
+            texts = [f"found data ({shown(values.decode(at)[0])}) at {at} that the search tree does not point to" for at in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([301] * len(texts), pa.int32()), pa.array(["data"] * len(texts), pa.string()), pa.array(texts, pa.string())], ["rank", "name", "message"])
+
+    return run
+
+
 def verify(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """Findings (rank, name, message), none for a sound file; strict raises the first."""
     first = metadata_findings(path)
@@ -56,7 +90,7 @@ def verify(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
         seen = nets.where("record_offset is not null").select(F.col("record_offset").alias("offset")).distinct()
         broken = data.where("error is not null").select(F.lit(300).alias("rank"), F.lit("data").alias("name"), F.col("error").alias("message"))
         stray = data.where("error is null").join(seen, "offset", "left_anti")
-        stray = stray.select(F.lit(301).alias("rank"), F.lit("data").alias("name"), F.concat(F.lit("found data at "), F.col("offset").cast("string"), F.lit(" that the search tree does not point to")).alias("message"))
+        stray = stray.select("offset").mapInArrow(_stray(path), SCHEMA)
         kept = data.where("error is null").select("offset", F.lit(True).alias("kept"))
         lost = seen.join(kept, "offset", "left").agg(F.count("*").alias("all"), F.count_if(F.col("kept").isNull()).alias("n")).where("n > 0")
         text = F.concat(F.lit("found "), F.col("n").cast("string"), F.lit(" pointers (of "), F.col("all").cast("string"), F.lit(") in the search tree that we did not see in the data section"))

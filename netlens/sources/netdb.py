@@ -4,21 +4,30 @@ Views: networks (default; one row per network, in address order within net_start
 record), metadata (one row), data (the values of the data section as they follow one another).
 Options: path, view, within, includeAliased, includeEmpty, skipEmptyValues, recordSchema (DDL or JSON of a type),
 recordAs (variant | none), mode (FAILFAST | PERMISSIVE), partitionDepth, cache (false: no decoded record is remembered),
-decoders (JSON of names to "module:function", for fields whose metadata names a decoder), pushdown.
+decoders (JSON of names to "module:function", for fields whose metadata names a decoder), mapped (false: the file is read,
+not mapped), pushdown (comparisons of v4_start, v4_end, net_start and net_end prune subtrees, and "record_offset IS NOT
+NULL" hides empty networks before they become rows).
+
+Writing takes columns network and record; see write().
 """
 
 from __future__ import annotations
 
+import contextlib
+import hashlib
 import importlib
 import json
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, IsNotNull, LessThan, LessThanOrEqual, WriterCommitMessage
 
+from netlens import writer as w
 from netlens.kinds import InvalidDatabaseError
 from netlens.sources.files import open_database
 from netlens.sources.scan import NETWORK_COLUMNS, Leaves, Options, Records, arrow_type, as_dicts, data_values, leaves, scan, split, start_nodes
@@ -74,7 +83,10 @@ class NetDbSource(DataSource):
         kinds = {"metadata": MetadataReader, "data": DataReader, "records": RecordsReader}
         options = Options(self.options.get("within"), self._flag("includeAliased"), self._flag("includeEmpty"), self._flag("skipEmptyValues"), self.options.get("mode", "FAILFAST").upper() == "PERMISSIVE", self._flag("cache", True))
         make = kinds.get(view, PushingReader if self._flag("pushdown") else NetworksReader)
-        return make(self.options["path"], options, self._record(), int(self.options.get("partitionDepth", 12)), json.loads(self.options.get("decoders", "{}")))
+        return make(self.options["path"], options, self._record(), int(self.options.get("partitionDepth", 12)), json.loads(self.options.get("decoders", "{}")), self._flag("mapped", True))
+
+    def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceArrowWriter:
+        return NetDbWriter(self.options["path"], schema, json.loads(self.options.get("head", "{}")), self._flag("aliases", True), self._flag("pointers"))
 
 
 _TYPES = {"string": "StringType", "int": "IntegerType", "long": "LongType", "bigint": "LongType", "double": "DoubleType", "float": "FloatType", "boolean": "BooleanType", "binary": "BinaryType", "variant": "VariantType", "timestamp": "TimestampType", "smallint": "ShortType", "tinyint": "ByteType"}
@@ -119,9 +131,13 @@ def _struct(text: str) -> T.StructType:
 
 
 class NetworksReader(DataSourceReader):
-    def __init__(self, path: str, options: Options, record: T.DataType | None, levels: int, decoders: dict[str, str]):
-        self.path, self.options, self.record, self.levels, self.named = path, options, record, levels, decoders
+    def __init__(self, path: str, options: Options, record: T.DataType | None, levels: int, decoders: dict[str, str], mapped: bool = True):
+        self.path, self.options, self.record, self.levels, self.named, self.mapped = path, options, record, levels, decoders, mapped
         self.low, self.high = 0, (1 << 32) - 1
+        self.first, self.last = 0, (1 << 128) - 1
+
+    def database(self):
+        return open_database(self.path, self.mapped)
 
     def decoders(self) -> dict:
         """The custom decoders, imported where they run."""
@@ -129,43 +145,51 @@ class NetworksReader(DataSourceReader):
         return {name: getattr(importlib.import_module(module), function) for name, (module, function) in places.items()}
 
     def partitions(self) -> list[InputPartition]:
-        db = open_database(self.path)
+        db = self.database()
         try:
             start = start_nodes(db, self.options.within)
         except ValueError as e:
             raise InvalidDatabaseError(str(e)) from e
         whole = [start] if db.metadata.node_count < SMALL else split(db, start, self.options, self.levels)
         nodes = [(int(p.pointer[0]), int(p.hi[0]), int(p.lo[0]), int(p.depth[0])) for p in whole]
-        if (self.low, self.high) != (0, (1 << 32) - 1):
+        if (self.low, self.high, self.first, self.last) != (0, (1 << 32) - 1, 0, (1 << 128) - 1):
             nodes = [p for p in nodes if self._meets(p, db.v4_depth)]
         size = max(1, len(nodes) // 256)
         return [Part(nodes[k : k + size]) for k in range(0, len(nodes), size)] or [Part([])]
 
     def _meets(self, node: tuple[int, int, int, int], v4_depth: int) -> bool:
-        """Whether a subtree can hold IPv4 networks that the pushed bounds let through."""
+        """Whether a subtree can hold networks that the pushed bounds let through."""
         _, hi, lo, depth = node
-        if depth < v4_depth:
+        start = hi << 64 | lo
+        if start > self.last or start + (1 << (128 - depth)) - 1 < self.first:
+            return False
+        if depth < v4_depth or (self.low, self.high) == (0, (1 << 32) - 1):
             return True
         first = lo & 0xFFFFFFFF
         return not hi and not lo >> 32 and first <= self.high and first + (1 << (128 - depth)) - 1 >= self.low
 
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
-        db = open_database(self.path)
+        db = self.database()
         for p, hi, lo, depth in partition.nodes:
             start = Leaves(np.array([p]), np.array([hi], np.uint64), np.array([lo], np.uint64), np.array([depth]))
             yield from scan(db, start, self.options, self.record, self.decoders())
 
 
 class PushingReader(NetworksReader):
-    """Prunes subtrees by comparisons of v4_start and v4_end; needs spark.sql.python.filterPushdown.enabled."""
+    """Prunes subtrees by comparisons of the bounds of networks; needs spark.sql.python.filterPushdown.enabled."""
 
     def pushFilters(self, filters: list[Filter]):
         for f in filters:
-            if getattr(f, "attribute", None) in (("v4_start",), ("v4_end",)) and isinstance(getattr(f, "value", None), int):
-                if isinstance(f, GreaterThan | GreaterThanOrEqual):
-                    self.low = max(self.low, f.value)
-                if isinstance(f, LessThan | LessThanOrEqual):
-                    self.high = min(self.high, f.value)
+            name, value = getattr(f, "attribute", None), getattr(f, "value", None)
+            up, down = isinstance(f, GreaterThan | GreaterThanOrEqual), isinstance(f, LessThan | LessThanOrEqual)
+            if name in (("v4_start",), ("v4_end",)) and isinstance(value, int):
+                self.low = max(self.low, value) if up else self.low
+                self.high = min(self.high, value) if down else self.high
+            if name in (("net_start",), ("net_end",)) and isinstance(value, bytes | bytearray) and len(value) == 16:
+                self.first = max(self.first, int.from_bytes(value)) if up else self.first
+                self.last = min(self.last, int.from_bytes(value)) if down else self.last
+            if isinstance(f, IsNotNull) and name == ("record_offset",):
+                self.options = replace(self.options, empty=False)
             yield f  # bounds prune subtrees only; Spark still filters the rows
 
 
@@ -173,10 +197,10 @@ class RecordsReader(NetworksReader):
     """One row per distinct record, dealt by ranges of offsets."""
 
     def partitions(self) -> list[InputPartition]:
-        return [Part([(k, 16, 0, 0)]) for k in range(16)] if open_database(self.path).metadata.node_count >= SMALL else [Part([(0, 1, 0, 0)])]
+        return [Part([(k, 16, 0, 0)]) for k in range(16)] if self.database().metadata.node_count >= SMALL else [Part([(0, 1, 0, 0)])]
 
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
-        db = open_database(self.path)
+        db = self.database()
         k, of = partition.nodes[0][:2]
         at, inside = db.data_offset(np.unique(np.concatenate(db.tree)))
         offsets = np.sort(at[inside])
@@ -205,7 +229,7 @@ class MetadataReader(NetworksReader):
         from datetime import UTC, datetime
         from decimal import Decimal
 
-        db = open_database(self.path)
+        db = self.database()
         m = db.metadata
         try:
             built = datetime.fromtimestamp(m.build_epoch, UTC)
@@ -219,7 +243,116 @@ class MetadataReader(NetworksReader):
 
 class DataReader(MetadataReader):
     def read(self, partition: Part) -> Iterator[tuple]:
-        yield from data_values(open_database(self.path))
+        yield from data_values(self.database())
+
+
+@dataclass
+class Staged(WriterCommitMessage):
+    """The files of one task: its networks and its records."""
+
+    networks: str
+    records: str
+
+
+class NetDbWriter(DataSourceArrowWriter):
+    """Tasks parse networks and encode records, each distinct record of a task once, into Arrow files beside the target.
+    At commit the records are appended one after the other, equal ones once, and the tree is laid out over arrays of some
+    thirty bytes a network; so the driver holds the index of the file, never its records or rows. What a task that ran
+    again left behind is not in any message and goes with the folder."""
+
+    def __init__(self, path: str, schema: T.StructType, head: dict, aliases: bool, pointers: bool):
+        self.path, self.kind, self.head, self.aliases, self.pointers = path, schema["record"].dataType, head, aliases, pointers
+        self.at, self.folder = schema.fieldNames(), f"{path}-staging-{uuid.uuid4().hex}"
+
+    def _open(self, uri: str):
+        from pyarrow.fs import FileSystem
+
+        if uri.startswith("file:") or "://" not in uri:
+            uri = "file:///" + uri.removeprefix("file:").lstrip("/")
+        return FileSystem.from_uri(uri)
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Staged:
+        fs, root = self._open(self.folder)
+        fs.create_dir(root, recursive=True)
+        name = uuid.uuid4().hex
+        nets_schema = pa.schema([("hi", pa.uint64()), ("lo", pa.uint64()), ("depth", pa.int64()), ("key", pa.binary(16))])
+        body_schema = pa.schema([("key", pa.binary(16)), ("body", pa.binary()), ("fixes", pa.list_(pa.int32()))])
+        seen: set[bytes] = set()
+        with fs.open_output_stream(f"{root}/{name}-n") as fn, fs.open_output_stream(f"{root}/{name}-r") as fr, pa.ipc.new_stream(fn, nets_schema) as nets, pa.ipc.new_stream(fr, body_schema) as bodies:
+            for b in iterator:
+                keys, new = [], ([], [], [])
+                for value in b.column(self.at.index("record")).to_pylist():
+                    e = w.Encoder(self.pointers, True)
+                    e.put(w.typed(value, self.kind))
+                    key = hashlib.md5(e.out, usedforsecurity=False).digest()
+                    keys.append(key)
+                    if key not in seen:
+                        if len(seen) >= 1 << 18:  # what a task remembers is bounded; equal records meet again at commit
+                            seen.clear()
+                        seen.add(key)
+                        for to, v in zip(new, (key, bytes(e.out), e.fixes), strict=True):
+                            to.append(v)
+                hi, lo, depth = w.network_words(b.column(self.at.index("network")).to_pylist(), self.head.get("ip_version", 6))
+                nets.write_batch(pa.record_batch([pa.array(hi), pa.array(lo), pa.array(depth), pa.array(keys, pa.binary(16))], schema=nets_schema))
+                bodies.write_batch(pa.record_batch([pa.array(new[0], pa.binary(16)), pa.array(new[1], pa.binary()), pa.array(new[2], pa.list_(pa.int32()))], schema=body_schema))
+        return Staged(f"{self.folder}/{name}-n", f"{self.folder}/{name}-r")
+
+    def _batches(self, uri: str) -> Iterator[pa.RecordBatch]:
+        fs, name = self._open(uri)
+        with fs.open_input_stream(name) as f:
+            yield from pa.ipc.open_stream(f)
+
+    def commit(self, messages: list[Staged | None]) -> None:
+        fs, target = self._open(self.path)
+        staged = [m for m in messages if m is not None]
+        offsets, size = {}, 0
+        root = self._open(self.folder)[1]
+        fs.create_dir(root, recursive=True)
+        with fs.open_output_stream(f"{root}/data") as data:
+            for m in staged:
+                for b in self._batches(m.records):
+                    for key, body, fixes in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                        if key not in offsets:
+                            if fixes:
+                                body = bytearray(body)
+                                for at in fixes:
+                                    body[at : at + 4] = (int.from_bytes(body[at : at + 4]) + size).to_bytes(4)
+                            offsets[key] = size
+                            data.write(bytes(body))
+                            size += len(body)
+        cols: list[list[np.ndarray]] = [[], [], [], []]
+        for m in staged:
+            for b in self._batches(m.networks):
+                for to, c in zip(cols, range(3), strict=False):
+                    to.append(b.column(c).to_numpy())
+                cols[3].append(np.array([offsets[k] for k in b.column(3).to_pylist()], np.int64))
+        kinds = (np.uint64, np.uint64, np.int64, np.int64)
+        hi, lo, depth, offset = (np.concatenate(c) if c else np.zeros(0, t) for c, t in zip(cols, kinds, strict=True))
+        order = np.lexsort((offset, depth, lo, hi))  # of equal networks the record that was stored last counts, in any order of tasks
+        tree = w.layout(hi[order], lo[order], depth[order], offset[order], self.head.get("ip_version", 6), self.aliases)
+        with fs.open_output_stream(f"{root}/whole") as out:
+            out.write(w.pack(tree, self.head.get("record_size", 28)))
+            out.write(bytes(16))
+            with fs.open_input_stream(f"{root}/data") as data:
+                while part := data.read(1 << 22):
+                    out.write(part)
+            out.write(w.head(len(tree), **self.head))
+        fs.move(f"{root}/whole", target)
+        fs.delete_dir(root)
+
+    def abort(self, messages: list[Staged | None]) -> None:
+        fs, root = self._open(self.folder)
+        with contextlib.suppress(OSError):
+            fs.delete_dir(root)
+
+
+def write(df: DataFrame, path: str, aliases: bool = True, pointers: bool = False, **head: object) -> str:
+    """A database at path of the rows network (text), record (any type that typed() of the writer takes). head: metadata
+    as ip_version, record_size, database_type, description, languages, build_epoch. Networks that repeat keep one record."""
+    register(df.sparkSession)
+    out = df.select("network", "record").write.format("netdb").option("head", json.dumps(head)).option("aliases", str(aliases).lower()).option("pointers", str(pointers).lower())
+    out.mode("overwrite").save(path)
+    return path
 
 
 def register(spark: SparkSession) -> None:
@@ -254,4 +387,4 @@ def from_binary(df: DataFrame, column: str = "content", record: str | None = Non
     return df.select(column).mapInArrow(run, schema)
 
 
-__all__ = ["NetDbSource", "from_binary", "leaves", "read", "register"]
+__all__ = ["NetDbSource", "from_binary", "leaves", "read", "register", "write"]

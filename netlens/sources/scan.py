@@ -8,19 +8,31 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from netlens import kinds as K
 from netlens.codec import Database, compile_schema, to_variant
-from netlens.functions.ipfns import network_text, v4_text, words_binary
+from netlens.functions.ipfns import network_text, v6_text, words_binary
 from netlens.kinds import InvalidDatabaseError, NetDbError
 
 BATCH = 4096
+#: Nodes of a tree from which on a scan expands it piece by piece.
+LARGE = 1 << 14
 NETWORK_COLUMNS = (
     "network string, network_v4 string, network_v6 string, family int, prefix_len int, depth int, net_start binary, net_end binary, "
     "v4_start long, v4_end long, hi long, lo long, record_offset long, error string"
 )
 
 
+def v4_networks(n: np.ndarray, depth: np.ndarray, v4_depth: int, live: np.ndarray) -> pa.Array:
+    """Texts of networks as IPv4 sees them, null where not live; a leaf above the IPv4 subtree is a network of ::."""
+    part = [pc.cast(pa.array(n >> k & 255), pa.string()) for k in (24, 16, 8, 0)]
+    length = pc.cast(pa.array(depth - v4_depth), pa.string())
+    text = pc.binary_join_element_wise(pc.binary_join_element_wise(*part, "."), length, "/")
+    above = pc.binary_join_element_wise("::", pc.cast(pa.array(depth), pa.string()), "/")
+    return pc.if_else(pa.array(live), pc.if_else(pa.array(depth < v4_depth), above, text), pa.scalar(None, pa.string()))
+
+
 @dataclass(frozen=True)
 class Options:
     within: str | None = None
@@ -87,34 +99,53 @@ def leaves(db: Database, start: Leaves, options: Options) -> Leaves:
     return out
 
 
+def leaf_runs(db: Database, start: Leaves, options: Options, levels: int = 12, run: int = 64) -> Iterator[Leaves]:
+    """The same leaves in the same order, some subtrees at a time, so that who stops early pays for what was read."""
+    until = min(128, int(start.depth[0]) + levels)
+    if db.metadata.node_count < LARGE or until == 128:
+        yield leaves(db, start, options)
+        return
+    n = db.metadata.node_count
+    parts = Leaves(*db.expand(start.pointer, start.hi, start.lo, int(start.depth[0]), options.aliased, until)).ordered()
+    for lo in range(0, len(parts), run):
+        some = parts.take(np.arange(lo, min(lo + run, len(parts))))
+        deep = (some.pointer < n) & (some.depth == until)
+        shut, open_ = some.take(np.flatnonzero(~deep)), some.take(np.flatnonzero(deep))
+        below = Leaves(*db.expand(open_.pointer, open_.hi, open_.lo, until, options.aliased)) if len(open_) else open_
+        both = Leaves(*(np.concatenate((getattr(shut, f), getattr(below, f))) for f in ("pointer", "hi", "lo", "depth"))).ordered()
+        yield both if options.empty else both.take(np.flatnonzero(both.pointer != n))
+
+
 def network_batch(db: Database, part: Leaves, options: Options) -> tuple[dict[str, pa.Array], list[int | None], list[str | None]]:
     """Columns of some leaves, their data offsets and errors."""
     n, v4_depth = db.metadata.node_count, db.v4_depth if db.has_v4 else 96
     at, inside = db.data_offset(part.pointer)
-    offsets: list[int | None] = [int(a) if p > n and ok else None for a, p, ok in zip(at, part.pointer, inside, strict=True)]
-    errors: list[str | None] = [
-        "the database file's search tree is corrupt" if p > n and not ok else "" if p >= n else None for p, ok in zip(part.pointer, inside, strict=True)
-    ]
+    data, node = part.pointer > n, part.pointer < n
+    offset = pa.array(at, pa.int64(), mask=~(data & inside))
+    errors: list[str | None] = [None] * len(part)
+    v4 = (part.hi == 0) & (part.lo >> np.uint64(32) == 0)
+    plain = v4 & (part.depth >= v4_depth)
     hi, lo, depth = part.hi.tolist(), part.lo.tolist(), part.depth.tolist()
-    v4 = [h == 0 and x >> 32 == 0 for h, x in zip(hi, lo, strict=True)]
-    text4 = [network_text(h, x, d, True, v4_depth) if f else None for h, x, d, f in zip(hi, lo, depth, v4, strict=True)]
-    text6 = [network_text(h, x, d, False, v4_depth) for h, x, d in zip(hi, lo, depth, strict=True)]
-    shown = [a or b for a, b in zip(text4, text6, strict=True)]
-    plain = [f and d >= v4_depth for f, d in zip(v4, depth, strict=True)]
-    errors = [f"invalid search tree at {s}" if e is None else e or None for e, s in zip(errors, shown, strict=True)]
+    text6 = pa.array([f"{v6_text(h, x)}/{d}" for h, x, d in zip(hi, lo, depth, strict=True)], pa.string())
+    text4 = v4_networks((part.lo & np.uint64(0xFFFFFFFF)).astype(np.int64), part.depth, v4_depth, v4)
+    shown = pc.coalesce(text4, text6)
+    for k in np.flatnonzero(data & ~inside).tolist():
+        errors[k] = "the database file's search tree is corrupt"
+    for k in np.flatnonzero(node).tolist():
+        errors[k] = f"invalid search tree at {shown[k]}"
     below = 128 - part.depth
     low_mask = np.where(below >= 64, np.uint64(2**64 - 1), (np.uint64(1) << np.minimum(below, 63).astype(np.uint64)) - np.uint64(1))
     high_mask = np.where(below <= 64, np.uint64(0), np.where(below >= 128, np.uint64(2**64 - 1), (np.uint64(1) << np.clip(below - 64, 0, 63).astype(np.uint64)) - np.uint64(1)))
     end_hi, end_lo = part.hi | high_mask, part.lo | low_mask
-    first4 = [x & 0xFFFFFFFF if f else None for x, f in zip(lo, plain, strict=True)]
-    last4 = [int(x) & 0xFFFFFFFF if f else None for x, f in zip(end_lo, plain, strict=True)]
-    i32, i64, s = pa.int32(), pa.int64(), pa.string()
+    mask = ~plain
     cols = {
-        "network": pa.array(shown, s), "network_v4": pa.array(text4, s), "network_v6": pa.array(text6, s), "family": pa.array([4 if f else 6 for f in plain], i32),
-        "prefix_len": pa.array([d - v4_depth if f else d for d, f in zip(depth, plain, strict=True)], i32), "depth": pa.array(depth, i32),
-        "net_start": words_binary(part.hi, part.lo), "net_end": words_binary(end_hi, end_lo), "v4_start": pa.array(first4, i64), "v4_end": pa.array(last4, i64),
-        "hi": pa.array(part.hi.view(np.int64)), "lo": pa.array(part.lo.view(np.int64)), "record_offset": pa.array(offsets, i64), "error": pa.array(errors, s),
+        "network": shown, "network_v4": text4, "network_v6": text6, "family": pa.array(np.where(plain, 4, 6).astype(np.int32)),
+        "prefix_len": pa.array(np.where(plain, part.depth - v4_depth, part.depth).astype(np.int32)), "depth": pa.array(part.depth.astype(np.int32)),
+        "net_start": words_binary(part.hi, part.lo), "net_end": words_binary(end_hi, end_lo),
+        "v4_start": pa.array((part.lo & np.uint64(0xFFFFFFFF)).astype(np.int64), mask=mask), "v4_end": pa.array((end_lo & np.uint64(0xFFFFFFFF)).astype(np.int64), mask=mask),
+        "hi": pa.array(part.hi.view(np.int64)), "lo": pa.array(part.lo.view(np.int64)), "record_offset": offset, "error": pa.array(errors, pa.string()),
     }
+    offsets = offset.to_pylist()
     return cols, offsets, errors
 
 
@@ -166,10 +197,10 @@ def scan(db: Database, start: Leaves, options: Options, kind=None, decoders: dic
     """Batches of the networks view; rows where the record is a VARIANT, which no batch holds."""
     from pyspark.sql import types as T
 
-    found, records = leaves(db, start, options), Records(db, kind, decoders, options.remember)
-    rows_out = isinstance(kind, T.VariantType)
-    for lo in range(0, len(found), BATCH):
-        cols, offsets, errors = network_batch(db, found.take(np.arange(lo, min(lo + BATCH, len(found)))), options)
+    records, rows_out = Records(db, kind, decoders, options.remember), isinstance(kind, T.VariantType)
+    parts = (found.take(np.arange(lo, min(lo + BATCH, len(found)))) for found in leaf_runs(db, start, options) for lo in range(0, len(found), BATCH))
+    for part in parts:
+        cols, offsets, errors = network_batch(db, part, options)
         keep = np.ones(len(offsets), bool)
         values = []
         for k, at in enumerate(offsets):
@@ -232,6 +263,14 @@ def data_values(db: Database) -> Iterator[tuple[int, int | None, str | None]]:
         at = end
 
 
+def _masks(depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two words that keep the first bits of an address."""
+    ones, one = np.uint64(2**64 - 1), np.uint64(1)
+    left = lambda bits: np.where(bits >= 64, ones, ~((one << (64 - np.clip(bits, 1, 63)).astype(np.uint64)) - one))
+    zero = np.uint64(0)
+    return np.where(depth <= 0, zero, left(depth)), np.where(depth <= 64, zero, left(depth - 64))
+
+
 def lookup(db: Database, family: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[str | None], list[str | None]]:
     """(data offset or -1, depth, network, error) of addresses; family 0 is no address."""
     n = db.metadata.node_count
@@ -242,25 +281,23 @@ def lookup(db: Database, family: np.ndarray, hi: np.ndarray, lo: np.ndarray) ->
     node[go], depth[go] = db.walk(hi[go], lo[go], v4[go])
     at, inside = db.data_offset(node)
     errors: list[str | None] = [None] * len(hi)
+    for k in np.flatnonzero(bad).tolist():
+        errors[k] = "invalid IP address"
+    for k in np.flatnonzero(wrong).tolist():
+        errors[k] = f"error looking up '{ipaddress.IPv6Address(int(hi[k]) << 64 | int(lo[k]))}': you attempted to look up an IPv6 address in an IPv4-only database"
+    for k in go[node[go] < n].tolist():
+        errors[k] = "invalid node in search tree"
+    for k in np.flatnonzero((node > n) & ~inside).tolist():
+        errors[k] = "the database file's search tree is corrupt"
+    # A network has one text, however many addresses of it are looked up.
+    high, low = _masks(depth)
+    above = (db.v4_depth if db.has_v4 else 96) * (node > n) + 96 * (node <= n)
+    key = np.stack([hi & high, lo & low, depth.astype(np.uint64), above.astype(np.uint64), v4.astype(np.uint64)], 1)[go]
+    distinct, which = np.unique(key, axis=0, return_inverse=True)
+    texts = np.array([network_text(*(int(x) for x in k[:3]), bool(k[4]), int(k[3])) for k in distinct], object)
     nets: list[str | None] = [None] * len(hi)
-    for k in range(len(hi)):
-        if bad[k]:
-            errors[k] = "invalid IP address"
-        elif wrong[k]:
-            ip = ipaddress.IPv6Address(int(hi[k]) << 64 | int(lo[k]))
-            errors[k] = f"error looking up '{ip}': you attempted to look up an IPv6 address in an IPv4-only database"
-        elif node[k] < n:
-            errors[k] = "invalid node in search tree"
-        elif node[k] > n and not inside[k]:
-            errors[k] = "the database file's search tree is corrupt"
-        if not bad[k] and not wrong[k]:
-            d = int(depth[k])
-            whole = (int(hi[k]) << 64 | int(lo[k])) >> (128 - d) << (128 - d)
-            v4_depth = (db.v4_depth if db.has_v4 else 96) if node[k] > n else 96
-            if v4[k]:
-                nets[k] = f"::/{d}" if d < v4_depth else f"{v4_text(whole & 0xFFFFFFFF)}/{d - v4_depth}"
-            else:
-                nets[k] = network_text(whole >> 64, whole & (1 << 64) - 1, d, False, v4_depth)
+    for k, text in zip(go.tolist(), texts[which.reshape(-1)] if len(go) else (), strict=True):
+        nets[k] = text
     found = (node > n) & inside
     return np.where(found, at, -1), depth, nets, errors
 
