@@ -2,31 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
 import re
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir. Where it is unset, a local master gets a folder of its
-    own, which goes with the process; on a cluster that is an error, as executors would each write to their own disk."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-    if not _LOCAL:
-        _LOCAL.append(tempfile.mkdtemp(prefix="netlens-"))
-        atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
-    return f"file://{_LOCAL[0]}"
-
+from netlens.sources.files import checkpointed, remove, shared_folder
 
 class Scratch:
     """Tables written to the shared folder, so that a lost executor costs no recomputation of what was cut."""
@@ -35,7 +17,7 @@ class Scratch:
         self.spark, self.paths = spark, []
 
     def path(self, name: str) -> str:
-        out = f"{shared_dir(self.spark)}/netlens-{name}-{uuid.uuid4().hex}"
+        out = f"{shared_folder(self.spark)}/netlens-{name}-{uuid.uuid4().hex}"
         self.paths.append(out)
         return out
 
@@ -58,10 +40,7 @@ class Scratch:
     def keep(self, df: DataFrame) -> DataFrame:
         """The table as a checkpoint in the shared folder. It needs no other table any more, and Spark's cleaner deletes
         it when nothing refers to it (spark.cleaner.referenceTracking.cleanCheckpoints)."""
-        sc = self.spark.sparkContext
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(shared_dir(self.spark))
-        return df.checkpoint()
+        return checkpointed(df)
 
     def finish(self, df: DataFrame) -> DataFrame:
         """The result as a checkpoint, with all intermediate tables deleted."""
@@ -70,11 +49,6 @@ class Scratch:
         return out
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def weight(df: DataFrame) -> tuple[int, int]:
     """(rows, about the bytes they take in memory) of a table, in one pass."""
     size = F.lit(0).cast("long")
