@@ -1,5 +1,11 @@
 import hashlib
+import math
 import re
+from functools import lru_cache
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from helpers import DOCS, frame
 
@@ -37,6 +43,48 @@ def test_guess_costs_rank_values():
     assert cost("") == 0 and cost("q" * 5000) < 20
 
 
+def slow_cost(value, rank):
+    """The same by every segmentation and plain definitions of each segment."""
+    step, kind = secrets._brute(value), math.log10(5)
+
+    @lru_cache(maxsize=None)
+    def one(a, b):
+        part = value[a:b]
+        costs = [len(part) * step]
+        low = part.lower()
+        for word, times in ((low, 1), (low.translate(secrets._LEET), 2)):
+            if len(part) >= 3 and word in rank and (times == 2 or low in rank) and not (times == 2 and low in rank):
+                costs.append(math.log10(rank[word] * times * (2 if part != low else 1)))
+        costs += [c for p, c in secrets.DATES if p.fullmatch(part)]
+        costs += [u * step + math.log10(len(part) // u) for u in range(1, len(part) // 2 + 1) if part == part[:u] * (len(part) // u)]
+        for near, first in secrets.WALKS:
+            if len(part) >= 3 and all(near(x, y) for x, y in zip(low, low[1:])):
+                costs.append(first + math.log10(len(part)) + secrets.TURN * len(part))
+        return kind + min(costs)
+
+    @lru_cache(maxsize=None)
+    def rest(a):
+        return 0.0 if a == len(value) else min(one(a, b) + rest(b) for b in range(a + 1, len(value) + 1))
+
+    return rest(0)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text("ab1q", max_size=14) | st.text("abcdef123QWERTYqwerty@0$", max_size=12) | st.lists(st.sampled_from(["pass", "word", "2021", "01", "12", "qwe", "asd", "xy", "aa", "9", "P@ss", "31-12-1999"]), max_size=5).map("".join))
+def test_the_cost_is_the_least_over_all_segmentations(value):
+    rank = secrets.ranks()
+    want = slow_cost(value, rank)
+    assert secrets.guess_cost(value) == pytest.approx(want)
+    for most in (3.0, 10.0):
+        got = secrets.guess_cost(value, most)
+        assert got == pytest.approx(want) if want < most - 1e-9 else got >= most - 1e-9
+
+
+def test_dictionary_words_are_no_secrets():
+    assert all(secrets.guess_cost(v, 10.0) < 10 for v in ("international", "authentication", "Authentication", "notification1", "q" * 50_000, "ab" * 9_999))
+    assert all(secrets.guess_cost(v, 10.0) >= 10 for v in ("correcthorsebatterystaple", "kx7Lq2vR9z", "Zk3!vQ9#xT"))
+
+
 def test_method_spans_only_in_credential_context(spark):
     rows = [(1, "the passphrase: Zk3!vQ9#xT7&mW1 done"), (2, "pwd=changeme now"), (3, "random Zk3!vQ9#xT7&mW1 text"), (4, "client_secret => 8fK2mP9qRt5vXz")]
     got = {r["doc_id"]: [s for s in r["spans"] if s["kind"] == "guess"] for r in secrets.secret_spans(frame(spark, rows)).collect()}
