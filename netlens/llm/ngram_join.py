@@ -136,11 +136,11 @@ def _meet(num: int, den: int):
     return run
 
 
-def dealt(rows: DataFrame, by: str, node: str = "node") -> DataFrame:
+def dealt(rows: DataFrame, by: str, node: str = "node", *also: str) -> DataFrame:
     """Rows with the number of blocks of their list or group, once for each pair of blocks that theirs is in."""
     rows = rows.withColumn("b", F.pmod(F.xxhash64(node), "blocks").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("i", F.least("b", "o")).withColumn("j", F.greatest("b", "o")).drop("o", "blocks")
-    return rows.repartition(by, "i", "j").sortWithinPartitions(by, "i", "j")
+    return rows.repartition(by, *also, "i", "j").sortWithinPartitions(by, *also, "i", "j")
 
 
 def candidate_edges(some: DataFrame, reps: DataFrame, num: int, den: int, s: Scratch) -> DataFrame:

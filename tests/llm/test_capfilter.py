@@ -41,6 +41,8 @@ def test_against_brute_force(spark, monkeypatch):
     check(spark, rows)
     monkeypatch.setattr(cf, "MOST", 8)
     check(spark, rows)
+    monkeypatch.setattr(cf, "HELD", 3)
+    check(spark, rows)
 
 
 def test_repeats_null_ids_and_empty(spark):
@@ -82,3 +84,9 @@ def test_list_decoding_is_exhaustive():
         every = (dots[0][r][:, None] + dots[1][r][None, :]).ravel()
         want = np.flatnonzero(every >= codes.least)
         assert set(want) <= set(got) and (len(want) >= cf.LEAST or len(got) == cf.LEAST)
+
+
+def test_numbers_of_four_and_eight_bytes_and_zeros(spark):
+    df = spark.createDataFrame([(1, [0.1, 0.0]), (2, [0.1, -0.0]), (3, [0.5, 0.0]), (4, [-0.0, 0.0])], "vec_id long, embedding array<double>")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in cf.near_duplicates(df).collect())
+    assert got == [(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 0, 4)]
