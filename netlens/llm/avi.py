@@ -6,7 +6,9 @@ extra bits are the byte itself, so a coefficient is 9 bits and a frame 648 bytes
 128..255 stand for the bytes 128..255 and -255..-128 for 0..127, with no loss. Reading goes by the RIFF index;
 frames with these tables take a vectorised path, any other baseline frame the general decoder.
 
-Defined cases: a null or empty text is one frame of padding; equal texts give equal files; other columns are ignored.
+Defined cases: a null or empty text is one frame of padding; equal texts, and so rows that repeat each other, give equal
+files each; a null doc_id is a document like others; an empty table gives no rows; other columns are ignored. A very long
+text is coded and decoded by runs of frames and takes about four times its size, the file included.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from netlens.llm.common import small_batches
 
-FRAME, SIDE, FPS, BINS = 576, 24, 25, 16
+FRAME, SIDE, FPS, BINS, RUN = 576, 24, 25, 16, 1024
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, clips array<struct<clip:int,first:int,last:int,start_s:double,end_s:double>>"
 #: Positions of the zigzag order in a row-major block, by the rule of its diagonals.
 ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, i // 8 if (i // 8 + i % 8) % 2 else i % 8)))
@@ -47,8 +49,17 @@ HEAD = (
 TAIL = b"\xff\xd9"
 
 
+def _runs(n: int) -> Iterator[tuple[int, int]]:
+    """Frames by runs of RUN, as what is made of a frame's bytes takes many times their size."""
+    yield from ((k, min(k + RUN, n)) for k in range(0, n, RUN))
+
+
 def encode_frames(payload: bytes) -> list[bytes]:
     """JPEG frames of a payload whose length is a multiple of 576."""
+    return [f for a, b in _runs(len(payload) // FRAME) for f in _encode_run(payload[a * FRAME : b * FRAME])]
+
+
+def _encode_run(payload: bytes) -> list[bytes]:
     bits = np.unpackbits(np.frombuffer(payload, np.uint8)).reshape(-1, 8)
     coded = np.zeros((len(bits), 9), np.uint8)
     coded[:, 1:] = bits
@@ -113,6 +124,11 @@ def read_avi(data: bytes) -> tuple[list[bytes], float]:
 
 def read_payload(frames: list[bytes]) -> np.ndarray:
     """The stored bytes of frames made by encode_frames."""
+    parts = [_read_run(frames[a:b]) for a, b in _runs(len(frames))]
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint8)
+
+
+def _read_run(frames: list[bytes]) -> np.ndarray:
     if any(not f.startswith(HEAD) or not f.endswith(TAIL) for f in frames):
         raise ValueError("frames of another coder")
     raw = np.frombuffer(b"".join(f[len(HEAD) : -2] for f in frames), np.uint8)
@@ -224,12 +240,28 @@ def own_pixels(payload: np.ndarray) -> np.ndarray:
     return np.clip(np.round(px.transpose(0, 1, 3, 2, 4).reshape(-1, FRAME) + 128), 0, 255).astype(np.uint8)
 
 
-def shots(frames: np.ndarray, window: int = 8, least: float = 0.25) -> list[tuple[int, int]]:
-    """(first, last) frame of each shot. A cut is a histogram difference above the mean of those in the window
-    before it by three deviations and a floor."""
+def histograms(frames: np.ndarray) -> np.ndarray:
+    """Shares of BINS grey levels in each frame's pixels."""
     n = len(frames)
-    hist = np.bincount((np.arange(n)[:, None] * BINS + (frames.reshape(n, -1) >> 4)).ravel(), minlength=n * BINS).reshape(n, BINS)
-    diff = np.abs(np.diff(hist, axis=0)).sum(1) / (2.0 * frames.reshape(n, -1).shape[1])
+    pixels = frames.reshape(n, -1) >> 4
+    return np.bincount((np.arange(n)[:, None] * BINS + pixels).ravel(), minlength=n * BINS).reshape(n, BINS) / pixels.shape[1]
+
+
+def own_histograms(payload: np.ndarray) -> np.ndarray:
+    """The same of the frames of encode_frames, some at a time, by their stored bytes."""
+    return np.concatenate([histograms(own_pixels(payload[a * FRAME : b * FRAME])) for a, b in _runs(len(payload) // FRAME)])
+
+
+def shots(frames: np.ndarray) -> list[tuple[int, int]]:
+    """(first, last) frame of each shot of frames of pixels."""
+    return cuts(histograms(frames))
+
+
+def cuts(hist: np.ndarray, window: int = 8, least: float = 0.25) -> list[tuple[int, int]]:
+    """The same by the frames' histograms. A cut is a histogram difference above the mean of those in the window before
+    it by three deviations and a floor."""
+    n = len(hist)
+    diff = np.abs(np.diff(hist, axis=0)).sum(1) / 2.0
     if not len(diff):
         return [(0, n - 1)]
     c1, c2 = np.concatenate(([0], np.cumsum(diff))), np.concatenate(([0], np.cumsum(diff**2)))
@@ -237,17 +269,21 @@ def shots(frames: np.ndarray, window: int = 8, least: float = 0.25) -> list[tupl
     count = np.maximum(1, np.arange(len(diff)) - lo)
     mean = (c1[:-1] - c1[lo]) / count
     dev = np.sqrt(np.maximum(0, (c2[:-1] - c2[lo]) / count - mean**2))
-    cuts = np.flatnonzero(diff > np.maximum(mean + 3 * dev, 0) + least) + 1
-    return list(zip([0, *cuts.tolist()], [*(cuts - 1).tolist(), n - 1], strict=True))
+    at = np.flatnonzero(diff > np.maximum(mean + 3 * dev, 0) + least) + 1
+    return list(zip([0, *at.tolist()], [*(at - 1).tolist(), n - 1], strict=True))
 
 
 def clips(frames: list[bytes], fps: float) -> list[dict]:
     """Timed clip rows of decoded frames."""
     try:
-        seen = own_pixels(read_payload(frames))
+        seen = own_histograms(read_payload(frames))
     except ValueError:
-        seen = np.stack([decode_jpeg(f) for f in frames])
-    return [{"clip": k, "first": a, "last": b, "start_s": a / fps, "end_s": (b + 1) / fps} for k, (a, b) in enumerate(shots(seen))]
+        seen = np.concatenate([histograms(decode_jpeg(f)[None]) for f in frames])
+    return _timed(seen, fps)
+
+
+def _timed(hist: np.ndarray, fps: float) -> list[dict]:
+    return [{"clip": k, "first": a, "last": b, "start_s": a / fps, "end_s": (b + 1) / fps} for k, (a, b) in enumerate(cuts(hist))]
 
 
 def store(text: bytes) -> bytes:
@@ -266,7 +302,7 @@ def _media(with_file: bool):
                     frames, fps = read_avi(media)
                     stored = read_payload(frames)
                     payload = stored.tobytes()
-                    parts = [{"clip": k, "first": x, "last": y, "start_s": x / fps, "end_s": (y + 1) / fps} for k, (x, y) in enumerate(shots(own_pixels(stored)))]
+                    parts = _timed(own_histograms(stored), fps)
                     row = (len(text or b""), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), parts, media)
                     for to, v in zip(cols, row, strict=True):
                         to.append(v)

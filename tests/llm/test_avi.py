@@ -71,3 +71,42 @@ def test_columns(spark):
     assert avi.media_columns(spark.createDataFrame([], DOCS)).count() == 0
     clips = avi.clip_rows(frame(spark, rows)).where("doc_id = 4").orderBy("clip").collect()
     assert clips[0]["first"] == 0 and clips[-1]["end_s"] == got[3]["payload_bytes"] / 576 / 25
+
+
+def test_runs_of_frames_are_the_whole(monkeypatch):
+    data = np.random.default_rng(5).integers(0, 256, 576 * 11, np.uint8).tobytes()
+    whole, seen = avi.encode_frames(data), avi.own_histograms(np.frombuffer(data, np.uint8))
+    monkeypatch.setattr(avi, "RUN", 3)
+    assert avi.encode_frames(data) == whole and avi.read_payload(whole).tobytes() == data
+    assert (avi.own_histograms(np.frombuffer(data, np.uint8)) == seen).all()
+
+
+def slow_shots(frames):
+    """Shots by plain loops over pixels."""
+    hist = []
+    for f in frames:
+        count = [0] * 16
+        for p in f.ravel().tolist():
+            count[p // 16] += 1
+        hist.append([c / f.size for c in count])
+    diff = [sum(abs(a - b) for a, b in zip(x, y, strict=True)) / 2 for x, y in zip(hist[:-1], hist[1:], strict=True)]
+    starts = [0]
+    for k, d in enumerate(diff):
+        before = diff[max(0, k - 8) : k]
+        mean = sum(before) / max(1, len(before))
+        dev = max(0.0, sum(x * x for x in before) / max(1, len(before)) - mean**2) ** 0.5
+        if d > mean + 3 * dev + 0.25 + 1e-12:
+            starts.append(k + 1)
+    return [(a, b - 1) for a, b in zip(starts, [*starts[1:], len(frames)], strict=True)]
+
+
+def test_features_of_the_query_are_those_of_a_slow_decoder(spark, sf_dir):
+    from netlens.llm.queries import op9_avi_media
+
+    text = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) between 1200 and 9000").limit(25).collect()}
+    got = {r["doc_id"]: r["feature"] for r in op9_avi_media(spark, sf_dir).collect()}
+    assert len(text) > 5
+    for i, t in text.items():
+        frames, _ = avi.read_avi(avi.store(t.encode()))
+        want = slow_shots([avi.decode_jpeg(f) for f in frames])
+        assert got[i] == "shots:" + ",".join(f"{a}-{b}" for a, b in want), i
