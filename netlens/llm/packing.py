@@ -3,12 +3,13 @@
 A document is its token ids and an end id. Whole windows of the longest tier leave at once; what remains is
 routed to the shortest tier (powers of two) that holds it. Each tier is packed from the longest down: a window
 takes one document of its tier, its gap takes the largest pieces of shorter tiers that fit, and the head of one
-more piece closes the gap. So windows are full; only the last few tokens of a task are padded. Finished windows
+more piece closes the gap. What is left at a task's end goes to windows of powers of two, so all are full. Finished windows
 are dealt to step groups of near equal token counts, largest window to lightest step.
 
 Packing is local to a task: no shuffle, no driver, one buffer of bounded size; a task that is run again gives
 the same rows. Defined cases: null text is empty (one end id); rows that repeat a document are packed each;
-doc_id may be null; other columns are ignored; an empty table gives no rows.
+doc_id may be null; other columns are ignored; an empty table gives no rows; a very long text is encoded in one piece and
+leaves as whole windows at once, so that a task holds its ids, four bytes each, once.
 """
 
 from __future__ import annotations
@@ -30,7 +31,6 @@ from netlens.llm.common import small_batches
 from netlens.llm.kernel import chunks
 
 TIERS = (2048, 1024, 512, 256)
-SHORTEST = 64
 BUFFER = 1 << 18
 STEP_TOKENS = 16 * 2048
 END_ID = 1
@@ -136,13 +136,13 @@ class Packer:
                 self._close(width, [tuple(item), *self._fill(width - (item[2] - item[1]), tier + 1, tier)])
 
     def flush(self) -> None:
-        """What is left becomes windows of powers of two, and one padded window."""
+        """What is left becomes windows of powers of two, down to one token, so that nothing is padded."""
         self.pack()
         width = self.tiers[0]
         while self.held:
-            while width > self.held and width > SHORTEST:
+            while width > self.held:
                 width //= 2
-            self._close(min(width, self.held), self._fill(min(width, self.held), len(self.tiers), 0))
+            self._close(width, self._fill(width, len(self.tiers), 0))
 
     def rows(self) -> Iterator[tuple]:
         """Pieces of the finished windows with their sequence, offset and step group."""

@@ -68,6 +68,29 @@ def test_repeated_rows_are_packed_each(spark):
     assert sum(r["length"] for r in rows) == 2 * rows[0]["doc_tokens"]
 
 
+@pytest.mark.parametrize("length", [1, 30, 63, 100, 2047])
+def test_the_end_of_a_task_is_not_padded(spark, length):
+    rows = packing.pack(frame(spark, [(1, "a " * (length - 2) + "a" * (length > 1))]).coalesce(1)).collect()
+    sizes = Counter()
+    for r in rows:
+        sizes[r["sequence_id"]] += r["length"]
+    assert sum(sizes.values()) == rows[0]["doc_tokens"] and all(n & (n - 1) == 0 for n in sizes.values())
+
+
+def test_encoders_agree_on_every_character_of_the_fast_range(tokenizer):
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    chars = [chr(c) for c in range(1, 0x240)]
+    texts = ["".join(rng.choices(chars + [" ", "a", "'s", "\n"] * 40, k=rng.randrange(1, 60))) for _ in range(6000)]
+    texts += [f"a{c}b {c} {c}{c}" for c in chars]
+    got = packing.Encoder().encode(pa.array(texts))
+    want = tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert all(g.tolist() == e.ids for g, e in zip(got, want, strict=True))
+
+
 def test_encoder_agrees_with_the_library(tokenizer):
     import pyarrow as pa
 
