@@ -56,3 +56,14 @@ def test_short_payloads_stay_responses(spark, tmp_path):
 
 def test_empty_table(spark):
     assert warc.round_trip(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_dates_and_ids_of_records(spark, tmp_path):
+    fields = lambda data: dict(x.split(": ", 1) for x in data.partition(b"\r\n\r\n")[0].decode().split("\r\n")[1:])
+    one, other = fields(warc.record(5, "u", b"a", None)), fields(warc.record(5, "u", b"b", None, "2024-05-06T07:08:09Z"))
+    assert one["WARC-Record-ID"] != other["WARC-Record-ID"] and (one["WARC-Date"], other["WARC-Date"]) == (warc.DATE, "2024-05-06T07:08:09Z")
+    assert fields(warc.record(4, "u", b"a", 5))["WARC-Refers-To"] == one["WARC-Record-ID"]
+    rows = [(5, "u", "one"), (5, "u", "two"), (6, "u", "one"), (6, "u", "three"), (2, "u", "two")]
+    got = sorted(warc.round_trip(spark.createDataFrame([(*r, "en") for r in rows], SCHEMA)).select("page_id", "payload_bytes", "record_type", "refers_to").collect(), key=str)
+    want = [(5, 3, "revisit", 6), (5, 3, "response", None), (6, 3, "response", None), (6, 5, "response", None), (2, 3, "revisit", 5)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
