@@ -11,7 +11,8 @@ One row per source meets in one task; documents never do.
 
 Defined cases: null or empty text has size 0 and takes 0; a null source is a source of its own; a source without words
 has target 0; rows that repeat each other are documents each; the order is of doc_id and text, so reruns agree;
-other columns pass through; an empty table gives no rows.
+a null doc_id is ordered by its text alone; ties in the order are equal rows; other columns pass through; an empty table
+gives no rows; a very long text is counted in the memory of its row.
 """
 
 from __future__ import annotations
