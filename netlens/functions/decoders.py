@@ -6,7 +6,7 @@ from __future__ import annotations
 import json
 
 from netlens import kinds as K
-from netlens.codec import Cursor, to_json_value
+from netlens.codec import Cursor, Decoder, to_json_value
 
 
 def as_json(cursor: Cursor) -> tuple[str, Cursor]:
@@ -41,3 +41,8 @@ def strict_long(cursor: Cursor) -> tuple[int, Cursor]:
         return cursor.read_integer()
     except K.UnexpectedKindError as e:
         raise K.unmarshal_error(e, "bigint") from e
+
+
+def initials(decoder: Decoder) -> str:
+    """The first letters of a map's texts, by their keys; the older way of decoding."""
+    return "".join(str(at.read())[:1] for _, at in sorted(decoder.items(), key=lambda x: x[0]) if at.kind() == K.STRING)

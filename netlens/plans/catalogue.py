@@ -306,6 +306,12 @@ def decode_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decoded(spark, _geo(spark, sf_dir), *fields, json="as_json", number="number_text").select("network", "record.country", "record.region_id")
 
 
+def decode_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The older kind of custom decoder, which gives way to the newer one where a field names both."""
+    fields = [T.StructField("country", T.StringType(), metadata={"legacy_decoder": "old"}), T.StructField("n", T.StringType(), metadata={"key": "region_id", "decoder": "number", "legacy_decoder": "old"})]
+    return _decoded(spark, _geo(spark, sf_dir), *fields, old="initials", number="number_text").select("network", F.col("record.country").alias("initial"), F.col("record.n").alias("region_id"))
+
+
 def decode_custom_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A decoder that meets another kind fails as decoding into its type does, with the place and the path."""
     inner = T.StructType([T.StructField("n", T.LongType(), metadata={"key": "iso_code", "decoder": "strict"})])
@@ -464,7 +470,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         lookup_country, lookup_equi, lookup_v6_alias, lookup_v6_mapped, lookup_miss_network, lookup_semi, lookup_anti, lookup_strategies_agree, lookup_errors, scan_networks, scan_ordered,
         scan_within, scan_within_suppliers, scan_include_empty, scan_aliased, scan_pushed, scan_pushed_v6, scan_limit, scan_uncached, scan_binary_column, scan_udtf, scan_skip_empty, records_dedup, offset_join, decode_types, decode_path_array,
-        decode_variant, kinds_histogram, kinds_of_values, decode_at_offset, decode_orders, lazy_offset, decode_custom, decode_custom_errors, decode_shapes, decode_map_keys,
+        decode_variant, kinds_histogram, kinds_of_values, decode_at_offset, decode_orders, lazy_offset, decode_custom, decode_legacy, decode_custom_errors, decode_shapes, decode_map_keys,
         decode_errors, error_rows, open_errors, metadata, verify_clean, verify_findings, verify_broken, agg_by_country, cube_country_type, topk_country, gap_detection, db_diff, stream_enrich_window,
     )
 }
@@ -486,6 +492,7 @@ ORACLE_SQL: dict[str, str] = {
     "decode_at_offset": "SELECT CAST(p_partkey AS BIGINT) AS partkey, p_brand AS brand, CAST(p_size AS BIGINT) AS size, CAST(p_partkey % 2 AS BIGINT) AS odd, p_brand AS in_map, p_brand AS in_slice, p_brand AS pointed FROM part",
     "lazy_offset": f"SELECT network, n_name AS iso_code FROM ({_NETS}) JOIN nation ON n_nationkey = k",
     "decode_custom": f"""SELECT network, '{{"geoname_id": ' || k || ', "iso_code": "' || n_name || '"}}' AS country, CAST(n_regionkey AS VARCHAR) AS region_id FROM ({_NETS}) JOIN nation ON n_nationkey = k""",
+    "decode_legacy": f"SELECT network, n_name[:1] AS initial, CAST(n_regionkey AS VARCHAR) AS region_id FROM ({_NETS}) JOIN nation ON n_nationkey = k",
     "decode_custom_errors": f"SELECT network, 'at offset N, path /country/iso_code: cannot unmarshal String (Kind) into type bigint' AS error FROM ({_NETS})",
     "decode_shapes": f"SELECT network, 'Map(2)' AS country, 'Uint16' AS region_id FROM ({_NETS})",
     "decode_map_keys": "SELECT '60.' || n_nationkey || '.0.0/16' AS network, CAST(n_nationkey AS BIGINT) AS k, n_name AS v FROM nation UNION ALL SELECT '60.' || n_nationkey || '.0.0/16', CAST(n_nationkey + 100 AS BIGINT), 'more' FROM nation",

@@ -202,9 +202,12 @@ class RecordsReader(NetworksReader):
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
         db = self.database()
         k, of = partition.nodes[0][:2]
-        at, inside = db.data_offset(np.unique(np.concatenate(db.tree)))
-        offsets = np.sort(at[inside])
-        own, records = offsets[len(offsets) * k // of : len(offsets) * (k + 1) // of].tolist(), Records(db, self.record, self.decoders(), self.options.remember)
+        low, high = (db.values.size * x // of for x in (k, k + 1))
+        found = []
+        for side in db.tree:  # a partition's share of the data section is picked out before anything is sorted
+            at, inside = db.data_offset(side)
+            found.append(at[inside & (at >= low) & (at < high)])
+        own, records = np.unique(np.concatenate(found)).tolist(), Records(db, self.record, self.decoders(), self.options.remember)
         for lo in range(0, len(own), 4096):
             part = own[lo : lo + 4096]
             got = [records.get(x) for x in part]
