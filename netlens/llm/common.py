@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 from netlens.sources.files import checkpointed, remove, shared_folder
 
+#: Bytes that a broadcast side may take, as measured.
+BROADCAST = 32 << 20
+
+
 class Scratch:
     """Tables written to the shared folder, so that a lost executor costs no recomputation of what was cut."""
 
@@ -64,7 +68,7 @@ def weight(df: DataFrame) -> tuple[int, int]:
     return row["n"], row["bytes"]
 
 
-def bounded(df: DataFrame, most: int = 48 << 20) -> DataFrame:
+def bounded(df: DataFrame, most: int = BROADCAST) -> DataFrame:
     """A written table with a broadcast hint, if its rows were measured to take at most so many bytes; beyond, Spark
     shuffles."""
     return F.broadcast(df) if weight(df)[1] <= most else df

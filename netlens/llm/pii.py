@@ -25,7 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netlens.llm.common import Scratch, bounded
+from netlens.llm.common import BROADCAST, Scratch, bounded, weight
 
 THRESHOLD, REMOVE, STEP, BLOCK = 0.8, 0.95, 64, 1024
 #: Stands for each letter of an e-mail address while terms are looked for; no text has this noncharacter in a word.
@@ -164,7 +164,10 @@ def disclosing(held: DataFrame, words: DataFrame, docs: DataFrame, s: Scratch, t
     n = max(docs.select("doc_id", "_h").distinct().count(), 1)
     once = docs.dropDuplicates(["doc_id", "_h"]) if docs.count() > n else docs  # texts are shuffled only where rows repeat
     terms = once.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{M}]+"))).alias("term"))
-    n_term = terms.join(bounded(known), "term").groupBy("term").agg(F.count("*").alias("n_term"))
+    if weight(known)[1] <= BROADCAST:
+        n_term = terms.join(F.broadcast(known), "term").groupBy("term").agg(F.count("*").alias("n_term"))
+    else:  # counted before they meet, so that each task sends a term once
+        n_term = terms.groupBy("term").agg(F.count("*").alias("n_term")).join(known, "term")
     # n_both is n_entity at most, so a term of more documents than this reaches the threshold with no entity of n_entity.
     most = lambda e: F.pow(F.lit(float(n)), F.lit(1 - threshold)) * F.pow(e, F.lit(threshold)) * (1 + 1e-6)
     top = held.agg(F.max("n_entity")).first()[0] or 0
