@@ -182,20 +182,23 @@ def _solve(f: int, unit: np.ndarray, mult: np.ndarray, lists: list[np.ndarray],
     near[np.arange(m), np.arange(m)] = False
     if side is not None:
         near &= side[:, None] != side[None, :]
-    none = np.zeros(0, np.int64)
-    if not near.any():
-        return np.zeros(m, np.int64), none, none
-    lower = [v[: np.searchsorted(v, f)] for v in lists]
-    known, row = np.concatenate(lower), np.repeat(np.arange(m), [len(v) for v in lower])
+    none, links = np.zeros(0, np.int64), np.zeros(m, np.int64)
+    some = np.flatnonzero(near.any(1))
+    if not len(some):
+        return links, none, none
+    near = near[np.ix_(some, some)]  # the few vectors with a link; only their other filters matter
+    lower = [lists[k][: np.searchsorted(lists[k], f)] for k in some.tolist()]
+    known, row = np.concatenate(lower), np.repeat(np.arange(len(some)), [len(v) for v in lower])
     order = np.argsort(known, kind="stable")
     known, row = known[order], row[order]
     cut = np.flatnonzero(np.concatenate(([True], known[1:] != known[:-1], [True]))) if len(known) else none
-    seen = np.zeros((m, m), bool)
-    for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-        if hi - lo > 1:
-            seen[np.ix_(row[lo:hi], row[lo:hi])] = True
-    a, b = spanning(m, lambda k, left: near[k, left])
-    return (near & ~seen) @ mult, a, b
+    seen = np.zeros(near.shape, bool)
+    many = np.flatnonzero(np.diff(cut) > 1)
+    for lo, hi in zip(cut[many].tolist(), cut[many + 1].tolist(), strict=True):
+        seen[np.ix_(row[lo:hi], row[lo:hi])] = True
+    links[some] = (near & ~seen) @ mult[some]
+    a, b = spanning(len(some), lambda k, left: near[k, left])
+    return links, some[a], some[b]
 
 
 COLUMNS = ("node", "mult", "vec", "packed")
