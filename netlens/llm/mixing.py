@@ -26,7 +26,7 @@ from netlens.llm.common import Scratch, aside
 
 WEIGHTS, CAP, SEED = (5, 2, 1), 3, 20240607
 ADDED = ("_size", "_source_size", "_target", "_whole", "_part")
-WORD = r"[^\x20\x09-\x0D]+"
+WORD = r"[^\x20\x09-\x0D]++"
 
 
 def word_count(text: Column) -> Column:
@@ -55,9 +55,9 @@ def _mix(rows: DataFrame, names: dict[str, str], weights: tuple[int, ...], cap:
     source = F.col(names["source"])
     text = lambda c: F.coalesce(F.col(names[c]).cast("string"), F.lit(""))
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), text("doc_id"), text("text")))
-    sized = rows.withColumn("_size", word_count(F.col(names["text"]).cast("string"))).withColumn("_order", order)
-    sized = sized.withColumn("_bucket", F.conv(F.substring("_order", 1, 3), 16, 10).cast("int"))
-    sums = s.cut(sized.groupBy(source.alias("source"), "_bucket").agg(F.sum("_size").alias("words")), "buckets", True)
+    size = word_count(F.col(names["text"]).cast("string"))
+    keyed = rows.withColumn("_order", order).withColumn("_bucket", F.conv(F.substring("_order", 1, 3), 16, 10).cast("int"))
+    sums = s.cut(keyed.withColumn("_size", size).groupBy(source.alias("source"), "_bucket").agg(F.sum("_size").alias("words")), "buckets", True)
     filled = s.cut(targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, cap), "targets", True)
     run = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     runs = sums.withColumn("before", F.coalesce(F.sum("words").over(run), F.lit(0)))
@@ -68,12 +68,13 @@ def _mix(rows: DataFrame, names: dict[str, str], weights: tuple[int, ...], cap:
         F.col("source").alias("_s"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("whole").alias("_whole"),
         F.col("rest").alias("_rest"), F.col("e._bucket").alias("_edge"), F.col("e.before").alias("_before"),
     )
-    facts = s.cut(facts, "facts", True)
-    # One row per source; Spark broadcasts it if its size allows.
-    both = sized.join(facts, source.eqNullSafe(F.col("_s")))
+    facts = s.finish(facts)
+    # One row per source; Spark broadcasts it if its size allows. Words are counted once in what is not on the edge, and
+    # on the edge of those documents only that are.
+    both = keyed.join(facts, source.eqNullSafe(F.col("_s")))
     inside = Window.partitionBy("_s").orderBy("_order", names["doc_id"]).rowsBetween(Window.unboundedPreceding, -1)
-    sure = both.where("_bucket <> _edge").withColumn("_part", F.when(F.col("_bucket") < F.col("_edge"), F.col("_size")).otherwise(F.lit(0)).cast("long"))
-    near = both.where("_bucket = _edge").withColumn("_taken", F.coalesce(F.sum("_size").over(inside), F.lit(0)) + F.col("_before"))
+    sure = both.where("_bucket <> _edge").withColumn("_size", size).withColumn("_part", F.when(F.col("_bucket") < F.col("_edge"), F.col("_size")).otherwise(F.lit(0)).cast("long"))
+    near = both.where("_bucket = _edge").withColumn("_size", size).withColumn("_taken", F.coalesce(F.sum("_size").over(inside), F.lit(0)) + F.col("_before"))
     near = near.withColumn("_part", F.greatest(F.lit(0), F.least("_size", F.col("_rest") - F.col("_taken"))).cast("long")).drop("_taken")
     return sure.unionByName(near).select(*rows.columns, *ADDED)
 
