@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from netlens.llm.common import Scratch, aside, bounded, connected_components, small_batches
 from netlens.llm.kernel import _powers, chunks, grouped, mix, spanning
-from netlens.llm.ngram_join import dealt
+from netlens.llm.ngram_join import blocks_of, dealt
 from netlens.llm.pii import let
 
 EDITS, SHORTEST, PART, SEEN = 2, 20, 1 << 18, 1 << 19
@@ -256,12 +256,12 @@ def line_links(keyed: DataFrame, firsts: DataFrame, s: Scratch, shortest: int) -
     # Lists of the same lines, by their number and a sum of hashes, are compared once.
     looks = lists.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("h")).alias("x"), F.min("h").alias("low"))
     looks = looks.groupBy("m", "x", "low").agg(F.min("key").alias("key"))
-    looks = s.cut(looks.select("key", F.ceil(F.col("m") / ROWS).cast("int").alias("blocks")), "looks", True)
+    looks = s.cut(looks.select("key", blocks_of(F.col("m"), ROWS).alias("blocks")), "looks", True)
     met = dealt(lists.join(bounded(looks), "key"), "key", "h").mapInArrow(_compare("key", False), "a long, b long")
     groups = connected_components(met, s)
     facts = lists.select("h", "sig", "size").distinct()
     members = groups.toDF("h", "grp").join(facts, "h").join(firsts.select("h", "first"), "h")
-    load = members.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / ROWS), F.ceil(F.sum("size") / POINTS)).cast("int").alias("blocks"))
+    load = members.groupBy("grp").agg(F.greatest(blocks_of(F.count("*"), ROWS), F.ceil(F.sum("size") / POINTS).cast("int")).alias("blocks"))
     members = members.join(load, "grp").select("h", "grp", "sig", "size", "blocks", "first")
     wanted = members.groupBy("first._d", "first._t").agg(F.collect_list(F.struct("h", "grp", "sig", "size", "blocks", "first.at")).alias("w"))
     wanted = s.cut(wanted, "wanted", True)

@@ -24,7 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netlens.llm.common import Scratch, aside, bounded, connected_components, small_batches
@@ -136,6 +136,11 @@ def _meet(num: int, den: int):
     return run
 
 
+def blocks_of(count: Column, most: int) -> Column:
+    """Blocks for so many rows: of `most` rows, and up to four smaller ones, so that a middling list isn't one task's."""
+    return F.greatest(F.ceil(count / most), F.least(F.lit(4), F.ceil(count * 4 / most))).cast("int")
+
+
 def dealt(rows: DataFrame, by: str, node: str = "node", *also: str) -> DataFrame:
     """Rows with the number of blocks of their list or group, once for each pair of blocks that theirs is in."""
     rows = rows.withColumn("b", F.pmod(F.xxhash64(node), "blocks").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -151,7 +156,7 @@ def candidate_edges(some: DataFrame, reps: DataFrame, num: int, den: int, s: Scr
     # Lists of the same rows, by their number and a sum of hashes, are compared once.
     looks = lists.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("low"), F.sum("n").alias("load"))
     looks = looks.groupBy("m", "x", "low", "load").agg(F.min("key").alias("key"))
-    looks = looks.select("key", F.greatest(F.ceil(F.col("m") / ROWS), F.ceil(F.col("load") / LOAD)).cast("int").alias("blocks"))
+    looks = looks.select("key", F.greatest(blocks_of(F.col("m"), ROWS), F.ceil(F.col("load") / LOAD).cast("int")).alias("blocks"))
     rows = lists.join(bounded(s.cut(looks, "looks", True)), "key").join(reps.select("node", "marks"), "node")
     return dealt(rows, "key").mapInArrow(_meet(num, den), "a long, b long")
 
@@ -267,10 +272,9 @@ def ngram_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (
     edges = candidate_edges(some, reps, num, den, s)
     groups = connected_components(edges, s)
     members = groups.select("node", F.col("root").alias("grp")).join(reps.select("node", "rep", "n"), "node")
-    load = members.groupBy("grp").agg(F.sum("n").alias("load"))
+    load = members.groupBy("grp").agg(F.greatest(F.ceil(F.sum("n") / BLOCK).cast("int"), blocks_of(F.count("*"), ROWS)).alias("blocks"))
     members = s.cut(
         members.join(load, "grp")
-        .withColumn("blocks", F.ceil(F.col("load") / BLOCK).cast("int"))
         .select("node", F.col("rep.doc_id").alias("rep"), F.col("rep.text_hash").alias("rep_hash"), "grp", "blocks"),
         "members",
         True,
