@@ -4,14 +4,15 @@ from pyspark.sql import functions as F
 from netlens import writer as w
 from netlens.functions.ipfns import ipv4_to_long, ipv6_words, long_to_ipv4, mask_v4
 from netlens.functions.paths import decode_path
-from netlens.operators.lookup import lookup_join, lookup_tree, networks_for_lookup
-from netlens.operators.verify import verify
+from netlens.operators import lookup as lk
+from netlens.operators.lookup import decode_offsets, lookup, lookup_join, lookup_tree, networks_for_lookup
+from netlens.operators.verify import shown, verify
 from netlens.plans.session import create_views
-from netlens.sources.files import publish
-from netlens.sources.netdb import _type, from_binary, read
+from netlens.sources.files import open_database, place, publish
+from netlens.sources.netdb import _type, from_binary, read, write
 
-NETS = [("1.1.1.1/32", {"ip": "1.1.1.1"}), ("1.1.1.2/31", {"ip": "1.1.1.2"}), ("10.0.0.0/8", {"ip": "ten"}), ("10.9.0.0/16", {"ip": "ten.nine"}), ("2001:db8::/32", {"ip": "doc"}), ("fe80::1/128", {})]
-IPS = ["1.1.1.1", "1.1.1.3", "1.1.1.4", "10.1.2.3", "10.9.255.255", "::ffff:10.9.0.1", "2001:db8::5", "2001:db9::", "fe80::1", "fe80::2", "255.255.255.255", "0.0.0.0", "x", "", None, "1.2.3", "01.2.3.4", "10.1.2.3"]
+NETS = [("198.18.0.1/32", {"ip": "198.18.0.1"}), ("198.18.0.2/31", {"ip": "198.18.0.2"}), ("10.0.0.0/8", {"ip": "ten"}), ("10.9.0.0/16", {"ip": "ten.nine"}), ("2001:db8::/32", {"ip": "doc"}), ("fe80::1/128", {})]
+IPS = ["198.18.0.1", "198.18.0.3", "198.18.0.4", "10.1.2.3", "10.9.255.255", "::ffff:10.9.0.1", "2001:db8::5", "2001:db9::", "fe80::1", "fe80::2", "255.255.255.255", "0.0.0.0", "x", "", None, "1.2.3", "01.2.3.4", "10.1.2.3"]
 
 
 @pytest.fixture(scope="module")
@@ -31,7 +32,7 @@ def test_strategies_agree_in_128_bits(spark, path):
     for s in ("equi", "range", "asof"):
         assert rows(lookup_join(df, "ip", nets, s)) == want, s
     by = {r[1]: r for r in want}
-    assert by["::ffff:10.9.0.1"][3] == "::ffff:10.9.0.0/112" and by["1.1.1.4"][2:4] == (False, "1.1.1.4/30") and by["x"][4] == "invalid IP address" and by["01.2.3.4"][4] == "invalid IP address"
+    assert by["::ffff:10.9.0.1"][3] == "::ffff:10.9.0.0/112" and by["198.18.0.4"][2:4] == (False, "198.18.0.4/30") and by["x"][4] == "invalid IP address" and by["01.2.3.4"][4] == "invalid IP address"
 
 
 def test_v6_texts_as_the_library_reads_them(spark):
@@ -57,7 +58,7 @@ def test_v4_columns(spark):
 
 
 def test_equi_join_plan_is_a_hash_join_without_python_on_v4(spark, path):
-    df = spark.createDataFrame([("1.1.1.1",)], "ip string")
+    df = spark.createDataFrame([("198.18.0.1",)], "ip string")
     plan = lookup_join(df, "ip", networks_for_lookup(spark, path), "equi")._jdf.queryExecution().executedPlan().toString()
     assert ("HashJoin" in plan or "SortMergeJoin" in plan) and "EvalPython" not in plan and "MapInArrow" not in plan
 
@@ -117,11 +118,11 @@ def test_verify_findings(spark):
 def test_streaming_sessions_and_batches(spark, path, tmp_path):
     from netlens.streaming.enrich import enrich_batches, session_counts
 
-    spark.createDataFrame([("1.1.1.1", "2024-01-01 00:00:00"), ("10.1.1.1", "2024-01-01 00:01:00"), ("1.1.1.1", "2024-01-01 05:00:00")], "ip string, t string").select("ip", F.to_timestamp("t").alias("ts")).write.parquet(str(tmp_path / "in"))
+    spark.createDataFrame([("198.18.0.1", "2024-01-01 00:00:00"), ("10.1.1.1", "2024-01-01 00:01:00"), ("198.18.0.1", "2024-01-01 05:00:00")], "ip string, t string").select("ip", F.to_timestamp("t").alias("ts")).write.parquet(str(tmp_path / "in"))
     src = lambda: spark.readStream.schema("ip string, ts timestamp").parquet(str(tmp_path / "in"))
     out = []
     enrich_batches(src(), "ip", lambda: path, lambda b, e: out.extend(b.collect()), "struct<ip:string>").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
-    assert sorted(r["record"]["ip"] for r in out) == ["1.1.1.1", "1.1.1.1", "ten"]
+    assert sorted(r["record"]["ip"] for r in out) == ["198.18.0.1", "198.18.0.1", "ten"]
     q = session_counts(src(), "ts", ["ip"], "10 minutes", "1 hour").writeStream.format("memory").queryName("sessions").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r["n"] for r in spark.table("sessions").collect()) == [1, 1, 1]
@@ -150,3 +151,113 @@ def test_encoded_columns(spark):
     assert [(x["v"] and tuple(x["v"]), x["k"]) for x in r] == [((5, ["x", "y"]), "Map"), ((7, None), "Map"), (None, None)]
     n = spark.createDataFrame([(bytearray(w.encode(w.u32(9))), 0)], "raw binary, at int").select(decode_value(F.col("raw"), F.col("at"), "long").alias("n"))
     assert n.first()["n"] == 9
+
+
+def test_lookups_beyond_the_bounds_of_broadcasts_and_loops(spark, path, monkeypatch):
+    df = spark.createDataFrame(list(enumerate(IPS * 3)), "k long, ip string")
+    nets = networks_for_lookup(spark, path, "ip string")
+    want = rows(lookup(df, "ip", path, "struct<ip:string>"))
+    monkeypatch.setattr(lk, "BYTES", 0)
+    monkeypatch.setattr(lk, "FEW", 3)
+    for s in ("equi", "range"):
+        got = lookup_join(df, "ip", nets, s)
+        assert rows(got) == want
+    assert "Nested" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_default_lookup_shuffles_nothing(spark, path):
+    df = spark.range(10).select(F.lit("10.1.2.3").alias("ip"))
+    plan = lookup(df, "ip", path)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_values_at_offsets(spark, path):
+    nets = read(spark, path, includeEmpty=True).where("network in ('10.9.0.0/16', '0.0.0.0/5')").select("network", "record_offset")
+    got = {r["network"]: r["value"] for r in decode_offsets(nets.union(nets), "record_offset", path, "struct<ip:string>").collect()}
+    assert got["10.9.0.0/16"]["ip"] == "ten.nine" and [v for k, v in got.items() if k != "10.9.0.0/16"] in ([], [None])
+    with pytest.raises(Exception, match="cannot unmarshal"):
+        decode_offsets(nets.where("record_offset is not null"), "record_offset", path, "struct<ip:long>").collect()
+
+
+def test_written_databases(spark, tmp_path):
+    data = [(f"10.{k // 256}.{k % 256}.0/24", {"name": "n%d" % (k % 7), "again": "n%d" % (k % 7) + "-long", "n": k % 5, "list": ["n%d-long" % (k % 7)]}) for k in range(3000)]
+    df = spark.createDataFrame(data, "network string, record struct<name:string,again:string,n:int,list:array<string>>").repartition(6)
+    for pointers in (False, True):
+        at = write(df, f"file://{tmp_path}/{pointers}.netdb", pointers=pointers, ip_version=6, record_size=32, database_type="Own", description={"de": "ü"}, build_epoch=5)
+        got = read(spark, at, recordSchema="name string, again string, n int, list array<string>")
+        assert {r["network"]: tuple(r["record"]) for r in got.collect()} == {n: tuple(r.values()) for n, r in data}
+        assert read(spark, at, "records").count() == 35
+        m = read(spark, at, "metadata").first()
+        assert (m["database_type"], m["description"], m["build_epoch"], m["ip_version"], m["record_size"]) == ("Own", {"de": "ü"}, 5, 6, 32)
+        assert verify(spark, at).count() == 0
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["False.netdb", "True.netdb"]
+    assert (tmp_path / "True.netdb").stat().st_size < (tmp_path / "False.netdb").stat().st_size
+    empty = write(df.limit(0), str(tmp_path / "none.netdb"), ip_version=4, record_size=24)
+    assert read(spark, empty).count() == 0 and read(spark, empty, includeEmpty=True).count() == 2
+    with pytest.raises(Exception, match="no network of an IPv4"):
+        write(spark.createDataFrame([("2001:db8::/32", (1,))], "network string, record struct<a:int>"), str(tmp_path / "bad.netdb"), ip_version=4)
+    assert not list(tmp_path.glob("bad*"))
+
+
+def test_kinds_that_are_written(spark):
+    import decimal
+
+    row = ("1.0.0.0/8", (3, -4, 5, 2**40, decimal.Decimal(2**63 + 1), decimal.Decimal(2**100), 0.5, 0.25, True, bytearray(b"ab"), "x", None, {"k": 7}))
+    kind = "network string, record struct<a:smallint,b:int,c:int,d:bigint,e:decimal(20,0),f:decimal(38,0),g:float,h:double,i:boolean,j:binary,k:string,l:string,m:map<string,int>>"
+    at = write(spark.createDataFrame([row], kind), place(spark, "kinds"), ip_version=4, record_size=24)
+    fields = [(c, d) for c, d in zip("abcdefghijkm", ["Uint16", "Int32", "Uint32", "Uint64", "Uint64", "Uint128", "Float32", "Float64", "Bool", "Bytes", "String", "Map(1)"], strict=True)]
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField(c, T.StringType(), metadata={"decoder": "shape"}) for c in "abcdefghijklm"])
+    got = read(spark, at, recordSchema=schema.json(), decoders='{"shape": "netlens.functions.decoders:shape"}').first()["record"].asDict()
+    assert got == {**dict(fields), "l": None}
+
+
+def test_pushed_bounds_prune_subtrees(spark):
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    nets = [(f"2001:db8:{k:x}::/48", {"k": w.u32(k)}) for k in range(30_000)]
+    at = publish(spark, w.build(nets, 6, 28), "pushed")
+    assert open_database(at).metadata.node_count < 1 << 16
+    from netlens.sources import netdb
+
+    small, netdb.SMALL = netdb.SMALL, 1
+    try:
+        from netlens.sources.netdb import PushingReader
+        from netlens.sources.scan import Options
+        from pyspark.sql.datasource import GreaterThanOrEqual, IsNotNull, LessThan
+
+        low, high = (int.from_bytes(bytes.fromhex(f"20010db8{k:04x}0000")) << 64 for k in (256, 512))
+        whole, some = PushingReader(at, Options(empty=True), None, 40, {}), PushingReader(at, Options(empty=True), None, 40, {})
+        list(some.pushFilters([GreaterThanOrEqual(("net_start",), low.to_bytes(16)), LessThan(("net_end",), high.to_bytes(16)), IsNotNull(("record_offset",))]))
+        count = lambda r: sum(len(p.nodes) for p in r.partitions())
+        assert count(some) < count(whole) / 20 and not some.options.empty and whole.options.empty
+        seen = [x for p in some.partitions() for b in some.read(p) for x in b.column("network").to_pylist()]
+        assert {f"2001:db8:{k:x}::/48" for k in range(256, 512)} <= set(seen) and len(seen) < 3000
+    finally:
+        netdb.SMALL = small
+
+
+def test_values_in_messages():
+    assert shown({"b": [1, 2.5, True, b"\x01\x02"], "a": "x"}) == "map[a:x b:[1 2.5 true [1 2]]]"
+    assert [shown(x) for x in (100.0, 1e21, 1e20, 0.0001, 0.00001, 42.123456, -0.5, 2**127, [], {})] == ["100", "1e+21", "100000000000000000000", "0.0001", "1e-05", "42.123456", "-0.5", str(2**127), "[]", "map[]"]
+
+
+def test_files_that_are_not_mapped(spark, path, monkeypatch):
+    import mmap
+
+    assert open_database(path, False).metadata == open_database(path).metadata and not isinstance(open_database(path, False).view.obj, mmap.mmap)
+    again = publish(spark, w.build(NETS, 6, 28), "fallback")
+    monkeypatch.setattr(mmap, "mmap", lambda *a, **k: (_ for _ in ()).throw(OSError("no mapping")))
+    assert open_database(again).metadata.node_count > 0
+
+
+def test_records_of_a_large_tree_come_in_parts(spark, path, monkeypatch):
+    from netlens.sources import netdb
+    from netlens.sources.netdb import RecordsReader
+    from netlens.sources.scan import Options
+
+    monkeypatch.setattr(netdb, "SMALL", 1)
+    r = RecordsReader(path, Options(), None, 12, {})
+    parts = r.partitions()
+    got = [x for p in parts for b in r.read(p) for x in b.column("record_offset").to_pylist()]
+    assert len(parts) == 16 and len(got) == len(set(got)) == 6 and got == sorted(got)
