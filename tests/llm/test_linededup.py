@@ -109,3 +109,36 @@ def test_empty_table_and_columns(spark):
     df = spark.createDataFrame([], DOCS)
     out = ld.dedup_lines(df)
     assert out.count() == 0 and out.columns == [*df.columns, *ld.ADDED]
+
+
+def test_query_against_brute_force(spark, tmp_path):
+    """Every column of the registered query over a table with repeats, near repeats, null texts and a null id."""
+    import hashlib
+
+    from netlens.llm.queries import op5_line_dedup
+
+    rng = random.Random(12)
+    base = [" ".join(rng.choices(["alpha", "beta", "gamma", "delta", "épsilon", "zeta"], k=6)) for _ in range(10)]
+    rows = [(d, "\n".join([*(rng.choice(base) + rng.choice(["", "", "x", "yz", "xyz!"]) for _ in range(rng.randrange(5))), "tail", ""])) for d in range(50)]
+    rows += [(60, None), (61, ""), (None, "\n".join(base)), (62, "\n\n \n")]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in op5_line_dedup(spark, str(tmp_path)).collect()}
+    want, texts = brute(rows), dict(rows)
+    place = {}
+    for i, t in rows:
+        for k, line in enumerate((t or "").split("\n") if t else []):
+            if len(line.strip()) >= ld.SHORTEST:
+                place.setdefault(line.strip(), []).append((ld.LAST if i is None else i, k))
+    root = components(sorted(place), lambda a, b: abs(len(a) - len(b)) <= 2 and edits(a, b) <= 2)
+    first = {}
+    for x, at in place.items():
+        first[root[x]] = min([first.get(root[x], (ld.LAST, ld.LAST)), *at])
+    assert set(got) == set(texts)
+    for i, t in texts.items():
+        lines = t.split("\n") if t else []
+        own = ld.LAST if i is None else i
+        gone = [(k, *first[root[x.strip()]]) for k, x in enumerate(lines) if x.strip() in place and first[root[x.strip()]] != (own, k)]
+        r = got[i]
+        assert (r["n_lines"], r["n_dropped"]) == (len(lines), len(gone)), i
+        assert r["dropped"] == ",".join(":".join(map(str, g)) for g in gone), i
+        assert r["text_sha256"] == hashlib.sha256((want[i] or "").encode()).hexdigest(), i

@@ -1,6 +1,7 @@
 import math
 import re
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 from helpers import DOCS, frame
@@ -52,33 +53,56 @@ def test_ordinal_fit_recovers_order():
     assert np.allclose(w, [2, -1, 0], atol=0.25) and np.allclose(t, [0, 1, 2], atol=0.3)
 
 
+def features(text):
+    out = Counter()
+    for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+", (text or "").encode()):
+        word = re.sub(rb"[A-Z]", lambda c: c.group().lower(), m.group())
+        out.update([(0, word), (4, word[:4]), (6, word[:6])])
+    return out
+
+
+@lru_cache(maxsize=None)
+def feature_key(size, part):
+    data = np.frombuffer(part, np.uint8)
+    h = tx.words(data, np.array([0, len(data)]), tx._APART, tx.HEADS)[0]
+    return int(h[[0, *tx.HEADS].index(size)])
+
+
+def plain_score(text, weights, thresholds):
+    """(severity, p_toxic, grade) by the weights of features."""
+    s = sum(weights[feature_key(*f)] * math.log1p(n) for f, n in features(text).items() if feature_key(*f) in weights)
+    above = [1 - 1 / (1 + math.exp(-max(-40, min(40, x - s)))) for x in thresholds]
+    shares = [a - b for a, b in zip([1, *above], [*above, 0], strict=True)]
+    return sum(above), above[0], shares.index(max(shares))
+
+
+def test_query_against_plain_loops(spark, sf_dir):
+    from netlens.llm.queries import op8_ordinal_toxicity
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = tx.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    weights = dict(zip(model.keys.tolist(), model.weights.tolist(), strict=True))
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = op8_ordinal_toxicity(spark, sf_dir).collect()
+    assert len(got) == len(text) and weights
+    for r in got:
+        severity, toxic, grade = plain_score(text[r["doc_id"]], weights, model.thresholds)
+        assert abs(r["severity"] - severity) < 2e-6 and abs(r["p_toxic"] - toxic) < 2e-6 and r["grade"] == grade and r["is_toxic"] == (r["p_toxic"] >= 0.3)
+
+
 def test_scores_are_those_of_plain_loops(spark):
     """A text's score by counting its words and their beginnings one by one."""
     rng = np.random.default_rng(6)
     vocab = ["vile", "scum", "kindly", "Überfall", "a1b2", "ab", "scumbag", "vilest", "kind", "don't"]
     texts = [" ".join(rng.choice(vocab, rng.integers(0, 40))) + rng.choice(["", ".", " - VILE!"]) for _ in range(80)] + ["", None]
 
-    def features(text):
-        out = Counter()
-        for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+", (text or "").encode()):
-            word = re.sub(rb"[A-Z]", lambda c: c.group().lower(), m.group())
-            out.update([(0, word), (4, word[:4]), (6, word[:6])])
-        return out
-
-    def key(size, part):
-        data = np.frombuffer(part, np.uint8)
-        h = tx.words(data, np.array([0, len(data)]), tx._APART, tx.HEADS)[0]
-        return int(h[[0, *tx.HEADS].index(size)])
-
     known = sorted({f for t in texts for f in features(t) if rng.random() < 0.6})
-    table = sorted((key(*f), f) for f in known)
+    table = sorted((feature_key(*f), f) for f in known)
     weights = {f: float(w) for (_, f), w in zip(table, rng.normal(size=len(table)), strict=True)}
     thresholds = np.array([0.2, 0.9, 2.0])
     model = tx.Model(np.array([k for k, _ in table], np.uint64), np.array([weights[f] for _, f in table]), thresholds)
     got = {r["doc_id"]: r for r in tx.score(frame(spark, list(enumerate(texts))), model).collect()}
     for i, t in enumerate(texts):
-        s = sum(weights[f] * math.log1p(n) for f, n in features(t).items() if f in weights)
-        above = [1 - 1 / (1 + math.exp(-(x - s))) for x in thresholds]
-        shares = [a - b for a, b in zip([1, *above], [*above, 0], strict=True)]
-        assert abs(got[i]["severity"] - sum(above)) < 2e-6 and abs(got[i]["p_toxic"] - above[0]) < 2e-6
-        assert got[i]["grade"] == shares.index(max(shares)) and got[i]["is_toxic"] == (above[0] >= 0.3)
+        severity, toxic, grade = plain_score(t, {k: weights[f] for k, f in table}, thresholds)
+        assert abs(got[i]["severity"] - severity) < 2e-6 and abs(got[i]["p_toxic"] - toxic) < 2e-6
+        assert got[i]["grade"] == grade and got[i]["is_toxic"] == (toxic >= 0.3)
