@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+import socket
 from collections.abc import Callable
 
 import numpy as np
@@ -31,18 +32,25 @@ def mask_v4(n: Column, prefix_len: Column | int) -> Column:
     return n.bitwiseAND(F.expr("4294967295L") - (F.pow(F.lit(2.0), F.lit(32) - bits) - 1).cast("long"))
 
 
+def _packed(text: str | None) -> bytes | None:
+    """An address as 4 or 16 bytes, None for anything else; zones are no part of one."""
+    if not text:
+        return None
+    for kind in (socket.AF_INET, socket.AF_INET6) if ":" not in text else (socket.AF_INET6,):
+        try:
+            return socket.inet_pton(kind, text)
+        except (OSError, ValueError):
+            pass
+    return None
+
+
 def parse(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(family, high word, low word); family 0 where the text is no address."""
-    family, hi, lo = np.zeros(len(texts), np.int32), np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.uint64)
-    for k, t in enumerate(texts):
-        try:
-            ip = ipaddress.ip_address(t) if t else None
-        except ValueError:
-            ip = None
-        if ip is not None and not getattr(ip, "scope_id", None):
-            n = int(ip)
-            family[k], hi[k], lo[k] = ip.version, n >> 64, n & (1 << 64) - 1
-    return family, hi, lo
+    raw = [_packed(t) for t in texts]
+    family = np.array([0 if r is None else 4 if len(r) == 4 else 6 for r in raw], np.int32)
+    whole = b"".join(bytes(16) if r is None else bytes(12) + r if len(r) == 4 else r for r in raw)
+    words = np.frombuffer(whole, ">u8").astype(np.uint64).reshape(-1, 2)
+    return family, words[:, 0], words[:, 1]
 
 
 def v4_text(n: int) -> str:
@@ -50,7 +58,9 @@ def v4_text(n: int) -> str:
 
 
 def v6_text(hi: int, lo: int) -> str:
-    return str(ipaddress.IPv6Address(hi << 64 | lo))
+    if not hi and not lo >> 32:  # the system's text of these has dots
+        return str(ipaddress.IPv6Address(lo))
+    return socket.inet_ntop(socket.AF_INET6, hi.to_bytes(8) + lo.to_bytes(8))
 
 
 def network_text(hi: int, lo: int, depth: int, v4: bool, v4_depth: int) -> str:

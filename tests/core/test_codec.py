@@ -456,3 +456,27 @@ def test_pieces_of_a_scan_are_the_scan(monkeypatch):
         assert len(pieces) > 1
         for f in ("pointer", "hi", "lo", "depth"):
             assert (sc.np.concatenate([getattr(x, f) for x in pieces]) == getattr(whole, f)).all()
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.text("0123456789abfF:.%xé \0", max_size=24) | st.ip_addresses().map(str) | st.lists(st.sampled_from(["0", "1", "ffff", "", "10", "1.2.3.4", "00001", "g", "255", "256", "01"]), max_size=9).flatmap(lambda x: st.sampled_from([":".join(x), ".".join(x)])))
+def test_addresses_are_read_as_the_library_reads_them(text):
+    from netlens.functions.ipfns import parse
+
+    family, hi, lo = parse([text])
+    try:
+        ip = ipaddress.ip_address(text)
+    except ValueError:
+        ip = None
+    if ip is None or "%" in text:
+        assert family[0] == 0
+    else:
+        assert (family[0], int(hi[0]) << 64 | int(lo[0])) == (ip.version, int(ip))
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.integers(0, 2**128 - 1) | st.lists(st.sampled_from([0, 0, 1, 0xFFFF, 0x2001]), min_size=8, max_size=8).map(lambda g: sum(x << 16 * k for k, x in enumerate(g))) | st.integers(0, 2**48))
+def test_texts_of_addresses_are_the_library_s(n):
+    from netlens.functions.ipfns import v6_text
+
+    assert v6_text(n >> 64, n & 2**64 - 1) == str(ipaddress.IPv6Address(n))
