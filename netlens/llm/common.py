@@ -25,12 +25,15 @@ class Scratch:
         self.paths.append(out)
         return out
 
-    def cut(self, df: DataFrame, name: str, small: bool = False) -> DataFrame:
+    def cut(self, df: DataFrame, name: str, small: bool = False, of_many: bool = False) -> DataFrame:
         """The table written and read again. small: a table of ids behind a shuffle; it goes to no more files than
-        twice the cluster's cores, as every file costs a process and a listing."""
+        twice the cluster's cores, as every file costs a process and a listing. of_many: a small one that is made of
+        very many rows; it is dealt anew first, so that few files don't mean few tasks that read those."""
         out = self.path(name)
+        if of_many:
+            df = df.hint("rebalance")
         if small:
-            df = df.coalesce(max(40, 2 * self.spark.sparkContext.defaultParallelism))
+            df = df.coalesce(max(16, 2 * self.spark.sparkContext.defaultParallelism))
         schema = df.schema
         df.write.parquet(out)
         return self.spark.read.schema(schema).parquet(out)

@@ -250,9 +250,9 @@ def line_links(keyed: DataFrame, firsts: DataFrame, s: Scratch, shortest: int) -
     texts = keyed.select("text")
     posts = texts.mapInArrow(_postings(shortest, False), "key long, h long, own boolean")
     keys = posts.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.max("own").alias("own")).where("low < high and own")
-    keys = s.cut(keys.select("key"), "keys", True)
+    keys = s.cut(keys.select("key"), "keys", True, True)
     posts = texts.mapInArrow(_postings(shortest, True), "key long, h long, sig long, size int")
-    lists = s.cut(posts.join(bounded(keys), "key").distinct(), "lists", True)
+    lists = s.cut(posts.join(bounded(keys), "key").distinct(), "lists")
     # Lists of the same lines, by their number and a sum of hashes, are compared once.
     looks = lists.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("h")).alias("x"), F.min("h").alias("low"))
     looks = looks.groupBy("m", "x", "low").agg(F.min("key").alias("key"))
@@ -290,7 +290,7 @@ def dedup_lines(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     keyed = _keyed(docs)
     places = s.cut(keyed.mapInArrow(_places(shortest), "_d long, _t long, at int, h long"), "places")
     firsts = places.groupBy("h").agg(F.min(F.struct("_d", "at", "_t")).alias("first"), F.count("*").alias("n"))
-    firsts = s.cut(firsts, "firsts", True)
+    firsts = s.cut(firsts, "firsts")
     classes = connected_components(line_links(keyed, firsts, s, shortest), s)
     named = s.cut(firsts.join(classes.toDF("h", "root"), "h"), "named", True)
     head = named.groupBy("root").agg(F.min("first").alias("head"))

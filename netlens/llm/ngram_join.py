@@ -152,7 +152,7 @@ def candidate_edges(some: DataFrame, reps: DataFrame, num: int, den: int, s: Scr
     """(a, b): edges whose components are the candidate groups."""
     posts = some.select("node", "n", F.explode("keys").alias("key"))
     keys = posts.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    lists = s.cut(posts.join(bounded(s.cut(keys.select("key"), "keys", True)), "key").distinct(), "lists", True)
+    lists = s.cut(posts.join(bounded(s.cut(keys.select("key"), "keys", True, True)), "key").distinct(), "lists")
     # Lists of the same rows, by their number and a sum of hashes, are compared once.
     looks = lists.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("low"), F.sum("n").alias("load"))
     looks = looks.groupBy("m", "x", "low", "load").agg(F.min("key").alias("key"))
@@ -268,7 +268,7 @@ def ngram_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (
     some = rows.where("n > 0")
     # The least row of a set by (doc_id, text_hash), null ids last.
     rep = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    reps = s.cut(some.groupBy("node").agg(F.min(rep).alias("rep"), F.max("n").alias("n"), F.first("marks").alias("marks")), "reps", True)
+    reps = s.cut(some.groupBy("node").agg(F.min(rep).alias("rep"), F.max("n").alias("n"), F.first("marks").alias("marks")), "reps")
     edges = candidate_edges(some, reps, num, den, s)
     groups = connected_components(edges, s)
     members = groups.select("node", F.col("root").alias("grp")).join(reps.select("node", "rep", "n"), "node")

@@ -160,7 +160,7 @@ def disclosing(held: DataFrame, words: DataFrame, docs: DataFrame, s: Scratch, t
     """(class, term, ratio): terms whose PMI with the entities of a class reaches the threshold of their information
     content. held(key, class, n_entity, copies) of the texts with entities, each once, copies the documents that have the
     text; words(key, term) of the same texts, repeated or not; docs(doc_id, _h, text) are all rows."""
-    known = s.cut(words.select("term").distinct(), "terms", True)
+    known = s.cut(words.select("term").distinct(), "terms", True, True)
     n = max(docs.select("doc_id", "_h").distinct().count(), 1)
     once = docs.dropDuplicates(["doc_id", "_h"]) if docs.count() > n else docs  # texts are shuffled only where rows repeat
     terms = once.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{M}]+"))).alias("term"))
@@ -171,7 +171,7 @@ def disclosing(held: DataFrame, words: DataFrame, docs: DataFrame, s: Scratch, t
     # n_both is n_entity at most, so a term of more documents than this reaches the threshold with no entity of n_entity.
     most = lambda e: F.pow(F.lit(float(n)), F.lit(1 - threshold)) * F.pow(e, F.lit(threshold)) * (1 + 1e-6)
     top = held.agg(F.max("n_entity")).first()[0] or 0
-    rare = s.cut(n_term.where(F.col("n_term") <= most(F.lit(float(top)))), "rare", True)
+    rare = s.cut(n_term.where(F.col("n_term") <= most(F.lit(float(top)))), "rare", True, True)
     pairs = words.join(bounded(rare), "term").distinct().join(held, "key").where(F.col("n_term") <= most(F.col("n_entity")))
     pairs = pairs.groupBy("class", "term").agg(F.sum("copies").alias("n_both"), F.max("n_entity").alias("n_entity"), F.max("n_term").alias("n_term"))
     pmi = F.log(F.lit(float(n)) * F.col("n_both") / (F.col("n_entity") * F.greatest("n_term", "n_both")))
