@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netlens.llm.common import Scratch, aside
+from netlens.llm.common import Scratch, aside, bounded
 
 WEIGHTS, CAP, SEED = (5, 2, 1), 3, 20240607
 ADDED = ("_size", "_source_size", "_target", "_whole", "_part")
@@ -69,9 +69,9 @@ def _mix(rows: DataFrame, names: dict[str, str], weights: tuple[int, ...], cap:
         F.col("rest").alias("_rest"), F.col("e._bucket").alias("_edge"), F.col("e.before").alias("_before"),
     )
     facts = s.finish(facts)
-    # One row per source; Spark broadcasts it if its size allows. Words are counted once in what is not on the edge, and
+    # One row per source, broadcast if its size allows. Words are counted once in what is not on the edge, and
     # on the edge of those documents only that are.
-    both = keyed.join(facts, source.eqNullSafe(F.col("_s")))
+    both = keyed.join(bounded(facts), source.eqNullSafe(F.col("_s")))
     inside = Window.partitionBy("_s").orderBy("_order", names["doc_id"]).rowsBetween(Window.unboundedPreceding, -1)
     sure = both.where("_bucket <> _edge").withColumn("_size", size).withColumn("_part", F.when(F.col("_bucket") < F.col("_edge"), F.col("_size")).otherwise(F.lit(0)).cast("long"))
     near = both.where("_bucket = _edge").withColumn("_size", size).withColumn("_taken", F.coalesce(F.sum("_size").over(inside), F.lit(0)) + F.col("_before"))
