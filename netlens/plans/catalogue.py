@@ -22,7 +22,7 @@ from netlens.codec import Database
 from netlens.functions.paths import decode_path
 from netlens.functions.values import decode_value, error_at, is_container, kind_at
 from netlens.kinds import NetDbError
-from netlens.operators.lookup import decode_offsets, lookup, lookup_join, lookup_tree, networks_for_lookup, with_records
+from netlens.operators.lookup import decode_offsets, lookup, lookup_join, networks_for_lookup, with_records
 from netlens.operators.verify import verify
 from netlens.plans.session import configure, register_functions
 from netlens.reader import NetDb
