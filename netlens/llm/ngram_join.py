@@ -273,12 +273,8 @@ def ngram_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (
     groups = connected_components(edges, s)
     members = groups.select("node", F.col("root").alias("grp")).join(reps.select("node", "rep", "n"), "node")
     load = members.groupBy("grp").agg(F.greatest(F.ceil(F.sum("n") / BLOCK).cast("int"), blocks_of(F.count("*"), ROWS)).alias("blocks"))
-    members = s.cut(
-        members.join(load, "grp")
-        .select("node", F.col("rep.doc_id").alias("rep"), F.col("rep.text_hash").alias("rep_hash"), "grp", "blocks"),
-        "members",
-        True,
-    )
+    members = members.join(load, "grp").select("node", F.col("rep.doc_id").alias("rep"), F.col("rep.text_hash").alias("rep_hash"), "grp", "blocks")
+    members = s.cut(members, "members", True)
     same = hashed["doc_id"].eqNullSafe(F.col("rep")) & (hashed["text_hash"] == F.col("rep_hash"))
     got = hashed.join(bounded(members), same).select("node", "grp", "blocks", "text").mapInArrow(_sets(k), "node long, grp long, blocks int, hashes binary")
     links = dealt(got, "grp").mapInArrow(_multiply(num, den), "a long, b long")
