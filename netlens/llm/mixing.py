@@ -69,12 +69,14 @@ def _mix(rows: DataFrame, names: dict[str, str], weights: tuple[int, ...], cap:
         F.col("rest").alias("_rest"), F.col("e._bucket").alias("_edge"), F.col("e.before").alias("_before"),
     )
     facts = s.finish(facts)
-    # One row per source, broadcast if its size allows. Words are counted once in what is not on the edge, and
-    # on the edge of those documents only that are.
-    both = keyed.join(bounded(facts), source.eqNullSafe(F.col("_s")))
+    # One row per source, broadcast if its size allows. Words are counted below the join, where no later step counts them
+    # again; of the documents on the edge only, above the filter that picks them.
+    facts, same = bounded(facts), source.eqNullSafe(F.col("_s"))
+    sure = keyed.withColumn("_size", size).join(facts, same).where("_bucket <> _edge")
+    sure = sure.withColumn("_part", F.when(F.col("_bucket") < F.col("_edge"), F.col("_size")).otherwise(F.lit(0)).cast("long"))
     inside = Window.partitionBy("_s").orderBy("_order", names["doc_id"]).rowsBetween(Window.unboundedPreceding, -1)
-    sure = both.where("_bucket <> _edge").withColumn("_size", size).withColumn("_part", F.when(F.col("_bucket") < F.col("_edge"), F.col("_size")).otherwise(F.lit(0)).cast("long"))
-    near = both.where("_bucket = _edge").withColumn("_size", size).withColumn("_taken", F.coalesce(F.sum("_size").over(inside), F.lit(0)) + F.col("_before"))
+    near = keyed.join(facts, same).where("_bucket = _edge").withColumn("_size", size)
+    near = near.withColumn("_taken", F.coalesce(F.sum("_size").over(inside), F.lit(0)) + F.col("_before"))
     near = near.withColumn("_part", F.greatest(F.lit(0), F.least("_size", F.col("_rest") - F.col("_taken"))).cast("long")).drop("_taken")
     return sure.unionByName(near).select(*rows.columns, *ADDED)
 
