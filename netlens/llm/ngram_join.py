@@ -137,8 +137,8 @@ def _meet(num: int, den: int):
 
 
 def blocks_of(count: Column, most: int) -> Column:
-    """Blocks for so many rows: of `most` rows, and up to four smaller ones, so that a middling list isn't one task's."""
-    return F.greatest(F.ceil(count / most), F.least(F.lit(4), F.ceil(count * 4 / most))).cast("int")
+    """Blocks of `most` rows."""
+    return F.ceil(count / most).cast("int")
 
 
 def dealt(rows: DataFrame, by: str, node: str = "node", *also: str) -> DataFrame:
