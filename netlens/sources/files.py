@@ -18,7 +18,8 @@ from netlens.codec import Database
 from netlens.kinds import InvalidDatabaseError
 
 _OPEN: OrderedDict[tuple, Database] = OrderedDict()
-_KEEP = 8
+#: How many databases a process keeps open, and of how many bytes of trees, if there is more than one.
+_KEEP, _KEEP_BYTES = 8, 1 << 26
 _OWN: list[str] = []
 
 
@@ -57,7 +58,7 @@ def open_database(path: str, mapped: bool = True) -> Database:
                 data = f.read()
         _OPEN[key] = Database(data)
     _OPEN.move_to_end(key)
-    while len(_OPEN) > _KEEP:
+    while len(_OPEN) > _KEEP or len(_OPEN) > 1 and sum(d.tree_bytes for d in _OPEN.values()) > _KEEP_BYTES:
         _OPEN.popitem(last=False)
     return _OPEN[key]
 

@@ -24,20 +24,22 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, IsNotNull, LessThan, LessThanOrEqual, WriterCommitMessage
 
 from netlens import writer as w
 from netlens.kinds import InvalidDatabaseError
 from netlens.sources.files import open_database
-from netlens.sources.scan import NETWORK_COLUMNS, Leaves, Options, Records, arrow_type, as_dicts, data_values, leaves, scan, split, start_nodes
+from netlens.sources.scan import BATCH, NETWORK_COLUMNS, Leaves, Options, Records, data_values, leaves, record_array, scan, split, start_nodes
 
 METADATA = (
     "binary_format_major_version int, binary_format_minor_version int, build_epoch decimal(20,0), build_time timestamp, database_type string, "
     "description map<string,string>, ip_version int, languages array<string>, node_count long, record_size int, "
     "search_tree_bytes long, data_section_bytes long, ipv4_start long, ipv4_start_bit_depth int"
 )
-SMALL = 1 << 16
+#: Nodes of a tree from which on it is read by several tasks, and the most tasks.
+SMALL, MOST = 1 << 13, 256
 
 
 def ddl(text: str) -> T.StructType:
@@ -150,12 +152,16 @@ class NetworksReader(DataSourceReader):
             start = start_nodes(db, self.options.within)
         except ValueError as e:
             raise InvalidDatabaseError(str(e)) from e
-        whole = [start] if db.metadata.node_count < SMALL else split(db, start, self.options, self.levels)
-        nodes = [(int(p.pointer[0]), int(p.hi[0]), int(p.lo[0]), int(p.depth[0])) for p in whole]
+        whole, weights = (start, np.ones(1, np.int64)) if db.metadata.node_count < SMALL else split(db, start, self.options, self.levels, MOST)
+        nodes = list(zip(*(x.tolist() for x in (whole.pointer, whole.hi, whole.lo, whole.depth)), strict=True))
         if (self.low, self.high, self.first, self.last) != (0, (1 << 32) - 1, 0, (1 << 128) - 1):
-            nodes = [p for p in nodes if self._meets(p, db.v4_depth)]
-        size = max(1, len(nodes) // 256)
-        return [Part(nodes[k : k + size]) for k in range(0, len(nodes), size)] or [Part([])]
+            keep = [self._meets(p, db.v4_depth) for p in nodes]
+            nodes, weights = [p for p, k in zip(nodes, keep, strict=True) if k], weights[keep]
+        total = int(weights.sum())
+        tasks = min(MOST, -(-total // BATCH))
+        share = (np.cumsum(weights) - weights) * tasks // max(1, total)
+        ends = [0, *(np.flatnonzero(np.diff(share)) + 1).tolist(), len(nodes)]
+        return [Part(nodes[a:b]) for a, b in zip(ends, ends[1:], strict=False) if a < b] or [Part([])]
 
     def _meets(self, node: tuple[int, int, int, int], v4_depth: int) -> bool:
         """Whether a subtree can hold networks that the pushed bounds let through."""
@@ -170,9 +176,9 @@ class NetworksReader(DataSourceReader):
 
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
         db = self.database()
-        for p, hi, lo, depth in partition.nodes:
-            start = Leaves(np.array([p]), np.array([hi], np.uint64), np.array([lo], np.uint64), np.array([depth]))
-            yield from scan(db, start, self.options, self.record, self.decoders())
+        if partition.nodes:
+            pointer, hi, lo, depth = (np.array(x, t) for x, t in zip(zip(*partition.nodes, strict=True), (np.int64, np.uint64, np.uint64, np.int64), strict=True))
+            yield from scan(db, Leaves(pointer, hi, lo, depth), self.options, self.record, self.decoders())
 
 
 class PushingReader(NetworksReader):
@@ -214,12 +220,9 @@ class RecordsReader(NetworksReader):
             for _, wrong in got:
                 if wrong and not self.options.permissive:
                     raise InvalidDatabaseError(wrong)
-            if isinstance(self.record, T.VariantType):
-                yield from ((x, wrong, v) for x, (v, wrong) in zip(part, got, strict=True))
-                continue
             cols, names = [pa.array(part, pa.int64()), pa.array([w for _, w in got], pa.string())], ["record_offset", "error"]
             if self.record is not None:
-                cols.append(pa.array([as_dicts(v, self.record) for v, _ in got], arrow_type(self.record)))
+                cols.append(record_array([v for v, _ in got], self.record))
                 names.append("record")
             yield pa.RecordBatch.from_arrays(cols, names)
 
@@ -251,17 +254,18 @@ class DataReader(MetadataReader):
 
 @dataclass
 class Staged(WriterCommitMessage):
-    """The files of one task: its networks and its records."""
+    """The files of one task: its networks, its records, and how long and what hash each record is."""
 
     networks: str
     records: str
+    lengths: str
 
 
 class NetDbWriter(DataSourceArrowWriter):
     """Tasks parse networks and encode records, each distinct record of a task once, into Arrow files beside the target.
-    At commit the records are appended one after the other, equal ones once, and the tree is laid out over arrays of some
-    thirty bytes a network; so the driver holds the index of the file, never its records or rows. What a task that ran
-    again left behind is not in any message and goes with the folder."""
+    At commit the records are appended one after the other, equal ones once, and the tree is laid out, all over arrays: of
+    some hundred bytes a network, and a batch of records at a time. So the driver holds the index of the file, never its
+    records or rows. What a task that ran again left behind is not in any message and goes with the folder."""
 
     def __init__(self, path: str, schema: T.StructType, head: dict, aliases: bool, pointers: bool):
         self.path, self.kind, self.head, self.aliases, self.pointers = path, schema["record"].dataType, head, aliases, pointers
@@ -278,68 +282,120 @@ class NetDbWriter(DataSourceArrowWriter):
         fs, root = self._open(self.folder)
         fs.create_dir(root, recursive=True)
         name = uuid.uuid4().hex
-        nets_schema = pa.schema([("hi", pa.uint64()), ("lo", pa.uint64()), ("depth", pa.int64()), ("key", pa.binary(16))])
-        body_schema = pa.schema([("key", pa.binary(16)), ("body", pa.binary()), ("fixes", pa.list_(pa.int32()))])
-        seen: set[bytes] = set()
-        with fs.open_output_stream(f"{root}/{name}-n") as fn, fs.open_output_stream(f"{root}/{name}-r") as fr, pa.ipc.new_stream(fn, nets_schema) as nets, pa.ipc.new_stream(fr, body_schema) as bodies:
+        schemas = (
+            pa.schema([("hi", pa.uint64()), ("lo", pa.uint64()), ("depth", pa.uint8()), ("record", pa.int64()), ("place", pa.int64())]),
+            pa.schema([("body", pa.binary()), ("fixes", pa.list_(pa.int32()))]),
+            pa.schema([("key", pa.binary(16)), ("length", pa.int64())]),
+        )
+        seen: dict[bytes, int] = {}
+        count = 0
+        with contextlib.ExitStack() as open_:
+            streams = [open_.enter_context(fs.open_output_stream(f"{root}/{name}-{x}")) for x in "nrl"]
+            nets, bodies, lengths = (open_.enter_context(pa.ipc.new_stream(f, schema)) for f, schema in zip(streams, schemas, strict=True))
             for b in iterator:
-                keys, new = [], ([], [], [])
+                records, new = [], ([], [], [])
                 for value in b.column(self.at.index("record")).to_pylist():
                     e = w.Encoder(self.pointers, True)
                     e.put(w.typed(value, self.kind))
                     key = hashlib.md5(e.out, usedforsecurity=False).digest()
-                    keys.append(key)
-                    if key not in seen:
+                    at = seen.get(key)
+                    if at is None:
                         if len(seen) >= 1 << 18:  # what a task remembers is bounded; equal records meet again at commit
                             seen.clear()
-                        seen.add(key)
+                        at = seen[key] = count
+                        count += 1
                         for to, v in zip(new, (key, bytes(e.out), e.fixes), strict=True):
                             to.append(v)
+                    records.append(at)
                 hi, lo, depth = w.network_words(b.column(self.at.index("network")).to_pylist(), self.head.get("ip_version", 6))
-                nets.write_batch(pa.record_batch([pa.array(hi), pa.array(lo), pa.array(depth), pa.array(keys, pa.binary(16))], schema=nets_schema))
-                bodies.write_batch(pa.record_batch([pa.array(new[0], pa.binary(16)), pa.array(new[1], pa.binary()), pa.array(new[2], pa.list_(pa.int32()))], schema=body_schema))
-        return Staged(f"{self.folder}/{name}-n", f"{self.folder}/{name}-r")
+                place = b.column(self.at.index("place")) if "place" in self.at else pa.nulls(len(hi), pa.int64())
+                nets.write_batch(pa.record_batch([pa.array(hi), pa.array(lo), pa.array(depth.astype(np.uint8)), pa.array(records, pa.int64()), place], schema=schemas[0]))
+                bodies.write_batch(pa.record_batch([pa.array(new[1], pa.binary()), pa.array(new[2], pa.list_(pa.int32()))], schema=schemas[1]))
+                lengths.write_batch(pa.record_batch([pa.array(new[0], pa.binary(16)), pa.array([len(x) for x in new[1]], pa.int64())], schema=schemas[2]))
+        return Staged(*(f"{self.folder}/{name}-{x}" for x in "nrl"))
 
     def _batches(self, uri: str) -> Iterator[pa.RecordBatch]:
         fs, name = self._open(uri)
         with fs.open_input_stream(name) as f:
             yield from pa.ipc.open_stream(f)
 
+    def _offsets(self, staged: list[Staged]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """Of the records of all tasks, one after the other: where each lies in the data section, whether it is the first of
+        its equals, and where each task's begin."""
+        keys, lengths, begin = [np.zeros((0, 2), np.uint64)], [np.zeros(0, np.int64)], [0]
+        for m in staged:
+            for b in self._batches(m.lengths):
+                keys.append(np.frombuffer(b.column(0).buffers()[1], np.uint64, 2 * len(b), 16 * b.column(0).offset).reshape(-1, 2))
+                lengths.append(b.column(1).to_numpy())
+            begin.append(sum(map(len, lengths)))
+        key, length = np.concatenate(keys), np.concatenate(lengths)
+        del keys
+        order = np.lexsort((key[:, 1], key[:, 0]))  # stable, so the first of equal records comes first
+        new = np.ones(len(order), bool)
+        new[1:] = (key[order[1:]] != key[order[:-1]]).any(1)
+        del key
+        first = np.zeros(len(order), bool)
+        first[order[new]] = True
+        length[~first] = 0
+        offset = np.cumsum(length) - length
+        offset[order] = offset[order[new]][np.cumsum(new) - 1]
+        return offset, first, begin
+
+    def _bodies(self, b: pa.RecordBatch, offset: np.ndarray, first: np.ndarray) -> bytes:
+        """The records of a batch that are to be stored, with their pointers moved to where they come to lie."""
+        b, offset = b.filter(pa.array(first)), offset[first]
+        if not len(b):
+            return b""
+        body, fixes = b.column(0), b.column(1)
+        start = np.frombuffer(body.buffers()[1], np.int32, len(b) + 1, 4 * body.offset).astype(np.int64)
+        data = np.frombuffer(body.buffers()[2], np.uint8)[start[0] : start[-1]].copy()
+        at = fixes.flatten().to_numpy().astype(np.int64)
+        if len(at):
+            of = np.repeat(np.arange(len(b)), fixes.value_lengths().to_numpy())
+            at += start[of] - start[0]
+            target = offset[of]
+            for k in range(4):
+                target = target + (data[at + k].astype(np.int64) << 24 - 8 * k)
+            if int(target.max()) >> 32:
+                raise ValueError("pointers are too short for this database")
+            for k in range(4):
+                data[at + k] = target >> 24 - 8 * k & 255
+        return data.tobytes()
+
+    def _tree(self, staged: list[Staged], offset: np.ndarray, begin: list[int]) -> np.ndarray:
+        cols: list[list[np.ndarray]] = [[np.zeros(0, t)] for t in (np.uint64, np.uint64, np.uint8, np.int64, np.int64)]
+        for m, base in zip(staged, begin, strict=False):
+            for b in self._batches(m.networks):
+                for k in range(3):
+                    cols[k].append(b.column(k).to_numpy())
+                cols[3].append(offset[b.column(3).to_numpy() + base])
+                if not b.column(4).null_count:
+                    cols[4].append(b.column(4).to_numpy())
+        hi, lo, depth, at, place = (np.concatenate(c) for c in cols)
+        del cols
+        if len(place) == len(hi):  # of equal networks the last row counts, in any order of tasks
+            order = np.argsort(place, kind="stable")
+            hi, lo, depth, at = hi[order], lo[order], depth[order], at[order]
+        return w.layout(hi, lo, depth, at, self.head.get("ip_version", 6), self.aliases)
+
     def commit(self, messages: list[Staged | None]) -> None:
         fs, target = self._open(self.path)
         staged = [m for m in messages if m is not None]
-        offsets, size = {}, 0
         root = self._open(self.folder)[1]
         fs.create_dir(root, recursive=True)
-        with fs.open_output_stream(f"{root}/data") as data:
-            for m in staged:
-                for b in self._batches(m.records):
-                    for key, body, fixes in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                        if key not in offsets:
-                            if fixes:
-                                body = bytearray(body)
-                                for at in fixes:
-                                    body[at : at + 4] = (int.from_bytes(body[at : at + 4]) + size).to_bytes(4)
-                            offsets[key] = size
-                            data.write(bytes(body))
-                            size += len(body)
-        cols: list[list[np.ndarray]] = [[], [], [], []]
-        for m in staged:
-            for b in self._batches(m.networks):
-                for to, c in zip(cols, range(3), strict=False):
-                    to.append(b.column(c).to_numpy())
-                cols[3].append(np.array([offsets[k] for k in b.column(3).to_pylist()], np.int64))
-        kinds = (np.uint64, np.uint64, np.int64, np.int64)
-        hi, lo, depth, offset = (np.concatenate(c) if c else np.zeros(0, t) for c, t in zip(cols, kinds, strict=True))
-        order = np.lexsort((offset, depth, lo, hi))  # of equal networks the record that was stored last counts, in any order of tasks
-        tree = w.layout(hi[order], lo[order], depth[order], offset[order], self.head.get("ip_version", 6), self.aliases)
+        offset, first, begin = self._offsets(staged)
+        tree = self._tree(staged, offset, begin)
+        nodes = len(tree)
         with fs.open_output_stream(f"{root}/whole") as out:
-            out.write(w.pack(tree, self.head.get("record_size", 28)))
+            for lo in range(0, nodes, 1 << 20):
+                out.write(w.pack(tree[lo : lo + (1 << 20)], self.head.get("record_size", 28)))
+            del tree
             out.write(bytes(16))
-            with fs.open_input_stream(f"{root}/data") as data:
-                while part := data.read(1 << 22):
-                    out.write(part)
-            out.write(w.head(len(tree), **self.head))
+            for m, at in zip(staged, begin, strict=False):
+                for b in self._batches(m.records):
+                    out.write(self._bodies(b, offset[at : at + len(b)], first[at : at + len(b)]))
+                    at += len(b)
+            out.write(w.head(nodes, **self.head))
         fs.move(f"{root}/whole", target)
         fs.delete_dir(root)
 
@@ -351,9 +407,11 @@ class NetDbWriter(DataSourceArrowWriter):
 
 def write(df: DataFrame, path: str, aliases: bool = True, pointers: bool = False, **head: object) -> str:
     """A database at path of the rows network (text), record (any type that typed() of the writer takes). head: metadata
-    as ip_version, record_size, database_type, description, languages, build_epoch. Networks that repeat keep one record."""
+    as ip_version, record_size, database_type, description, languages, build_epoch. Of networks that repeat the last row
+    counts. A table of one file may come as one task, so the rows are dealt anew to be encoded."""
     register(df.sparkSession)
-    out = df.select("network", "record").write.format("netdb").option("head", json.dumps(head)).option("aliases", str(aliases).lower()).option("pointers", str(pointers).lower())
+    rows = df.select("network", "record", F.monotonically_increasing_id().alias("place")).repartition("network", "place")
+    out = rows.write.format("netdb").option("head", json.dumps(head)).option("aliases", str(aliases).lower()).option("pointers", str(pointers).lower())
     out.mode("overwrite").save(path)
     return path
 

@@ -83,11 +83,54 @@ def start_nodes(db: Database, within: str | None) -> Leaves:
     return Leaves(node, u(n >> 64), u(n & (1 << 64) - 1), depth)
 
 
-def split(db: Database, start: Leaves, options: Options, levels: int) -> list[Leaves]:
-    """Subtrees `levels` below the start, in address order, leaves on the way among them."""
-    depth = int(start.depth[0])
-    parts = Leaves(*db.expand(start.pointer, start.hi, start.lo, depth, options.aliased, min(128, depth + levels))).ordered()
-    return [parts.take(np.array([k])) for k in range(len(parts))]
+def split(db: Database, start: Leaves, options: Options, levels: int, most: int = 256) -> tuple[Leaves, np.ndarray]:
+    """Subtrees `levels` below the start, in address order, leaves on the way among them, and how many leaves each has.
+    Those with more than an equal share of the whole for `most` tasks are split on, wherever in the tree networks crowd."""
+    done, count, share = [], [], 0
+    now = Leaves(*db.expand(start.pointer, start.hi, start.lo, int(start.depth[0]), options.aliased, min(128, int(start.depth[0]) + levels)))
+    while len(now):
+        n = np.ones(len(now), np.int64)
+        depth = int(now.depth.max())
+        open_ = np.flatnonzero((now.pointer < db.metadata.node_count) & (now.depth == depth)) if depth < 128 else np.zeros(0, np.int64)
+        n[open_] = leaf_counts(db, now.take(open_), options)
+        share = share or max(BATCH, int(n.sum()) // most)
+        heavy = open_[n[open_] > share]
+        light = np.delete(np.arange(len(now)), heavy)
+        done.append(now.take(light))
+        count.append(n[light])
+        now = now.take(heavy)
+        if len(now):
+            now = Leaves(*db.expand(now.pointer, now.hi, now.lo, depth, options.aliased, min(128, depth + 6)))
+    parts = Leaves(*(np.concatenate([getattr(x, f) for x in done]) for f in ("pointer", "hi", "lo", "depth"))) if done else now
+    weights = np.concatenate(count) if count else np.zeros(0, np.int64)
+    order = np.lexsort((parts.depth, parts.lo, parts.hi))
+    if not options.empty:
+        order = order[parts.pointer[order] != db.metadata.node_count]
+    return parts.take(order), weights[order]
+
+
+def leaf_counts(db: Database, start: Leaves, options: Options) -> np.ndarray:
+    """How many leaves lie below each of some nodes of one depth. Only weighs tasks, so a tree that is wider than its nodes
+    allow, which is corrupt, is not followed to its end."""
+    out = np.zeros(len(start), np.int64)
+    left, right = db.tree
+    n, skip = db.metadata.node_count, bool(not options.aliased and db.v4_start)
+    node, hi, lo, of = start.pointer, start.hi, start.lo, np.arange(len(start))
+    for depth in range(int(start.depth[0]) if len(start) else 128, 129):
+        if skip:
+            keep = (node != db.v4_start) | ((hi == 0) & (lo >> np.uint64(32) == 0)) | (node == n)
+            node, hi, lo, of = node[keep], hi[keep], lo[keep], of[keep]
+        open_ = node < n if depth < 128 else np.zeros(len(node), bool)
+        out += np.bincount(of[~open_ & ((node != n) | options.empty)], minlength=len(out))
+        node, of = node[open_], of[open_]
+        if not len(node) or len(node) > 4 * n:
+            break
+        if skip:
+            hi, lo, bit = hi[open_], lo[open_], np.uint64(1 << (63 - depth % 64))
+            rh, rl = (hi | bit, lo) if depth < 64 else (hi, lo | bit)
+            hi, lo = np.concatenate((hi, rh)), np.concatenate((lo, rl))
+        node, of = np.concatenate((left[node], right[node])).astype(np.int64), np.concatenate((of, of))
+    return np.maximum(out, 1)
 
 
 def leaves(db: Database, start: Leaves, options: Options) -> Leaves:
@@ -190,15 +233,31 @@ def as_dicts(value: object, kind) -> object:
         return [as_dicts(v, kind.elementType) for v in value]
     if isinstance(kind, T.MapType):
         return [(k, as_dicts(v, kind.valueType)) for k, v in value.items()]
+    if isinstance(kind, T.VariantType):
+        return {"value": value.value, "metadata": value.metadata}
     return value
 
 
-def scan(db: Database, start: Leaves, options: Options, kind=None, decoders: dict | None = None) -> Iterator[pa.RecordBatch | tuple]:
-    """Batches of the networks view; rows where the record is a VARIANT, which no batch holds."""
-    from pyspark.sql import types as T
+def record_array(values: list, kind) -> pa.Array:
+    """Decoded values of one type as Arrow."""
+    return pa.array([as_dicts(v, kind) for v in values], arrow_type(kind))
+
+
+def subtree_runs(db: Database, nodes: Leaves, options: Options) -> Iterator[Leaves]:
+    """The leaves below nodes of any depths that are given in address order, some nodes at a time."""
+    if len(nodes) == 1:
+        yield from leaf_runs(db, nodes, options)
+        return
+    for lo in range(0, len(nodes), BATCH):
+        some = nodes.take(np.arange(lo, min(lo + BATCH, len(nodes))))
+        found = [leaves(db, some.take(np.flatnonzero(some.depth == d)), options) for d in np.unique(some.depth)]
+        yield Leaves(*(np.concatenate([getattr(x, f) for x in found]) for f in ("pointer", "hi", "lo", "depth"))).ordered()
+
 
-    records, rows_out = Records(db, kind, decoders, options.remember), isinstance(kind, T.VariantType)
-    parts = (found.take(np.arange(lo, min(lo + BATCH, len(found)))) for found in leaf_runs(db, start, options) for lo in range(0, len(found), BATCH))
+def scan(db: Database, start: Leaves, options: Options, kind=None, decoders: dict | None = None) -> Iterator[pa.RecordBatch]:
+    """Batches of the networks view below nodes that are given in address order."""
+    records = Records(db, kind, decoders, options.remember)
+    parts = (found.take(np.arange(lo, min(lo + BATCH, len(found)))) for found in subtree_runs(db, start, options) for lo in range(0, len(found), BATCH))
     for part in parts:
         cols, offsets, errors = network_batch(db, part, options)
         keep = np.ones(len(offsets), bool)
@@ -220,12 +279,8 @@ def scan(db: Database, start: Leaves, options: Options, kind=None, decoders: dic
             values.append(value)
         cols["error"] = pa.array(errors, pa.string())
         names, arrays = list(cols), list(cols.values())
-        if rows_out:
-            table = pa.RecordBatch.from_arrays(arrays, names).to_pylist()
-            yield from ((*r.values(), values[k]) for k, r in enumerate(table) if keep[k])
-            continue
         if kind is not None:
-            arrays.append(pa.array([as_dicts(v, kind) for v in values], arrow_type(kind)))
+            arrays.append(record_array(values, kind))
             names.append("record")
         yield pa.RecordBatch.from_arrays(arrays, names).filter(pa.array(keep))
 

@@ -480,3 +480,40 @@ def test_texts_of_addresses_are_the_library_s(n):
     from netlens.functions.ipfns import v6_text
 
     assert v6_text(n >> 64, n & 2**64 - 1) == str(ipaddress.IPv6Address(n))
+
+
+def test_variants_are_those_of_their_json():
+    import json
+    import random
+    import struct
+
+    from pyspark.sql.types import VariantVal
+
+    from netlens.codec import to_json_value, to_variant
+
+    r = random.Random(7)
+    plain = [True, False, 0, 127, 128, -129, 2**31, -(2**31), 2**63 - 1, 2**63, 2**64 - 1, 10**38 - 1, 10**38, 2**128 - 1, 0.0, -0.0, 903.0, 0.05, 1e15, 1e16, 1e-5, 0.0001, float("nan"), -float("inf"), 5e-324, "", "é漢😀\"", "x" * 63, "x" * 64, b"ab"]
+
+    def value(depth):
+        k = r.randrange(12 if depth < 4 else 8)
+        if k < 7:
+            return r.choice(plain)
+        if k == 7:
+            return struct.unpack("<d", r.randbytes(8))[0]
+        size = 300 if r.random() < 0.03 else r.randrange(5)
+        return [value(depth + 1) for _ in range(size)] if k < 10 else {r.choice(["a", "é", "", f"k{r.randrange(400)}"]): value(depth + 1) for _ in range(size)}
+
+    for v in (*plain, *(value(0) for _ in range(1500)), {f"k{k}": k for k in range(70_000)}, ["x" * 70_000, {"b": 1, "a": 2}]):
+        a, b = to_variant(v), VariantVal.parseJson(json.dumps(to_json_value(v)))
+        assert (a.value, a.metadata) == (b.value, b.metadata)
+
+
+def test_variants_come_in_batches():
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    from netlens.sources import scan as sc
+
+    db = Database(w.build([("1.0.0.0/8", {"a": [w.u32(1), 2.5]})], 4, 24))
+    (batch,) = sc.scan(db, sc.start_nodes(db, None), sc.Options(), T.VariantType())
+    assert isinstance(batch, pa.RecordBatch) and set(batch.column("record")[0].as_py()) == {"value", "metadata"}

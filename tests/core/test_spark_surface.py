@@ -261,3 +261,41 @@ def test_records_of_a_large_tree_come_in_parts(spark, path, monkeypatch):
     parts = r.partitions()
     got = [x for p in parts for b in r.read(p) for x in b.column("record_offset").to_pylist()]
     assert len(parts) == 16 and len(got) == len(set(got)) == 6 and got == sorted(got)
+
+
+def test_crowded_networks_are_dealt_out(spark):
+    """Networks in one corner of the tree are read by as many tasks as others, each once and in order."""
+    nets = [(f"40.0.{k >> 8}.{k & 255}/32", {"k": w.u32(k)}) for k in range(20_000)] + [("200.0.0.0/8", {"k": w.u32(1 << 20)})]
+    for version in (4, 6):
+        at = publish(spark, w.build(nets, version, 32), "crowd")
+        df = read(spark, at, recordSchema="k long")
+        sizes = [n for n in df.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+        assert len(sizes) >= 4 and max(sizes) < 3 * 4096
+        assert [r["k"] for r in df.select("record.k").collect()] == [*range(20_000), 1 << 20]
+        for kind, sql in (("long", "record"), ("variant", "CAST(record AS STRING)")):
+            same = read(spark, at, recordSchema="k long") if kind == "long" else read(spark, at, recordAs="variant")
+            assert same.selectExpr("network", f"{sql} AS r").distinct().count() == len(nets)
+        whole = read(spark, at, includeEmpty=True, includeAliased=True).agg(F.count("*"), F.countDistinct("net_start")).first()
+        from netlens.sources.scan import Options, leaves, start_nodes
+
+        every = leaves(open_database(at), start_nodes(open_database(at), None), Options(aliased=True, empty=True))
+        assert whole[0] == whole[1] == len(every)
+
+
+def test_rows_of_one_file_are_encoded_by_several_tasks(spark):
+    rows = spark.range(0, 30_000, 1, 1).select(F.concat_ws(".", F.lit("10"), F.lit("1"), F.shiftright("id", 8).cast("string"), (F.col("id") % 256).cast("string")).alias("network"), F.struct(*(F.sha2(F.concat(F.col("id"), F.lit(k)), 512).alias(k) for k in "abc")).alias("record"))
+    sc = spark.sparkContext
+    sc.setJobGroup("dealt", "")
+    at = write(rows, place(spark, "dealt"), ip_version=4, record_size=32, pointers=True)
+    sc.setJobGroup("rest", "")
+    stages = [sc.statusTracker().getStageInfo(s) for j in sc.statusTracker().getJobIdsForGroup("dealt") for s in sc.statusTracker().getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) > 1
+    got = read(spark, at, recordSchema="a string, b string, c string").selectExpr("network", "struct(record.*) AS record")
+    assert got.join(rows.withColumn("network", F.concat("network", F.lit("/32"))), ["network", "record"]).count() == 30_000
+
+
+def test_of_equal_networks_the_last_row_counts(spark):
+    rows = [("2.0.0.0/8", ("x",)), ("1.0.0.0/8", ("y",)), ("1.0.0.0/8", ("x",)), ("3.0.0.0/8", ("x",)), ("3.0.0.0/8", ("y",))]
+    for n in (1, 3):
+        at = write(spark.createDataFrame(spark.sparkContext.parallelize(rows, n), "network string, record struct<a:string>"), place(spark, "last"), ip_version=4, record_size=24)
+        assert {r["network"]: r["record"]["a"] for r in read(spark, at, recordSchema="a string").collect()} == {"1.0.0.0/8": "x", "2.0.0.0/8": "x", "3.0.0.0/8": "y"}
