@@ -238,9 +238,33 @@ def as_dicts(value: object, kind) -> object:
     return value
 
 
+def _as_arrow(kind):
+    """as_dicts for one type, made once; None where values stay as they are."""
+    from pyspark.sql import types as T
+
+    if isinstance(kind, T.StructType):
+        names, inner = kind.fieldNames(), [(k, f) for k, f in enumerate(map(_as_arrow, (x.dataType for x in kind.fields))) if f]
+
+        def struct(v: tuple | None) -> dict | None:
+            if v is None:
+                return None
+            if inner:
+                v = list(v)
+                for k, f in inner:
+                    v[k] = f(v[k])
+            return dict(zip(names, v, strict=True))
+
+        return struct
+    if isinstance(kind, T.ArrayType):
+        one = _as_arrow(kind.elementType)
+        return one and (lambda v: None if v is None else [one(x) for x in v])
+    return (lambda v: as_dicts(v, kind)) if isinstance(kind, T.MapType | T.VariantType) else None
+
+
 def record_array(values: list, kind) -> pa.Array:
     """Decoded values of one type as Arrow."""
-    return pa.array([as_dicts(v, kind) for v in values], arrow_type(kind))
+    one = _as_arrow(kind)
+    return pa.array([one(v) for v in values] if one else values, arrow_type(kind))
 
 
 def subtree_runs(db: Database, nodes: Leaves, options: Options) -> Iterator[Leaves]:

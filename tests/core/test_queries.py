@@ -48,3 +48,17 @@ def test_entry_without_the_optional_parts(sf_dir, tmp_path):
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'lookup_country' in q and not any(k.startswith('op') and k[2].isdigit() for k in q) and 'pipeline' not in q"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, check=True)
+
+
+@pytest.mark.parametrize("name", ["decode_path_array"])
+def test_parts_are_written_and_read_by_several_tasks(spark, name):
+    """The part table is one row group and its networks crowd under one /8."""
+    sf, sc = "/root/testdata/sf0.1", spark.sparkContext
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{sf}/part.parquet'")
+    df = QUERIES[name](spark, sf)
+    sc.setJobGroup(f"read {name}", "")
+    got = rows(df.toPandas())
+    sc.setJobGroup("rest", "")
+    stages = [sc.statusTracker().getStageInfo(s) for j in sc.statusTracker().getJobIdsForGroup(f"read {name}") for s in sc.statusTracker().getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) >= 4 and got == rows(con.execute(ORACLE_SQL[name]).df())
