@@ -288,7 +288,7 @@ class NetDbWriter(DataSourceArrowWriter):
             pa.schema([("key", pa.binary(16)), ("length", pa.int64())]),
         )
         seen: dict[bytes, int] = {}
-        count = 0
+        count, put = 0, w.putter(self.kind)
         with contextlib.ExitStack() as open_:
             streams = [open_.enter_context(fs.open_output_stream(f"{root}/{name}-{x}")) for x in "nrl"]
             nets, bodies, lengths = (open_.enter_context(pa.ipc.new_stream(f, schema)) for f, schema in zip(streams, schemas, strict=True))
@@ -296,7 +296,7 @@ class NetDbWriter(DataSourceArrowWriter):
                 records, new = [], ([], [], [])
                 for value in b.column(self.at.index("record")).to_pylist():
                     e = w.Encoder(self.pointers, True)
-                    e.put(w.typed(value, self.kind))
+                    put(e, w.present(value))
                     key = hashlib.md5(e.out, usedforsecurity=False).digest()
                     at = seen.get(key)
                     if at is None:

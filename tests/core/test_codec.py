@@ -517,3 +517,25 @@ def test_variants_come_in_batches():
     db = Database(w.build([("1.0.0.0/8", {"a": [w.u32(1), 2.5]})], 4, 24))
     (batch,) = sc.scan(db, sc.start_nodes(db, None), sc.Options(), T.VariantType())
     assert isinstance(batch, pa.RecordBatch) and set(batch.column("record")[0].as_py()) == {"value", "metadata"}
+
+
+def test_encoders_made_once_are_the_plain_ones():
+    import decimal
+
+    kind = _type("struct<a:smallint,b:int,c:long,d:decimal(20,0),e:decimal(38,0),f:float,g:double,h:boolean,i:binary,repeated:string,again:array<struct<repeated:string,x:int>>,m:map<string,array<int>>>")
+    rng = random.Random(4)
+    pick = lambda *of: rng.choice((None, *of))
+    for _ in range(300):
+        v = {
+            "a": pick(0, -1, 32767), "b": pick(0, -5, 2**31 - 1), "c": pick(0, -(2**31), 2**63 - 1), "d": pick(decimal.Decimal(2**64 - 1), decimal.Decimal(-3)), "e": pick(decimal.Decimal(10**38 - 1), decimal.Decimal(0)),
+            "f": pick(0.5, -0.0), "g": pick(1e300, float("inf")), "h": pick(True, False), "i": pick(b"", b"x" * 300), "repeated": pick("repeated", "", "é" * 40, "long text"),
+            "again": pick([], [{"repeated": "long text", "x": 1}, {"repeated": None, "x": None}]), "m": pick([], [("repeated", [1, 2])]),
+        }
+        for options in ((), (True,), (True, True), (False, True)):
+            one, other = w.Encoder(*options), w.Encoder(*options)
+            one.put(w.typed(v, kind))
+            w.putter(kind)(other, v)
+            assert one.out == other.out and one.fixes == other.fixes
+    for bad in ({"x": [None]}, {"x": [-(2**40)]}):
+        with pytest.raises(ValueError, match="null has no encoding|below what any"):
+            w.putter(_type("struct<x:array<long>>"))(w.Encoder(), bad)
