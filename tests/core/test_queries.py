@@ -50,7 +50,7 @@ def test_entry_without_the_optional_parts(sf_dir, tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, check=True)
 
 
-@pytest.mark.parametrize("name", ["decode_path_array", "decode_types"])
+@pytest.mark.parametrize("name", ["decode_variant", "decode_path_array", "decode_types", "kinds_histogram"])
 def test_parts_are_written_and_read_by_several_tasks(spark, name):
     """The part table is one row group and its networks crowd under one /8."""
     sf, sc = "/root/testdata/sf0.1", spark.sparkContext
