@@ -62,3 +62,15 @@ def test_parts_are_written_and_read_by_several_tasks(spark, name):
     sc.setJobGroup("rest", "")
     stages = [sc.statusTracker().getStageInfo(s) for j in sc.statusTracker().getJobIdsForGroup(f"read {name}") for s in sc.statusTracker().getJobInfo(j).stageIds]
     assert max(s.numTasks for s in stages if s) >= 4 and got == rows(con.execute(ORACLE_SQL[name]).df())
+
+
+def test_parts_are_encoded_by_several_tasks(spark):
+    """One row group comes as one task, which would encode all records of kinds_histogram and its like."""
+    from netlens.plans.catalogue import _parts
+
+    sc = spark.sparkContext
+    sc.setJobGroup("write parts", "")
+    _parts(spark, "/root/testdata/sf0.1")
+    sc.setJobGroup("rest", "")
+    last = max(s for j in sc.statusTracker().getJobIdsForGroup("write parts") for s in sc.statusTracker().getJobInfo(j).stageIds)
+    assert sc.statusTracker().getStageInfo(last).numTasks >= 2
